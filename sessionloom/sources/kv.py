@@ -1,0 +1,59 @@
+"""Key-value stores kept in SQLite files."""
+
+from __future__ import annotations
+
+import sqlite3
+import sys
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sessionloom.operators.kv import COMPOSER_DATA_KEY, GENERATIONS_KEY, HEADERS_KEY, PROMPTS_KEY
+
+KEYS = (HEADERS_KEY, PROMPTS_KEY, GENERATIONS_KEY, COMPOSER_DATA_KEY)
+_SCHEMA = "source_path string, key string, raw binary"
+
+
+def _items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Wanted items of each store file. The file's bytes are opened in memory, so nothing is copied to a local disk."""
+    query = f"SELECT key, value FROM ItemTable WHERE key IN ({','.join('?' * len(KEYS))})"
+    for batch in batches:
+        rows = []
+        for path, content in zip(batch["path"], batch["content"]):
+            image = bytearray(content)
+            # A store written with a write-ahead log says so in two header bytes; a lone image must be opened as a plain one.
+            image[18:20] = b"\x01\x01"
+            db = sqlite3.connect(":memory:")
+            try:
+                db.deserialize(bytes(image))
+                db.text_factory = bytes
+                for key, value in db.execute(query, KEYS):
+                    rows.append((path, key.decode(), value if isinstance(value, bytes) else None))
+            finally:
+                db.close()
+        yield pd.DataFrame(rows, columns=["source_path", "key", "raw"])
+
+
+def read_stores(spark: SparkSession, path: str, glob: str = "*.vscdb") -> DataFrame:
+    """``kv(store, workspace_id, key, value)`` of every store file below ``path``.
+
+    Spark lists and distributes the files; the folder of a file names the workspace, and ``globalStorage`` the global one. A value
+    that is not valid UTF-8 fails the job.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    items = files.select("path", "content").mapInPandas(_items, _SCHEMA)
+    folder = F.element_at(F.split("source_path", "/"), -2)
+    store = F.regexp_extract("source_path", r"\A(.*?)/(?:workspaceStorage|globalStorage)/", 1)
+    return items.select(
+        store.alias("store"),
+        F.when(folder != "globalStorage", folder).alias("workspace_id"),
+        "key",
+        F.decode("raw", "UTF-8").alias("value"),
+    )
+
+
+# Ship this module's task functions with the job, so workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
