@@ -6,7 +6,7 @@ would turn the number 5 into the text ``5``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Closes the wrapped document. The built-in parser stops after the first value and ignores what follows, so a damaged line such as
@@ -17,10 +17,20 @@ ROOT = "$[0]"
 RFC3339 = r"\A\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:[Zz]|[+-]\d{2}:\d{2})\z"
 
 
+def parse(text: Column) -> Column:
+    """VARIANT array ``[document, mark]``; null if the text does not even start with a JSON document."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{END_MARK}"]')))
+
+
+def well_formed(v: Column) -> Column:
+    """Was the parsed text exactly one JSON document?"""
+    return F.coalesce(F.try_variant_get(v, "$[1]", "string") == END_MARK, F.lit(False))
+
+
 def parse_strict(text: Column) -> Column:
-    """VARIANT array ``[document, mark]``, or null if the text is not exactly one JSON document."""
-    v = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{END_MARK}"]')))
-    return F.when(F.try_variant_get(v, "$[1]", "string") == END_MARK, v)
+    """``parse``, with null for anything but one JSON document."""
+    v = parse(text)
+    return F.when(well_formed(v), v)
 
 
 def get(v: Column, path: str = "") -> Column:
@@ -104,10 +114,20 @@ def string_array(text: Column) -> Column:
 
 
 def text_blocks(text: Column) -> Column:
-    """The ``text`` blocks of a JSON content array, joined by newlines; null if there is none."""
+    """The ``text`` blocks of a JSON content array, joined by newlines; null if that is empty."""
     items = as_array(get(parse_strict(text)))
     blocks = F.filter(
         items,
         lambda x: (item_string(x, ".type") == "text") & item_string(x, ".text").isNotNull(),
     )
-    return F.when(F.size(blocks) > 0, F.array_join(F.transform(blocks, lambda x: item_string(x, ".text")), "\n"))
+    return F.nullif(F.array_join(F.transform(blocks, lambda x: item_string(x, ".text")), "\n"), F.lit(""))
+
+
+def computed_once(df: DataFrame, keep: list[str], **fields: Column) -> DataFrame:
+    """``keep`` plus ``fields``, as the single element of an exploded array.
+
+    A later filter on a field would otherwise be rewritten onto the field's definition and pushed below it, which evaluates
+    the definition a second time; a filter cannot pass the generator that makes the field.
+    """
+    made = F.struct(*[c.alias(name) for name, c in fields.items()])
+    return df.select(*keep, F.explode(F.array(made)).alias("__f")).select(*keep, *[F.col(f"__f.{n}") for n in fields])

@@ -28,11 +28,13 @@ def recent_activity(
     """
     names = F.split("path", "/")
     ignored = F.array(*[F.lit(n) for n in IGNORED_NAMES + extra_ignored])
-    age = F.floor((F.unix_micros(as_of) - F.unix_micros(F.col("mtime"))) / 1_000_000)
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    now, touched = micros(as_of), micros(F.col("mtime"))
+    age = F.floor((now - touched) / 1_000_000)
     shown = F.when(age < 0, F.lit("just now")).otherwise(tx.format_age(age))
     w = Window.partitionBy("project").orderBy(F.desc("mtime"), F.asc("path"))
     return (
-        files.filter(F.unix_micros("mtime") >= F.unix_micros(as_of) - RECENT_HOURS * 3_600_000_000)
+        files.filter(touched >= now - RECENT_HOURS * 3_600_000_000)
         .filter(~F.arrays_overlap(names, ignored) & (F.size(names) <= MAX_DEPTH + 1))
         .withColumn("rank", F.row_number().over(w))
         .filter(F.col("rank") <= limit)

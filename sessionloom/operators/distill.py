@@ -257,6 +257,6 @@ def progress_entries(ledger: DataFrame) -> DataFrame:
     """One progress line per prose turn; a projection without shuffle."""
     kept = [c for c in ("session_id", "ts_ms", "source_path", "end_offset", "role", "project", "project_dir") if c in ledger.columns]
     said = ledger.withColumn("said", prose(F.col("role"), F.col("content")))
-    return said.select(*kept, entry_text(F.col("ts_ms"), F.col("role"), F.col("said")).alias("entry")).filter(
-        "entry is not null"
-    )
+    entry = entry_text(F.col("ts_ms"), F.col("role"), F.col("said"))
+    # Exploding drops the turns without an entry and computes each entry once; a filter would compute it again.
+    return said.select(*kept, F.explode(F.filter(F.array(entry), lambda e: e.isNotNull())).alias("entry"))

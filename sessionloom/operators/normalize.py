@@ -37,6 +37,9 @@ NORMALIZED = T.StructType(
 )
 
 
+_POSITION = ["tool", "source_path", "end_offset"]
+
+
 class Normalizer(Protocol):
     """The plug-in point: any function of this shape can serve a further tool."""
 
@@ -72,19 +75,18 @@ def normalize_claude(raw: DataFrame) -> DataFrame:
     kind = F.coalesce(vr.string_at(v, ".type"), F.lit(""))
     stamp = F.coalesce(vr.get(v, ".timestamp"), vr.get(v, ".ts"))
     named_role = F.coalesce(vr.get(v, ".message.role"), vr.get(v, ".role"))
-    parsed = raw.withColumn("v", vr.parse_strict(F.col("line"))).select(
-        "tool",
-        "source_path",
-        "end_offset",
-        v.isNull().alias("corrupt"),
-        kind.isin(*HOUSEKEEPING_TYPES).alias("housekeeping"),
-        vr.string_at(v, ".sessionId").alias("session_id"),
-        stamp.isNull().alias("undated"),
-        vr.timestamp_any(stamp).alias("ts_ms"),
-        F.coalesce(vr.as_string(named_role), vr.string_at(v, ".type")).alias("role"),
-        F.coalesce(vr.get(v, ".message.content"), vr.get(v, ".content")).alias("body"),
-        vr.string_at(v, ".parentUuid").alias("parent_id"),
-        vr.string_at(v, ".uuid").alias("record_uuid"),
+    parsed = vr.computed_once(
+        raw.withColumn("v", vr.parse(F.col("line"))),
+        _POSITION,
+        corrupt=~vr.well_formed(v),
+        housekeeping=kind.isin(*HOUSEKEEPING_TYPES),
+        session_id=vr.string_at(v, ".sessionId"),
+        undated=stamp.isNull(),
+        ts_ms=vr.timestamp_any(stamp),
+        role=F.coalesce(vr.as_string(named_role), vr.string_at(v, ".type")),
+        body=F.coalesce(vr.get(v, ".message.content"), vr.get(v, ".content")),
+        parent_id=vr.string_at(v, ".parentUuid"),
+        record_uuid=F.when(vr.well_formed(v), vr.string_at(v, ".uuid")),
     )
     reason = (
         F.when(F.col("corrupt"), CORRUPT)
@@ -122,25 +124,24 @@ def normalize_codex(raw: DataFrame, offsets: DataFrame | None = None) -> DataFra
     iso = vr.iso_to_ms(vr.string_at(v, ".timestamp"))
     calls = vr.get(v, ".tool_calls")
     old = new_role.isNull()
-    parsed = raw.withColumn("v", vr.parse_strict(F.col("line"))).select(
-        "tool",
-        "source_path",
-        "end_offset",
-        v.isNull().alias("corrupt"),
-        kind.alias("kind"),
-        old.alias("old"),
-        F.when(
-            kind == "session_meta",
+    parsed = vr.computed_once(
+        raw.withColumn("v", vr.parse(F.col("line"))),
+        _POSITION,
+        corrupt=~vr.well_formed(v),
+        kind=kind,
+        old=old,
+        meta_session=F.when(
+            vr.well_formed(v) & (kind == "session_meta"),
             F.coalesce(vr.string_at(v, ".payload.id"), vr.string_at(v, ".session_id")),
-        ).alias("meta_session"),
-        F.nullif(vr.string_at(v, ".session_id"), F.lit("")).alias("own_session"),
-        F.coalesce(new_role, vr.string_at(v, ".role")).alias("role"),
-        F.when(old, number).otherwise(F.coalesce(iso, number)).alias("ts_ms"),
-        F.when(old, vr.content_text(vr.get(v, ".content")))
-        .otherwise(F.coalesce(vr.string_at(v, ".payload.message"), F.lit("")))
-        .alias("content"),
-        F.when(old & F.startswith(vr.type_of(calls), F.lit("ARRAY")), vr.as_array(calls)).alias("calls"),
-        F.when(kind == "event_msg", vr.long_at(v, ".seq")).alias("event_seq"),
+        ),
+        own_session=F.nullif(vr.string_at(v, ".session_id"), F.lit("")),
+        role=F.coalesce(new_role, vr.string_at(v, ".role")),
+        ts_ms=F.when(old, number).otherwise(F.coalesce(iso, number)),
+        content=F.when(old, vr.content_text(vr.get(v, ".content"))).otherwise(
+            F.coalesce(vr.string_at(v, ".payload.message"), F.lit(""))
+        ),
+        calls=F.when(old & F.startswith(vr.type_of(calls), F.lit("ARRAY")), vr.as_array(calls)),
+        event_seq=F.when(vr.well_formed(v) & (kind == "event_msg"), vr.long_at(v, ".seq")),
     )
     rows = carry_forward(parsed, "source_path", "end_offset", F.col("meta_session"), "context_session_id")
     if offsets is not None:
@@ -170,15 +171,14 @@ def normalize_codex(raw: DataFrame, offsets: DataFrame | None = None) -> DataFra
 def normalize_codex_history(raw: DataFrame) -> DataFrame:
     """Prompt-history lines ``{session_id, ts in seconds, text}`` as user turns."""
     v = F.col("v")
-    rows = raw.withColumn("v", vr.parse_strict(F.col("line"))).select(
-        "tool",
-        "source_path",
-        "end_offset",
-        F.when(v.isNull(), CORRUPT).alias("reason"),
-        F.nullif(vr.string_at(v, ".session_id"), F.lit("")).alias("session_id"),
-        (F.coalesce(vr.long_at(v, ".ts"), F.lit(0)) * 1000).alias("ts_ms"),
-        F.lit("user").alias("role"),
-        F.nullif(vr.string_at(v, ".text"), F.lit("")).alias("content"),
+    rows = vr.computed_once(
+        raw.withColumn("v", vr.parse(F.col("line"))),
+        _POSITION,
+        reason=F.when(~vr.well_formed(v), CORRUPT),
+        session_id=F.nullif(vr.string_at(v, ".session_id"), F.lit("")),
+        ts_ms=F.coalesce(vr.long_at(v, ".ts"), F.lit(0)) * 1000,
+        role=F.lit("user"),
+        content=F.nullif(vr.string_at(v, ".text"), F.lit("")),
     )
     skipped = F.col("session_id").isNull() | F.col("content").isNull()
     return _finish(rows.withColumn("status", _status(skipped, F.col("reason"))))
@@ -188,15 +188,14 @@ def normalize_cursor(raw: DataFrame) -> DataFrame:
     """Flat records ``{sessionId, role, content, ts}`` as the key-value readers emit them."""
     v = F.col("v")
     stamp = vr.get(v, ".ts")
-    rows = raw.withColumn("v", vr.parse_strict(F.col("line"))).select(
-        "tool",
-        "source_path",
-        "end_offset",
-        v.isNull().alias("corrupt"),
-        vr.string_at(v, ".sessionId").alias("session_id"),
-        vr.as_long(stamp).alias("ts_ms"),
-        vr.string_at(v, ".role").alias("role"),
-        vr.content_text(vr.get(v, ".content")).alias("content"),
+    rows = vr.computed_once(
+        raw.withColumn("v", vr.parse(F.col("line"))),
+        _POSITION,
+        corrupt=~vr.well_formed(v),
+        session_id=vr.string_at(v, ".sessionId"),
+        ts_ms=vr.as_long(stamp),
+        role=vr.string_at(v, ".role"),
+        content=vr.content_text(vr.get(v, ".content")),
     )
     reason = (
         F.when(F.col("corrupt"), CORRUPT)

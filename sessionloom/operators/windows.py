@@ -14,10 +14,14 @@ IDLE_GAP_SECONDS = 300
 SEGMENT_BYTES = 32 * 1024 * 1024
 
 
+def _micros(c: Column) -> Column:
+    return F.unix_micros(c.cast("timestamp"))
+
+
 def _idle_cells(events: DataFrame, key: str, ts: str, gap_us: int) -> DataFrame:
     """Events folded to cells one gap wide. Two events of one cell are less than a gap apart, so a cell never spans a session
     border, and a key has at most (time span / gap) cells however many events it has."""
-    us = F.unix_micros(F.col(ts))
+    us = _micros(F.col(ts))
     cells = (
         events.groupBy(F.col(key), F.floor(us / gap_us).alias("cell"))
         .agg(F.min(us).alias("first_us"), F.max(us).alias("last_us"), F.count(F.lit(1)).alias("n"))
@@ -31,9 +35,10 @@ def _idle_cells(events: DataFrame, key: str, ts: str, gap_us: int) -> DataFrame:
 def idle_sessions(events: DataFrame, key: str, ts: str, gap_seconds: int = IDLE_GAP_SECONDS) -> DataFrame:
     """Sessions of a key (W6): a gap of ``gap_seconds`` or more starts a new one."""
     cells = _idle_cells(events, key, ts, gap_seconds * 1_000_000)
+    as_given = events.schema[ts].dataType
     return cells.groupBy(key, "session_no").agg(
-        F.timestamp_micros(F.min("first_us")).alias("session_start"),
-        F.timestamp_micros(F.max("last_us")).alias("session_end"),
+        F.timestamp_micros(F.min("first_us")).cast(as_given).alias("session_start"),
+        F.timestamp_micros(F.max("last_us")).cast(as_given).alias("session_end"),
         F.sum("n").alias("n_events"),
     )
 
@@ -42,7 +47,7 @@ def assign_idle_sessions(events: DataFrame, key: str, ts: str, gap_seconds: int
     """Every event with the number of its session. The join key includes the cell, which spreads a hot key."""
     gap_us = gap_seconds * 1_000_000
     cells = _idle_cells(events, key, ts, gap_us).select(key, "cell", "session_no")
-    tagged = events.withColumn("cell", F.floor(F.unix_micros(F.col(ts)) / gap_us))
+    tagged = events.withColumn("cell", F.floor(_micros(F.col(ts)) / gap_us))
     return tagged.join(cells, [key, "cell"]).drop("cell")
 
 
