@@ -52,40 +52,51 @@ def turn_order(df: DataFrame) -> Column:
     return F.struct(*[F.col(c) for c in ("ts_ms", "source_path", "end_offset") if c in df.columns])
 
 
-def prose(role: Column, content: Column) -> Column:
-    """Readable text of a turn (F6, P22): plain text of users and assistants, text blocks of assistant arrays, else null."""
-    body = tx.trim(content)
+def annotate(ledger: DataFrame) -> DataFrame:
+    """Adds ``ord``, ``body``, ``said`` (F6, P22) and ``head``, each in its own projection so that it is computed once per turn.
+
+    ``body`` is the trimmed content. ``said`` is the readable text: plain text of users and assistants, the text blocks of an
+    assistant's array, else null. ``head`` is the first visible line of ``said``, null if there is none.
+    """
+    role, body = F.col("role"), F.col("body")
     plain = ~F.startswith(body, F.lit("["))
-    return F.when(role.isin("user", "assistant") & (body != ""), F.when(plain, body).when(
-        role == "assistant", F.nullif(vr.text_blocks(body), F.lit(""))))
+    said = F.when(
+        role.isin("user", "assistant") & (body != ""), F.when(plain, body).when(role == "assistant", vr.text_blocks(body))
+    )
+    return (
+        ledger.withColumn("ord", turn_order(ledger))
+        .withColumn("body", tx.trim(F.col("content")))
+        .withColumn("said", said)
+        .withColumn("head", F.nullif(tx.first_line(F.col("said")), F.lit("")))
+    )
 
 
-def is_substantial_prompt(role: Column, content: Column) -> Column:
-    """A user's own text of at least ten bytes."""
-    body = tx.trim(content)
-    return (role == "user") & ~F.startswith(body, F.lit("[")) & (F.octet_length(body) >= MIN_PROMPT_BYTES)
+def is_substantial_prompt() -> Column:
+    """P23, on annotated turns: a user's own text of at least ten bytes."""
+    return (F.col("role") == "user") & (F.octet_length("said") >= MIN_PROMPT_BYTES)
 
 
-def task_text(content: Column) -> Column:
-    return tx.truncate_at_word(tx.first_line(content), MAX_TASK_CHARS)
+def task_text() -> Column:
+    return tx.truncate_at_word(F.col("head"), MAX_TASK_CHARS)
 
 
-def answer_text(prose_text: Column) -> Column:
-    """What an assistant turn says outside code fences; null if nothing."""
-    said = F.nullif(tx.strip_code_fences(prose_text), F.lit(""))
-    return tx.truncate_at_word(said, MAX_NEXT_ACTION_CHARS)
+def with_answer(turns: DataFrame) -> DataFrame:
+    """Adds ``answer``: what an assistant turn says outside code fences; null if nothing."""
+    outside = F.when(F.col("role") == "assistant", tx.strip_code_fences(F.col("said")))
+    return turns.withColumn("outside", F.nullif(outside, F.lit(""))).withColumn(
+        "answer", tx.truncate_at_word(F.col("outside"), MAX_NEXT_ACTION_CHARS)
+    )
 
 
-def ask_text(prose_text: Column) -> Column:
-    return F.concat(F.lit("Continue: "), tx.truncate_at_word(tx.first_line(prose_text), MAX_NEXT_ACTION_CHARS - 10))
+def ask_text() -> Column:
+    return F.concat(F.lit("Continue: "), tx.truncate_at_word(F.col("head"), MAX_NEXT_ACTION_CHARS - 10))
 
 
-def entry_text(ts_ms: Column, role: Column, prose_text: Column) -> Column:
+def entry_text() -> Column:
     """Progress line of a prose turn (A6); null if the turn has no visible text."""
-    said = F.nullif(tx.first_line(prose_text), F.lit(""))
-    return F.concat(
-        F.lit("- ["), tx.ms_to_iso(ts_ms), F.lit("] ["), role, F.lit("] "), tx.truncate_at_word(said, MAX_ENTRY_CHARS)
-    )
+    stamp = tx.ms_to_iso(F.col("ts_ms"))
+    shown = tx.truncate_at_word(F.col("head"), MAX_ENTRY_CHARS)
+    return F.concat(F.lit("- ["), stamp, F.lit("] ["), F.col("role"), F.lit("] "), shown)
 
 
 def is_failed_turn(role: Column, content: Column, error_roles: tuple[str, ...] = ("tool_result",)) -> Column:
@@ -143,23 +154,21 @@ def candidates(
     made = {
         QUESTION: lambda: _question_candidates(said),
         FAILED: lambda: single(
-            FAILED, is_failed_turn(role, content, error_roles), tx.collapse(tx.first_line(content)), none
+            FAILED, is_failed_turn(role, content, error_roles), tx.collapse(F.substring_index("body", "\n", 1)), none
         ),
         FILE: lambda: F.transform(
             vr.string_array(F.col("files_touched_json")), lambda p: _candidate(FILE, p, none)
         ),
-        ENTRY: lambda: single(ENTRY, F.col("entry").isNotNull(), F.col("entry"), none),
-        TASK: lambda: single(TASK, is_substantial_prompt(role, content), blank, task_text(content)),
+        ENTRY: lambda: single(ENTRY, F.col("head").isNotNull() & role.isNotNull(), entry_text(), none),
+        TASK: lambda: single(TASK, is_substantial_prompt(), blank, task_text()),
         ANSWER: lambda: single(ANSWER, F.col("answer").isNotNull(), blank, F.col("answer")),
-        ASK: lambda: single(ASK, (role == "user") & said.isNotNull(), blank, ask_text(said)),
+        ASK: lambda: single(ASK, (role == "user") & said.isNotNull(), blank, ask_text()),
         CODING: lambda: single(CODING, F.col("tool_calls_json").isNotNull(), blank, none),
         SESSION: lambda: single(SESSION, F.lit(True), blank, F.col("tool")),
     }
-    turns = ledger.withColumn("ord", turn_order(ledger)).withColumn("said", prose(role, content))
-    if ENTRY in kinds:
-        turns = turns.withColumn("entry", entry_text(F.col("ts_ms"), role, said))
+    turns = annotate(ledger)
     if ANSWER in kinds:
-        turns = turns.withColumn("answer", F.when(role == "assistant", answer_text(said)))
+        turns = with_answer(turns)
     empty = F.array().cast(_CANDIDATE)
     parts = [F.coalesce(made[k]().cast(_CANDIDATE), empty) for k in kinds]
     everything = parts[0] if len(parts) == 1 else F.concat(*parts)
@@ -200,28 +209,15 @@ def rank(found: DataFrame, kinds: tuple[Kind, ...]) -> DataFrame:
 
 def task(ledger: DataFrame) -> DataFrame:
     """A1: first substantial prompt of every session, one line."""
-    role, content = F.col("role"), F.col("content")
-    turns = ledger.select(
-        "session_id",
-        turn_order(ledger).alias("ord"),
-        F.when(is_substantial_prompt(role, content), task_text(content)).alias("text"),
-    )
-    first = F.min_by(F.when(F.col("text").isNotNull(), F.col("text")), F.when(F.col("text").isNotNull(), F.col("ord")))
+    turns = annotate(ledger).select("session_id", "ord", F.when(is_substantial_prompt(), task_text()).alias("text"))
+    first = F.min_by("text", F.when(F.col("text").isNotNull(), F.col("ord")))
     return turns.groupBy("session_id").agg(F.coalesce(first, F.lit(NO_TASK)).alias("task"))
 
 
 def next_action(ledger: DataFrame) -> DataFrame:
     """A2: what the last assistant turn says outside code fences, else the last prompt."""
-    role = F.col("role")
-    said = prose(role, F.col("content"))
-    turns = ledger.select(
-        "session_id", turn_order(ledger).alias("ord"), role, said.alias("said")
-    ).select(
-        "session_id",
-        "ord",
-        F.when(role == "assistant", answer_text(F.col("said"))).alias("answer"),
-        F.when(role == "user", ask_text(F.col("said"))).alias("ask"),
-    )
+    ask = F.when((F.col("role") == "user") & F.col("said").isNotNull(), ask_text())
+    turns = with_answer(annotate(ledger)).select("session_id", "ord", "answer", ask.alias("ask"))
     latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ord")))
     return turns.groupBy("session_id").agg(
         F.coalesce(latest("answer"), latest("ask"), F.lit(NO_NEXT_ACTION)).alias("next_action")
@@ -255,8 +251,8 @@ def failed_approaches(ledger: DataFrame, error_roles: tuple[str, ...] = ("tool_r
 
 def progress_entries(ledger: DataFrame) -> DataFrame:
     """One progress line per prose turn; a projection without shuffle."""
-    kept = [c for c in ("session_id", "ts_ms", "source_path", "end_offset", "role", "project", "project_dir") if c in ledger.columns]
-    said = ledger.withColumn("said", prose(F.col("role"), F.col("content")))
-    entry = entry_text(F.col("ts_ms"), F.col("role"), F.col("said"))
+    wanted = ("session_id", "ts_ms", "source_path", "end_offset", "role", "project", "project_dir")
+    kept = [c for c in wanted if c in ledger.columns]
     # Exploding drops the turns without an entry and computes each entry once; a filter would compute it again.
-    return said.select(*kept, F.explode(F.filter(F.array(entry), lambda e: e.isNotNull())).alias("entry"))
+    entry = F.filter(F.array(entry_text()), lambda e: e.isNotNull())
+    return annotate(ledger).select(*kept, F.explode(entry).alias("entry"))
