@@ -53,15 +53,29 @@ class Warehouse:
 
     def rejects(self) -> DataFrame:
         """S11."""
-        return self.records().filter("status = 'rejected'").select("tool", "source_path", "end_offset", "reason", "batch_id")
+        rejected = self.records().filter("status = 'rejected'")
+        return rejected.select("tool", "source_path", "end_offset", "reason", "batch_id")
 
     # -- offsets -----------------------------------------------------------------------------------------------------------
     def offset_log(self) -> DataFrame:
-        return self._read("offsets", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in OFFSETS.fields))
+        ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in OFFSETS.fields)
+        return self._read("offsets", f"{ddl}, batch_id bigint")
 
-    def append_offsets(self, advanced: DataFrame) -> None:
-        """S10."""
-        advanced.select(*OFFSETS.fieldNames()).coalesce(1).write.mode("append").parquet(self._path("offsets"))
+    def append_offsets(self, advanced: DataFrame, batch_id: int) -> None:
+        """S10. Logged after the records of a batch, so a logged batch is a complete one."""
+        rows = advanced.select(*OFFSETS.fieldNames(), F.lit(batch_id).cast("bigint").alias("batch_id"))
+        rows.write.mode("append").parquet(self._path("offsets"))
+
+    # -- key-value state ---------------------------------------------------------------------------------------------------
+    def workspace_state(self) -> DataFrame:
+        """Latest prompt state per workspace."""
+        log = self._read("workspace_state", "workspace_id string, n_seen int, last_text string, batch_id bigint")
+        latest = F.max_by(F.struct("n_seen", "last_text"), F.col("batch_id"))
+        return log.groupBy("workspace_id").agg(latest.alias("s")).select("workspace_id", "s.*")
+
+    def append_workspace_state(self, state: DataFrame, batch_id: int) -> None:
+        rows = state.select("workspace_id", "n_seen", "last_text", F.lit(batch_id).cast("bigint").alias("batch_id"))
+        rows.write.mode("append").parquet(self._path("workspace_state"))
 
     # -- digests -----------------------------------------------------------------------------------------------------------
     _DIGEST = (
@@ -91,7 +105,8 @@ class Warehouse:
 
     # -- progress and history ----------------------------------------------------------------------------------------------
     def progress_log(self) -> DataFrame:
-        return self._read("progress_log", "project string, entry string, ord struct<batch_id:bigint,ts_ms:bigint,source_path:string,end_offset:bigint>")
+        order = "struct<batch_id:bigint,ts_ms:bigint,source_path:string,end_offset:bigint>"
+        return self._read("progress_log", f"project string, entry string, ord {order}")
 
     def append_progress(self, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(self._path("progress_log"))
