@@ -99,12 +99,11 @@ def marker_capture(line: Column, marker: str) -> Column:
     return F.when(F.contains(line, F.lit(marker)), F.nullif(captured, F.lit("")))
 
 
-def contains_any(c: Column, needles: tuple[str, ...]) -> Column:
-    """Case-insensitive: does the text contain one of the needles (F13)?"""
-    low = F.lower(c)
-    hit = F.contains(low, F.lit(needles[0]))
+def contains_any(lowered: Column, needles: tuple[str, ...]) -> Column:
+    """Does the lower-cased text contain one of the needles (F13)?"""
+    hit = F.contains(lowered, F.lit(needles[0]))
     for needle in needles[1:]:
-        hit = hit | F.contains(low, F.lit(needle))
+        hit = hit | F.contains(lowered, F.lit(needle))
     return hit
 
 

@@ -55,32 +55,47 @@ def git_context(head: Column, diffstat: Column) -> Column:
 
 
 def diffstat_lines(captured: DataFrame, key: str, text: str) -> DataFrame:
-    """Readable lines of a captured diff statistic, one document per key; ends once sixteen lines are shown."""
-    line = F.col("line")
-    summary = F.contains(line, F.lit(" file")) & F.contains(line, F.lit(" changed"))
-    per_file = F.contains(line, F.lit("|"))
+    """Readable lines of a captured diff statistic, one document per key.
+
+    The list ends with the first line, other than a summary, at which sixteen lines are shown. All of it happens within a row.
+    """
+    stripped = F.filter(F.transform(tx.lines(F.col(text)), tx.trim), lambda x: x != "")
+    told = lambda c: c["summary"] | c["per_file"]
+    rows = (
+        captured.withColumn("__lines", stripped)
+        .withColumn(
+            "__lines",
+            F.transform(
+                "__lines",
+                lambda x, i: F.struct(
+                    i.alias("pos"),
+                    x.alias("line"),
+                    (F.contains(x, F.lit(" file")) & F.contains(x, F.lit(" changed"))).alias("summary"),
+                    F.contains(x, F.lit("|")).alias("per_file"),
+                ),
+            ),
+        )
+        .withColumn("__told", F.filter("__lines", told))
+        .withColumn("__full", F.get("__told", F.lit(MAX_ACTIVITY_FILES))["pos"])
+        .withColumn(
+            "__stop",
+            F.get(F.filter("__lines", lambda c: (c["pos"] >= F.col("__full")) & ~c["summary"]), F.lit(0))["pos"],
+        )
+    )
+    shown = F.filter("__told", lambda c: F.col("__stop").isNull() | (c["pos"] <= F.col("__stop")))
+    line = F.col("c.line")
     stats = tx.trim(F.regexp_extract(line, r"(?s)\A[^|]*\|(.*)\z", 1))
-    count = lambda ch: F.length(stats) - F.length(F.replace(stats, F.lit(ch), F.lit("")))
-    first = F.nullif(F.regexp_extract(stats, r"(?U)\A(\S+)", 1), F.lit(""))
+    count = lambda ch: F.length("stats") - F.length(F.replace("stats", F.lit(ch), F.lit("")))
+    first = F.nullif(F.regexp_extract("stats", r"(?U)\A(\S+)", 1), F.lit(""))
     path = tx.trim(F.substring_index(line, "|", 1))
-    told = F.when(summary, F.concat(F.lit("Summary: "), line)).when(
-        per_file,
+    described = F.when(F.col("c.summary"), F.concat(F.lit("Summary: "), line)).otherwise(
         F.concat(
             F.lit("- "), path, F.lit(": "), F.coalesce(first, F.lit("?")), F.lit(" lines (+"),
             count("+").cast("string"), F.lit(" -"), count("-").cast("string"), F.lit(")"),
-        ),
+        )
     )
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = (
-        captured.select(key, F.posexplode(tx.lines(F.col(text))).alias("pos", "raw"))
-        .withColumn("line", tx.trim(F.col("raw")))
-        .filter("line <> ''")
-        .withColumn("told", told)
-        .withColumn("shown", F.count("told").over(w))
-        .withColumn("full", F.when(~summary & (F.col("shown") > MAX_ACTIVITY_FILES), 1).otherwise(0))
-        .withColumn("stopped", F.coalesce(F.sum("full").over(earlier), F.lit(0)))
-    )
-    return rows.filter("told is not null and stopped = 0").select(
-        key, F.col("shown").alias("rank"), F.col("told").alias("text")
+    return (
+        rows.select(key, F.posexplode(shown).alias("i", "c"))
+        .withColumn("stats", stats)
+        .select(key, (F.col("i") + 1).cast("bigint").alias("rank"), described.alias("text"))
     )

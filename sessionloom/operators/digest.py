@@ -99,7 +99,7 @@ def render_digest(digest: DataFrame) -> DataFrame:
     rows = digest.withColumn("all_lines", F.concat(*parts))
     cut = F.concat(F.slice("all_lines", 1, MAX_DIGEST_LINES - 1), F.array(F.lit(CUT_LINE)))
     shown_lines = F.when(F.size("all_lines") > MAX_DIGEST_LINES, cut).otherwise(F.col("all_lines"))
-    body = F.array_join(shown_lines, "\n")
-    return rows.select(
+    body = F.col("body")
+    return rows.withColumn("body", F.array_join(shown_lines, "\n")).select(
         "session_id", F.when(F.endswith(body, F.lit("\n")), body).otherwise(F.concat(body, F.lit("\n"))).alias("body")
     )

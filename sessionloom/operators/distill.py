@@ -99,10 +99,11 @@ def entry_text() -> Column:
     return F.concat(F.lit("- ["), stamp, F.lit("] ["), F.col("role"), F.lit("] "), shown)
 
 
-def is_failed_turn(role: Column, content: Column, error_roles: tuple[str, ...] = ("tool_result",)) -> Column:
-    return (role.isin(*error_roles) & tx.contains_any(content, tx.ERROR_WORDS)) | (
-        (role == "assistant") & tx.contains_any(content, tx.RETRY_PHRASES)
-    )
+def is_failed_turn(error_roles: tuple[str, ...] = ("tool_result",)) -> Column:
+    """On turns with a ``low`` column, the lower-cased content."""
+    role, low = F.col("role"), F.col("low")
+    failed = role.isin(*error_roles) & tx.contains_any(low, tx.ERROR_WORDS)
+    return failed | ((role == "assistant") & tx.contains_any(low, tx.RETRY_PHRASES))
 
 
 def _candidate(kind: Kind, key: Column, value: Column, line: Column | int = 0, item: Column | int = 0) -> Column:
@@ -144,7 +145,7 @@ def candidates(
     session: str = "session_id",
 ) -> DataFrame:
     """Candidates of the wanted kinds, one row each, with their position in the session."""
-    role, content, said = F.col("role"), F.col("content"), F.col("said")
+    role, said = F.col("role"), F.col("said")
     none = F.lit(None).cast("string")
     blank = F.lit("")
 
@@ -154,7 +155,7 @@ def candidates(
     made = {
         QUESTION: lambda: _question_candidates(said),
         FAILED: lambda: single(
-            FAILED, is_failed_turn(role, content, error_roles), tx.collapse(F.substring_index("body", "\n", 1)), none
+            FAILED, is_failed_turn(error_roles), tx.collapse(F.substring_index("body", "\n", 1)), none
         ),
         FILE: lambda: F.transform(
             vr.string_array(F.col("files_touched_json")), lambda p: _candidate(FILE, p, none)
@@ -167,6 +168,8 @@ def candidates(
         SESSION: lambda: single(SESSION, F.lit(True), blank, F.col("tool")),
     }
     turns = annotate(ledger)
+    if FAILED in kinds:
+        turns = turns.withColumn("low", F.when(role.isin("assistant", *error_roles), F.lower("content")))
     if ANSWER in kinds:
         turns = with_answer(turns)
     empty = F.array().cast(_CANDIDATE)

@@ -406,8 +406,8 @@ def source_projects(spark, sf):
 @query
 def props_extract(spark, sf):
     events = views.table(spark, sf, "events")
-    k = vr.long_at(vr.parse_strict(F.col("props")), ".k")
-    return events.select("event_id", k.alias("k"))
+    parsed = events.withColumn("v", vr.parse(F.col("props"))).withColumn("k", vr.get(F.col("v"), ".k"))
+    return parsed.select("event_id", F.when(vr.well_formed(F.col("v")), vr.as_long(F.col("k"))).alias("k"))
 
 
 # -- key-value stores -----------------------------------------------------------------------------------------------------------
@@ -584,12 +584,13 @@ def diffstat_summary(spark, sf):
 def text_functions(spark, sf):
     """F1-F4, F13, F14 over the documents."""
     t = F.col("text")
-    return views.table(spark, sf, "documents").select(
+    docs = views.table(spark, sf, "documents").withColumn("low", F.lower("text"))
+    return docs.select(
         "doc_id",
         tx.truncate_at_word(t, 200).alias("cut"),
         tx.first_line(t).alias("first"),
         F.md5(tx.collapse(t).cast("binary")).alias("collapsed_md5"),
-        tx.contains_any(t, tx.RETRY_PHRASES).alias("retry"),
+        tx.contains_any(F.col("low"), tx.RETRY_PHRASES).alias("retry"),
         tx.hard_truncate(t, 60, tx.ELLIPSIS).alias("hard"),
     )
 
@@ -598,7 +599,8 @@ def text_functions(spark, sf):
 def section_extract(spark, sf):
     """The task section of rendered digests, and its bullet."""
     body = digest.render_digest(digest.session_digest(views.augmented_ledger(spark, sf)))
-    task = tx.section(F.col("body"), "Task")
+    task = F.col("task")
+    body = body.withColumn("task", tx.section(F.col("body"), "Task"))
     return body.select("session_id", tx.bullet_ts(task).alias("at"), tx.bullet_value(task).alias("value"))
 
 
@@ -632,11 +634,9 @@ def redact_augmented(spark, sf):
 
 @query
 def redact_selfcheck(spark, sf):
-    docs = _documents_with_paths(spark, sf)
-    clean = rd.redact(docs, "text")
-    return docs.select("doc_id", rd.leaks(F.col("text")).alias("leaks_before")).join(
-        clean.select("doc_id", rd.leaks(F.col("text")).alias("leaks_after")), "doc_id"
-    ).groupBy("leaks_before", "leaks_after").agg(F.count(F.lit(1)).alias("n_docs"))
+    docs = _documents_with_paths(spark, sf).withColumn("leaks_before", rd.leaks(F.col("text")))
+    clean = rd.redact(docs, "text").select("leaks_before", rd.leaks(F.col("text")).alias("leaks_after"))
+    return clean.groupBy("leaks_before", "leaks_after").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 # -- versions -------------------------------------------------------------------------------------------------------------------
