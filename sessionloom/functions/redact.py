@@ -51,7 +51,7 @@ def redact_secrets(df: DataFrame, column: str) -> DataFrame:
     Each rule is a projection of its own: nested in one expression, every conditional would double the tree. A substring test on
     a lower-cased copy spares most texts the patterns; the long s, which lower-casing leaves alone, counts as an s there.
     """
-    df = df.withColumn("__low", F.translate(F.lower(column), "\u017f", "s"))
+    df = df.withColumn("__low", F.replace(F.lower(column), F.lit("\u017f"), F.lit("s")))
     for (pattern, replacement), needed in zip(RULES, NEEDED):
         hit = F.contains("__low", F.lit(needed.lower()))
         df = df.withColumn(column, F.when(hit, F.regexp_replace(column, pattern, replacement)).otherwise(F.col(column)))

@@ -46,7 +46,7 @@ class Normalizer(Protocol):
     def __call__(self, raw: DataFrame) -> DataFrame: ...
 
 
-def _finish(rows: DataFrame, keep_when_skipped: tuple[str, ...] = ()) -> DataFrame:
+def finish(rows: DataFrame, keep_when_skipped: tuple[str, ...] = ()) -> DataFrame:
     """Fixed column order; content-bearing columns are blanked unless the record is a turn."""
     always = {"tool", "source_path", "end_offset", "status", "reason", "event_seq", "context_session_id"}
     always |= set(keep_when_skipped)
@@ -108,7 +108,15 @@ def normalize_claude(raw: DataFrame) -> DataFrame:
         .withColumn("tool_calls_json", F.when(F.size("used") > 0, F.to_json("used")))
         .withColumn("files_touched_json", _paths_json(F.col("used")))
     )
-    return _finish(rows, ("record_uuid",))
+    return finish(rows, ("record_uuid",))
+
+
+def _opened_session(v: Column) -> Column:
+    """Session id of a ``session_meta`` record; null for any other."""
+    return F.when(
+        vr.well_formed(v) & (vr.string_at(v, ".type") == "session_meta"),
+        F.coalesce(vr.string_at(v, ".payload.id"), vr.string_at(v, ".session_id")),
+    )
 
 
 def normalize_codex(raw: DataFrame, offsets: DataFrame | None = None) -> DataFrame:
@@ -130,10 +138,7 @@ def normalize_codex(raw: DataFrame, offsets: DataFrame | None = None) -> DataFra
         corrupt=~vr.well_formed(v),
         kind=kind,
         old=old,
-        meta_session=F.when(
-            vr.well_formed(v) & (kind == "session_meta"),
-            F.coalesce(vr.string_at(v, ".payload.id"), vr.string_at(v, ".session_id")),
-        ),
+        meta_session=_opened_session(v),
         own_session=F.nullif(vr.string_at(v, ".session_id"), F.lit("")),
         role=F.coalesce(new_role, vr.string_at(v, ".role")),
         ts_ms=F.when(old, number).otherwise(F.coalesce(iso, number)),
@@ -143,7 +148,12 @@ def normalize_codex(raw: DataFrame, offsets: DataFrame | None = None) -> DataFra
         calls=F.when(old & F.startswith(vr.type_of(calls), F.lit("ARRAY")), vr.as_array(calls)),
         event_seq=F.when(vr.well_formed(v) & (kind == "event_msg"), vr.long_at(v, ".seq")),
     )
-    rows = carry_forward(parsed, "source_path", "end_offset", F.col("meta_session"), "context_session_id")
+    # Only a line that contains the type's name can open a session; the others need no parsing for the summary.
+    opened = F.when(F.contains("line", F.lit("session_meta")), _opened_session(vr.parse(F.col("line"))))
+    marks = raw.select("source_path", "end_offset", opened.alias("value"))
+    rows = carry_forward(
+        parsed, "source_path", "end_offset", F.col("meta_session"), "context_session_id", marks=marks
+    )
     if offsets is not None:
         seed = offsets.select("source_path", F.col("last_session_id").alias("seed"))
         rows = rows.join(seed, "source_path", "left").withColumn(
@@ -165,7 +175,7 @@ def normalize_codex(raw: DataFrame, offsets: DataFrame | None = None) -> DataFra
         .withColumn("tool_calls_json", F.when(F.size("calls") > 0, F.to_json("calls")))
         .withColumn("files_touched_json", _paths_json(F.col("calls")))
     )
-    return _finish(rows)
+    return finish(rows)
 
 
 def normalize_codex_history(raw: DataFrame) -> DataFrame:
@@ -181,7 +191,7 @@ def normalize_codex_history(raw: DataFrame) -> DataFrame:
         content=F.nullif(vr.string_at(v, ".text"), F.lit("")),
     )
     skipped = F.col("session_id").isNull() | F.col("content").isNull()
-    return _finish(rows.withColumn("status", _status(skipped, F.col("reason"))))
+    return finish(rows.withColumn("status", _status(skipped, F.col("reason"))))
 
 
 def normalize_cursor(raw: DataFrame) -> DataFrame:
@@ -204,7 +214,7 @@ def normalize_cursor(raw: DataFrame) -> DataFrame:
         .when(F.col("role").isNull(), NO_ROLE)
     )
     rows = rows.withColumn("reason", reason)
-    return _finish(rows.withColumn("status", _status(F.lit(False), F.col("reason"))))
+    return finish(rows.withColumn("status", _status(F.lit(False), F.col("reason"))))
 
 
 NORMALIZERS: dict[str, Normalizer] = {

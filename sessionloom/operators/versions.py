@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionloom.operators.sizes import broadcast_if_small
+
 _VERSION = r"(\d+)\.(\d+)\.(\d+)"
-MAX_RANGES = 10_000
+MAX_TOOLS = 10_000
 
 
 def extract_version(output: Column) -> Column:
@@ -25,8 +27,7 @@ def lookup(inventory: DataFrame, ranges: DataFrame) -> DataFrame:
     """
     order = F.array_sort(F.collect_list(F.struct("min", "max", "name")))
     per_tool = ranges.groupBy("tool").agg(order.alias("ranges"))
-    if ranges.count() <= MAX_RANGES:
-        per_tool = F.broadcast(per_tool)
+    per_tool = broadcast_if_small(per_tool, MAX_TOOLS)
     v = F.col("version")
     hits = F.filter("ranges", lambda r: (v >= r["min"]) & (r["max"].isNull() | (v < r["max"])))
     older = F.col("ranges").isNull() | (v < F.element_at("ranges", 1)["min"])

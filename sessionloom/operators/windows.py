@@ -18,12 +18,17 @@ def _micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
+def _cell(c: Column, width: int) -> Column:
+    """Start of the cell a whole number falls in; integer arithmetic only."""
+    return c - F.pmod(c, F.lit(width).cast("bigint"))
+
+
 def _idle_cells(events: DataFrame, key: str, ts: str, gap_us: int) -> DataFrame:
     """Events folded to cells one gap wide. Two events of one cell are less than a gap apart, so a cell never spans a session
     border, and a key has at most (time span / gap) cells however many events it has."""
     us = _micros(F.col(ts))
     cells = (
-        events.groupBy(F.col(key), F.floor(us / gap_us).alias("cell"))
+        events.groupBy(F.col(key), _cell(us, gap_us).alias("cell"))
         .agg(F.min(us).alias("first_us"), F.max(us).alias("last_us"), F.count(F.lit(1)).alias("n"))
     )
     w = Window.partitionBy(key).orderBy("cell")
@@ -47,22 +52,32 @@ def assign_idle_sessions(events: DataFrame, key: str, ts: str, gap_seconds: int
     """Every event with the number of its session. The join key includes the cell, which spreads a hot key."""
     gap_us = gap_seconds * 1_000_000
     cells = _idle_cells(events, key, ts, gap_us).select(key, "cell", "session_no")
-    tagged = events.withColumn("cell", F.floor(_micros(F.col(ts)) / gap_us))
+    tagged = events.withColumn("cell", _cell(_micros(F.col(ts)), gap_us))
     return tagged.join(cells, [key, "cell"]).drop("cell")
 
 
 def carry_forward(
-    df: DataFrame, key: str, order: str, value: Column, out: str, segment_width: int = SEGMENT_BYTES
+    df: DataFrame,
+    key: str,
+    order: str,
+    value: Column,
+    out: str,
+    segment_width: int = SEGMENT_BYTES,
+    marks: DataFrame | None = None,
 ) -> DataFrame:
-    """Latest non-null ``value`` at or before each row of a key (J1), in the order of a numeric column.
+    """Latest non-null ``value`` at or before each row of a key (J1), in the order of a whole-number column.
 
     Rows are windowed per (key, segment of the order axis); a segment's own first rows take the last value of the segments
     before it from the summary table. For byte offsets a segment is a bounded number of bytes.
+
+    ``marks(key, order, value)`` may give the same rows in a cheaper form for the summary, which is computed apart.
     """
-    rows = df.withColumn("__value", value).withColumn("__segment", F.floor(F.col(order) / segment_width))
+    segment = _cell(F.col(order).cast("bigint"), segment_width)
+    rows = df.withColumn("__value", value).withColumn("__segment", segment)
     inside = Window.partitionBy(key, "__segment").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumn("__local", F.last("__value", ignorenulls=True).over(inside))
-    summary = rows.groupBy(key, "__segment").agg(
+    summary = rows if marks is None else marks.withColumnRenamed("value", "__value").withColumn("__segment", segment)
+    summary = summary.groupBy(key, "__segment").agg(
         F.max_by("__value", F.when(F.col("__value").isNotNull(), F.col(order))).alias("__last")
     )
     before = Window.partitionBy(key).orderBy("__segment").rowsBetween(Window.unboundedPreceding, -1)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.operators import digest, distill, incremental, kv, normalize, progress
 from sessionloom.operators.hooks import resolve_project
+from sessionloom.operators.sizes import broadcast_if_small
 from sessionloom.session import configure
 from sessionloom.sources import jsonl
 from sessionloom.sources.tables import Warehouse
@@ -48,7 +49,8 @@ def ingest_lines(
     source_kind: str | None = None,
 ) -> None:
     """``source_kind`` names the normaliser where it differs from the tool (the prompt history of a tool)."""
-    offsets = incremental.current_offsets(warehouse.offset_log()).filter(F.col("tool") == tool)
+    known = warehouse.offset_log().filter(F.col("tool") == tool)
+    offsets = broadcast_if_small(incremental.current_offsets(known))
     # An unterminated tail fails a strict read of the tools that write whole records only.
     raw = jsonl.scan_jsonl(lines, tool, mode if tool == "codex" else "PERMISSIVE")
     if not full_refresh:
@@ -76,19 +78,23 @@ def store_batch(
 ) -> None:
     """Records first, offsets after them.
 
-    Positions can only collide with batches whose offsets were not logged (a batch that died, or this one on a retry), so the
-    anti join reads just those; batch ids sit in the column statistics and skip the rest.
+    Positions can only collide with batches that began and did not log their offsets (one that died, or this one on a retry),
+    so the anti join reads just their partitions, and there is none if all earlier batches ended well.
     """
     stored = warehouse.records().filter(F.col("tool") == tool)
-    if not full_refresh:
-        logged = warehouse.offset_log().filter(F.col("tool") == tool).agg(F.max("batch_id"))
-        stored = stored.filter(F.col("batch_id") > F.coalesce(logged.scalar(), F.lit(-1)))
-    warehouse.append_records(incremental.not_yet_stored(normalized, stored), batch_id)
+    unfinished = warehouse.first_unfinished(tool)
+    warehouse.begin_batch(tool, batch_id)
+    if full_refresh:
+        normalized = incremental.not_yet_stored(normalized, stored)
+    elif unfinished is not None:
+        normalized = incremental.not_yet_stored(normalized, stored.filter(F.col("batch_id") >= unfinished))
+    warehouse.append_records(normalized, batch_id)
     batch = warehouse.records().filter((F.col("tool") == tool) & (F.col("batch_id") == batch_id))
     advanced = incremental.advance_offsets(batch)
     if projects is not None:
         advanced = advanced.drop("project_dir").join(projects, "source_path", "left")
     warehouse.append_offsets(advanced, batch_id)
+    warehouse.end_batch(tool, batch_id)
 
 
 def _batch_turns(warehouse: Warehouse, batch_id: int) -> DataFrame:
@@ -107,6 +113,7 @@ def refresh_digests(warehouse: Warehouse, batch_id: int) -> None:
 def with_projects(turns: DataFrame, offsets: DataFrame, home: Column | None = None) -> DataFrame:
     """P25: the project of each turn, from the turn, its source or its folder."""
     known = offsets.filter("project_dir is not null").select("source_path", F.col("project_dir").alias("source_project"))
+    known = broadcast_if_small(known)
     never = F.lit(None).cast("string") if home is None else home
     project = resolve_project(
         F.coalesce("project_dir", "source_project"), F.lit(None).cast("string"), F.col("source_path"), never
@@ -152,7 +159,7 @@ def ingest_kv(warehouse: Warehouse, documents: DataFrame, batch_id: int) -> None
     )
     rejected = oversized.withColumn("status", F.lit("rejected"))
     state = kv.workspace_state(documents, seen)
-    warehouse.append_records(normalize._finish(prompts.unionByName(rejected, allowMissingColumns=True)), batch_id)
+    warehouse.append_records(normalize.finish(prompts.unionByName(rejected, allowMissingColumns=True)), batch_id)
     warehouse.append_workspace_state(state, batch_id)
     refresh_digests(warehouse, batch_id)
     extend_logs(warehouse, batch_id)

@@ -31,20 +31,43 @@ class Warehouse:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path)
 
+    # -- batches -----------------------------------------------------------------------------------------------------------
+    def _mark(self, tool: str, batch_id: int, step: str) -> None:
+        row = self.spark.createDataFrame([(tool, batch_id, step)], self._BATCHES)
+        row.coalesce(1).write.mode("append").parquet(self._path("batches"))
+
+    _BATCHES = "tool string, batch_id bigint, step string"
+
+    def begin_batch(self, tool: str, batch_id: int) -> None:
+        self._mark(tool, batch_id, "begun")
+
+    def end_batch(self, tool: str, batch_id: int) -> None:
+        self._mark(tool, batch_id, "done")
+
+    def first_unfinished(self, tool: str) -> int | None:
+        """Lowest id of the batches that began but whose offsets were never logged; one value."""
+        steps = self._read("batches", self._BATCHES).filter(F.col("tool") == tool)
+        done = steps.filter("step = 'done'").select("batch_id")
+        return steps.join(done, "batch_id", "left_anti").agg(F.min("batch_id")).first()[0]
+
     # -- records -----------------------------------------------------------------------------------------------------------
     def records(self) -> DataFrame:
         """Every stored record: turns, skipped and rejected ones."""
         ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in NORMALIZED.fields)
-        return self._read("records", f"{ddl}, batch_id bigint, dt date")
+        return self._read("records", f"{ddl}, batch_id bigint")
 
     def append_records(self, normalized: DataFrame, batch_id: int) -> None:
-        """One write for turns, skipped and rejected records; partitions by status, tool and day serve the read queries."""
-        day = F.to_date(F.timestamp_millis("ts_ms"))
+        """One write for turns, skipped and rejected records.
+
+        Partitions by status, tool and batch let every later step of a batch prune to that batch; inside a file turns are
+        sorted by session and time, whose column statistics serve the read queries.
+        """
+        partitions = ["status", "tool", "batch_id"]
         (
             normalized.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-            .withColumn("dt", day)
+            .sortWithinPartitions(*partitions, "session_id", "ts_ms")
             .write.mode("append")
-            .partitionBy("status", "tool", "dt")
+            .partitionBy(*partitions)
             .parquet(self._path("records"))
         )
 
