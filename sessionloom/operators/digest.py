@@ -22,7 +22,19 @@ def session_digest(
     Three exchanges, none of them on whole turns: distinct candidates, ranks per session and kind, the survivors per session.
     The progress entries are limited to what a rendered digest can show.
     """
-    found = ds.candidates(ledger, ds.ALL_KINDS, error_roles, session)
+    return assemble(ds.candidates(ledger, ds.ALL_KINDS, error_roles, session))
+
+
+def session_state(ledger: DataFrame, error_roles: tuple[str, ...] = ("tool_result",)) -> DataFrame:
+    """What a batch of turns adds to the state of its sessions: a bounded number of short candidates each, no contents.
+
+    The union of a session's states goes into ``assemble`` in place of its turns.
+    """
+    return ds.best(ds.candidates(ledger, ds.ALL_KINDS, error_roles), ds.ALL_KINDS).drop("rank")
+
+
+def assemble(found: DataFrame) -> DataFrame:
+    """Digest rows from the candidates, or the collected states, of sessions."""
     best = ds.rank(found, ds.ALL_KINDS)
 
     def one(kind: ds.Kind, value: Column) -> Column:
@@ -66,7 +78,12 @@ def progress_lines(session_id: Column, entries: Column, next_action: Column) ->
 
 
 def render_digest(digest: DataFrame) -> DataFrame:
-    """``session_id, body``: fixed section order, empty list sections left out, at most 150 lines.
+    """``session_id, body`` of the rendered documents."""
+    return with_body(digest).select("session_id", "body")
+
+
+def with_body(digest: DataFrame) -> DataFrame:
+    """Adds the rendered ``body``: fixed section order, empty list sections left out, at most 150 lines.
 
     Optional columns: ``session_activity`` (array), ``git_context``.
     """
@@ -100,6 +117,5 @@ def render_digest(digest: DataFrame) -> DataFrame:
     cut = F.concat(F.slice("all_lines", 1, MAX_DIGEST_LINES - 1), F.array(F.lit(CUT_LINE)))
     shown_lines = F.when(F.size("all_lines") > MAX_DIGEST_LINES, cut).otherwise(F.col("all_lines"))
     body = F.col("body")
-    return rows.withColumn("body", F.array_join(shown_lines, "\n")).select(
-        "session_id", F.when(F.endswith(body, F.lit("\n")), body).otherwise(F.concat(body, F.lit("\n"))).alias("body")
-    )
+    closed = F.when(F.endswith(body, F.lit("\n")), body).otherwise(F.concat(body, F.lit("\n")))
+    return rows.withColumn("body", F.array_join(shown_lines, "\n")).withColumn("body", closed).drop("all_lines")

@@ -180,14 +180,17 @@ def candidates(
     )
 
 
-def rank(found: DataFrame, kinds: tuple[Kind, ...]) -> DataFrame:
-    """Distinct candidates per session, best ranks only: ``session_id, kind, rank, text, pos``."""
-    newest = F.col("kind").isin(*[k.name for k in kinds if k.newest_first]) if any(
-        k.newest_first for k in kinds
-    ) else F.lit(False)
+def best(found: DataFrame, kinds: tuple[Kind, ...]) -> DataFrame:
+    """Distinct candidates of each session, best ranks only: the candidate columns plus ``rank``.
+
+    Mergeable: the best of several bests together equals the best of everything, because a candidate that was cut off can only
+    come back through an occurrence that ranks by itself. So the result can be kept as the state of a session.
+    """
+    newest = [k.name for k in kinds if k.newest_first]
+    is_newest = F.col("kind").isin(*newest) if newest else F.lit(False)
     both = F.struct("pos", "value")
     distinct = found.groupBy("session_id", "kind", "key").agg(
-        F.min(F.when(~newest, both)).alias("first"), F.max(F.when(newest, both)).alias("last")
+        F.min(F.when(~is_newest, both)).alias("first"), F.max(F.when(is_newest, both)).alias("last")
     )
     w = Window.partitionBy("session_id", "kind").orderBy(
         F.col("first.pos").asc(), F.col("last.pos").desc(), F.col("key").asc()
@@ -198,15 +201,20 @@ def rank(found: DataFrame, kinds: tuple[Kind, ...]) -> DataFrame:
         ranked = ranked.filter(
             ~F.col("kind").isin(*[k.name for k in kinds if k.limit == limit]) | (F.col("rank") <= limit)
         )
-    best = F.coalesce("first", "last")
-    text = F.coalesce(best["value"], F.nullif(F.col("key"), F.lit("")))
+    kept = F.coalesce("first", "last")
+    return ranked.select("session_id", "kind", "key", kept["value"].alias("value"), kept["pos"].alias("pos"), "rank")
+
+
+def rank(found: DataFrame, kinds: tuple[Kind, ...]) -> DataFrame:
+    """``session_id, kind, rank, text, pos`` of the best candidates."""
+    text = F.coalesce("value", F.nullif(F.col("key"), F.lit("")))
     bullets = F.col("kind").isin(QUESTION.name, FAILED.name)
-    return ranked.select(
+    return best(found, kinds).withColumn("text", text).select(
         "session_id",
         "kind",
         "rank",
-        F.when(bullets, tx.truncate_at_word(text, MAX_BULLET_CHARS)).otherwise(text).alias("text"),
-        best["pos"].alias("pos"),
+        F.when(bullets, tx.truncate_at_word(F.col("text"), MAX_BULLET_CHARS)).otherwise(F.col("text")).alias("text"),
+        "pos",
     )
 
 

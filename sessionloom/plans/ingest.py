@@ -102,12 +102,22 @@ def _batch_turns(warehouse: Warehouse, batch_id: int) -> DataFrame:
 
 
 def refresh_digests(warehouse: Warehouse, batch_id: int) -> None:
-    """Digest again exactly the sessions that got turns in this batch."""
-    touched = _batch_turns(warehouse, batch_id).select("session_id").distinct()
-    turns = warehouse.ledger().join(touched, "session_id", "left_semi")
-    digests = digest.session_digest(turns)
-    bodies = digest.render_digest(digests)
-    warehouse.append_digests(digests.join(bodies, "session_id"), batch_id)
+    """Digest again exactly the sessions that got turns in this batch.
+
+    The batch's turns are folded into session state, and digests come from the state: the stored contents of the ledger are
+    never read again, so a batch costs what it brings, not what has gathered.
+    """
+    turns = _batch_turns(warehouse, batch_id)
+    warehouse.append_session_state(digest.session_state(turns))
+    touched = turns.select("session_id").distinct()
+    digests = digest.assemble(warehouse.session_state().join(touched, "session_id", "left_semi"))
+    warehouse.append_digests(digest.with_body(digests), batch_id)
+
+
+def rebuild_digests(warehouse: Warehouse, batch_id: int) -> None:
+    """Digest every session from the ledger itself."""
+    digests = digest.session_digest(warehouse.ledger())
+    warehouse.append_digests(digest.with_body(digests), batch_id)
 
 
 def with_projects(turns: DataFrame, offsets: DataFrame, home: Column | None = None) -> DataFrame:
@@ -132,7 +142,7 @@ def extend_logs(warehouse: Warehouse, batch_id: int) -> None:
     newest = turns.groupBy("session_id").agg(
         F.max_by("project", F.struct("ts_ms", "source_path", "end_offset")).alias("project"), F.max("ts_ms").alias("ts_ms")
     )
-    digests = warehouse.digests().join(newest, "session_id")
+    digests = warehouse.digest_log().filter(F.col("batch_id") == batch_id).join(newest, "session_id")
     sections = F.array(
         F.struct(F.lit("task").alias("section"), F.col("task").alias("value")),
         F.struct(F.lit("next_action").alias("section"), F.col("next_action").alias("value")),

@@ -100,6 +100,18 @@ class Warehouse:
         rows = state.select("workspace_id", "n_seen", "last_text", F.lit(batch_id).cast("bigint").alias("batch_id"))
         rows.write.mode("append").parquet(self._path("workspace_state"))
 
+    # -- session state -----------------------------------------------------------------------------------------------------
+    _STATE = (
+        "session_id string, kind string, key string, value string, "
+        "pos struct<ord:struct<ts_ms:bigint,source_path:string,end_offset:bigint>,line:int,item:int>"
+    )
+
+    def session_state(self) -> DataFrame:
+        return self._read("session_state", self._STATE)
+
+    def append_session_state(self, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(self._path("session_state"))
+
     # -- digests -----------------------------------------------------------------------------------------------------------
     _DIGEST = (
         "session_id string, source_tool string, timestamp_iso string, task string, next_action string, "
@@ -112,9 +124,9 @@ class Warehouse:
 
     def append_digests(self, digests: DataFrame, batch_id: int) -> None:
         """Refreshed digests of a batch."""
-        digests.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(
-            self._path("session_digest")
-        )
+        columns = [f.split()[0] for f in self._DIGEST.split(", ")]
+        rows = digests.withColumn("batch_id", F.lit(batch_id).cast("bigint")).select(*columns)
+        rows.write.mode("append").partitionBy("batch_id").parquet(self._path("session_digest"))
 
     def digests(self) -> DataFrame:
         """Latest digest per session."""

@@ -74,6 +74,8 @@ def test_growing_file_equals_one_read(spark, tmp_path):
     ingest.ingest_path(whole, "claude", str(tmp_path / "t"), 0)
     grown, once = snapshot(wh), snapshot(whole)
     assert grown[0] == once[0] and grown[1] == once[1] and grown[2] == once[2]
+    ingest.rebuild_digests(wh, 2)
+    assert snapshot(wh)[1] == once[1]
 
 
 def test_retry_after_lost_offsets(spark, tmp_path, monkeypatch):
