@@ -169,8 +169,15 @@ def ingest_kv(warehouse: Warehouse, documents: DataFrame, batch_id: int) -> None
     )
     rejected = oversized.withColumn("status", F.lit("rejected"))
     state = kv.workspace_state(documents, seen)
-    warehouse.append_records(normalize.finish(prompts.unionByName(rejected, allowMissingColumns=True)), batch_id)
+    rows = normalize.finish(prompts.unionByName(rejected, allowMissingColumns=True))
+    # Prompt positions shift between reads, so they identify a prompt only within this batch: enough for a retry of it.
+    if warehouse.first_unfinished("cursor") is not None:
+        same = (F.col("tool") == "cursor") & (F.col("batch_id") == batch_id)
+        rows = incremental.not_yet_stored(rows, warehouse.records().filter(same))
+    warehouse.begin_batch("cursor", batch_id)
+    warehouse.append_records(rows, batch_id)
     warehouse.append_workspace_state(state, batch_id)
+    warehouse.end_batch("cursor", batch_id)
     refresh_digests(warehouse, batch_id)
     extend_logs(warehouse, batch_id)
 
