@@ -46,8 +46,8 @@ def rtrim(c: Column) -> Column:
 
 
 def first_line(c: Column) -> Column:
-    """First non-blank line, trimmed (F3). After trimming, that is whatever precedes the first newline."""
-    return trim(F.substring_index(trim(c), "\n", 1))
+    """First non-blank line, trimmed (F3): what precedes the first newline once leading blanks are gone."""
+    return rtrim(F.substring_index(F.ltrim(c, F.lit(BLANKS)), "\n", 1))
 
 
 def collapse(c: Column) -> Column:
@@ -78,7 +78,7 @@ def strip_code_fences(c: Column) -> Column:
     unix = F.replace(c, F.lit("\r\n"), F.lit("\n"))
     pieces = F.split(unix, FENCE_LINE)
     kept = F.array_join(F.filter(pieces, lambda x, i: (i % 2 == 0) | (i == F.size(pieces) - 1)), "")
-    return trim(F.when(F.contains(unix, F.lit("```")), kept).otherwise(unix))
+    return trim(F.when(F.contains(c, F.lit("```")), kept).otherwise(unix))
 
 
 def lines(c: Column) -> Column:
@@ -89,7 +89,8 @@ def lines(c: Column) -> Column:
 def question_sentences(line: Column) -> Column:
     """Sentences of a line that end with a question mark."""
     cut = F.transform(F.split(line, SENTENCE_CUT), trim)
-    return F.filter(cut, lambda s: F.endswith(s, F.lit("?")))
+    asked = F.filter(cut, lambda s: F.endswith(s, F.lit("?")))
+    return F.when(F.contains(line, F.lit("?")), asked).otherwise(F.array().cast("array<string>"))
 
 
 def marker_capture(line: Column, marker: str) -> Column:

@@ -64,6 +64,13 @@ def ingest_lines(
     if mode == "FAILFAST":
         normalized = normalize.fail_on_reject(normalized)
     store_batch(warehouse, normalized, tool, batch_id, projects, full_refresh)
+    digest_batch(warehouse, batch_id)
+
+
+def digest_batch(warehouse: Warehouse, batch_id: int) -> None:
+    """Digests and logs of a stored batch; a batch without turns (T9) leaves only its offsets."""
+    if _batch_turns(warehouse, batch_id).isEmpty():
+        return
     refresh_digests(warehouse, batch_id)
     extend_logs(warehouse, batch_id)
 
@@ -178,8 +185,7 @@ def ingest_kv(warehouse: Warehouse, documents: DataFrame, batch_id: int) -> None
     warehouse.append_records(rows, batch_id)
     warehouse.append_workspace_state(state, batch_id)
     warehouse.end_batch("cursor", batch_id)
-    refresh_digests(warehouse, batch_id)
-    extend_logs(warehouse, batch_id)
+    digest_batch(warehouse, batch_id)
 
 
 def legacy_kv_turns(documents: DataFrame, watermarks: DataFrame | None = None) -> DataFrame:

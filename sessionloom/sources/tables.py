@@ -138,6 +138,17 @@ class Warehouse:
             .select("session_id", "d.*")
         )
 
+    def write_documents(self, folder: str) -> None:
+        """The latest rendered digests as text, one folder per tool."""
+        rows = self.digests().select(F.col("source_tool").alias("tool"), F.col("body").alias("value"))
+        rows.write.mode("overwrite").partitionBy("tool").text(folder)
+
+    def write_audit_log(self, folder: str) -> None:
+        """Rejected records as JSON lines; a message names the position, never the content."""
+        message = F.concat_ws(" ", F.col("reason"), F.lit("at byte"), F.col("end_offset").cast("string"), F.lit("of"), F.col("source_path"))
+        rows = self.rejects().select(F.lit("error").alias("level"), "tool", "batch_id", message.alias("message"))
+        rows.write.mode("overwrite").json(folder)
+
     # -- progress and history ----------------------------------------------------------------------------------------------
     def progress_log(self) -> DataFrame:
         order = "struct<batch_id:bigint,ts_ms:bigint,source_path:string,end_offset:bigint>"

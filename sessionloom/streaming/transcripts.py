@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sessionloom.plans import ingest
@@ -38,6 +39,30 @@ def start_ingest(
     return writer.start()
 
 
+def ingest_on_signals(
+    warehouse: Warehouse, signals: DataFrame, roots: dict[str, str], checkpoint: str, *, available_now: bool = False
+) -> StreamingQuery:
+    """Entry of hook and watch notifications: a batch of signals reads what is new for the tools it names.
+
+    ``roots`` maps a tool to its transcript folder. A signal that asks for a rescan (T8) makes every tool read from the start;
+    stored positions keep that from adding anything twice.
+    """
+    order = sorted(roots)
+
+    def one_batch(batch: DataFrame, batch_id: int) -> None:
+        scoped = Warehouse(configure(batch.sparkSession), warehouse.root)
+        rescan = not batch.filter("rescan").isEmpty()
+        # At most one row per configured tool comes to the driver.
+        named = {r["tool"] for r in batch.filter(F.col("tool").isin(order)).select("tool").distinct().collect()}
+        for i, tool in enumerate(order):
+            if rescan or tool in named:
+                ingest.ingest_path(scoped, tool, roots[tool], batch_id * len(order) + i, full_refresh=rescan)
+
+    writer = signals.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")
+    return writer.start()
+
+
 def poll_growing_files(
     warehouse: Warehouse, tool: str, path: str, checkpoint: str, interval: str = "30 seconds"
 ) -> StreamingQuery:

@@ -142,3 +142,30 @@ def test_stream_equals_batch(spark, tmp_path):
     again = transcripts.start_ingest(stream_wh, transcripts.transcript_stream(spark, str(tmp_path / "t")), "claude", str(tmp_path / "cp"), available_now=True)
     again.awaitTermination(120)
     assert snapshot(stream_wh) == snapshot(batch_wh)
+
+
+def test_signals_drive_ingest(spark, tmp_path):
+    """A hook names one tool; a rescan reads both; nothing is stored twice."""
+    write(str(tmp_path / "t" / "-work-demo" / "a.jsonl"), LINES)
+    write(str(tmp_path / "s" / "rollout-1.jsonl"), codex_lines())
+    roots = {"claude": str(tmp_path / "t"), "codex": str(tmp_path / "s")}
+    schema = "tool string, path string, session_id string, ts timestamp, rescan boolean"
+    wh = ingest.open_warehouse(spark, str(tmp_path / "wh"))
+
+    def signal(name, tool, rescan):
+        spark.createDataFrame([(tool, "x", "default", rescan)], "tool string, path string, session_id string, rescan boolean").withColumn(
+            "ts", F.current_timestamp()
+        ).write.json(str(tmp_path / "signals" / name))
+        stream = spark.readStream.schema(schema).json(str(tmp_path / "signals" / "*"))
+        query = transcripts.ingest_on_signals(wh, stream, roots, str(tmp_path / "cp"), available_now=True)
+        query.awaitTermination(120)
+        assert query.exception() is None
+
+    signal("1", "claude", False)
+    assert {r["tool"] for r in wh.ledger().collect()} == {"claude"}
+    signal("2", "claude", True)
+    assert wh.ledger().groupBy("tool").count().collect().__len__() == 2 and wh.ledger().count() == 8
+    wh.write_documents(str(tmp_path / "docs"))
+    assert spark.read.text(str(tmp_path / "docs")).filter("value like '# Last updated%'").count() == 3
+    wh.write_audit_log(str(tmp_path / "audit"))
+    assert "corrupt json at byte" in spark.read.json(str(tmp_path / "audit")).first()["message"]

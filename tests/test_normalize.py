@@ -7,16 +7,12 @@ from pyspark.sql import functions as F
 
 from sessionloom.operators import hooks, incremental, normalize, reads
 from sessionloom.sources import hooks as hook_source
+from sessionloom.sources import memory
 from sessionloom.streaming import signals
 
 
 def raw(spark, lines, tool="claude", path="f"):
-    rows, at = [], 0
-    for line in lines:
-        text = line if isinstance(line, str) else json.dumps(line, ensure_ascii=False)
-        rows.append((tool, path, at, at + len(text.encode()) + 1, text, True))
-        at = rows[-1][3]
-    return spark.createDataFrame(rows, "tool string, source_path string, start_offset bigint, end_offset bigint, line string, is_complete boolean")
+    return memory.records(spark, tool, path, [x if isinstance(x, str) else json.dumps(x, ensure_ascii=False) for x in lines])
 
 
 def base(**over):
