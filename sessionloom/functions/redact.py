@@ -69,7 +69,7 @@ def leaks(c: Column) -> Column:
     return hit
 
 
-def _replace_paths(df: DataFrame, column: str, pattern: str, hint: str) -> DataFrame:
+def _replace_paths(df: DataFrame, column: str, pattern: str, hint: str, opening: str, closing: str) -> DataFrame:
     """One path rule: new paths join the document's list of known paths, every match becomes its position in it."""
     none = F.array().cast("array<string>")
     regex = F.lit(pattern)
@@ -78,7 +78,7 @@ def _replace_paths(df: DataFrame, column: str, pattern: str, hint: str) -> DataF
         "__paths", F.concat("__paths", F.array_except(F.array_distinct("__found"), F.col("__paths")))
     )
     name = lambda i: F.concat(
-        F.lit(SYNTHETIC), F.array_position(F.col("__paths"), F.get(F.col("__found"), i)).cast("string")
+        F.lit(opening), F.array_position(F.col("__paths"), F.get(F.col("__found"), i)).cast("string"), F.lit(closing)
     )
     pieces = F.transform(
         F.split(F.col(column), pattern), lambda piece, i: F.concat(piece, F.coalesce(name(i), F.lit("")))
@@ -86,13 +86,17 @@ def _replace_paths(df: DataFrame, column: str, pattern: str, hint: str) -> DataF
     return df.withColumn(column, F.when(F.size("__found") > 0, F.array_join(pieces, "")).otherwise(F.col(column)))
 
 
+def number_paths(df: DataFrame, column: str, opening: str = SYNTHETIC, closing: str = "") -> DataFrame:
+    """Replace personal paths by their number in the row's list ``__paths``, set between ``opening`` and ``closing``."""
+    df = df.withColumn("__paths", F.array().cast("array<string>"))
+    for pattern, hint in zip(PATH_PATTERNS, PATH_HINTS):
+        df = _replace_paths(df, column, pattern, hint, opening, closing)
+    return df.drop("__found")
+
+
 def redact(df: DataFrame, column: str) -> DataFrame:
     """Redact a text column; personal paths are numbered per row in first-seen order.
 
     The numbering restarts with every row, so rows stay independent and need no shuffle.
     """
-    df = redact_secrets(df, column)
-    df = df.withColumn("__paths", F.array().cast("array<string>"))
-    for pattern, hint in zip(PATH_PATTERNS, PATH_HINTS):
-        df = _replace_paths(df, column, pattern, hint)
-    return df.drop("__found", "__paths")
+    return number_paths(redact_secrets(df, column), column).drop("__paths")

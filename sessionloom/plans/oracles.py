@@ -476,6 +476,15 @@ rd AS (SELECT doc_id, list_reduce(list_transform(todo, lambda t: t), lambda a, t
 
 ORACLES["redact_documents"] = f"WITH {_numbered_paths('documents')} SELECT * FROM rd"
 ORACLES["redact_augmented"] = f"WITH {_WITH_PATHS}, {_numbered_paths('x')} SELECT * FROM rd"
+ORACLES["redact_run"] = f"""WITH {_WITH_PATHS}, {_numbered_paths('x')},
+us AS (SELECT doc_id, unnest(paths) AS path, generate_subscripts(paths, 1) AS nth FROM m2),
+fs AS (SELECT path, min(doc_id * 100000 + nth) AS first FROM us GROUP BY path),
+nu AS (SELECT path, row_number() OVER (ORDER BY first) AS number FROM fs),
+td AS (SELECT doc_id, list({{'n': -length(path), 'x': path, 'i': number}} ORDER BY -length(path), path) AS todo
+       FROM us JOIN nu USING (path) GROUP BY doc_id)
+SELECT m0.doc_id, CASE WHEN todo IS NULL THEN text ELSE list_reduce(todo, lambda a, t: {{'n': CAST(0 AS BIGINT),
+       'x': replace(a.x, t.x, '/synthetic/path/' || t.i), 'i': CAST(0 AS BIGINT)}}, {{'n': CAST(0 AS BIGINT), 'x': text, 'i': CAST(0 AS BIGINT)}}).x END AS text
+FROM m0 LEFT JOIN td USING (doc_id)"""
 _LEAK = (
     "regexp_matches({0}, 'sk-[A-Za-z0-9]{{20,}}|ghp_[A-Za-z0-9]{{36,}}|github_pat_[A-Za-z0-9_]{{36,}}|xox[baprs]-[A-Za-z0-9\\-]{{10,}}"
     "|AKIA[A-Z0-9]{{16}}|eyJ[A-Za-z0-9_\\-]+\\.[A-Za-z0-9_\\-]+\\.[A-Za-z0-9_\\-]+')"

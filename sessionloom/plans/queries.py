@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sessionloom.functions import redact as rd
 from sessionloom.functions import text as tx
 from sessionloom.functions import variant as vr
-from sessionloom.operators import activity, digest, distill, hooks, incremental, kv, normalize, progress, reads, versions, windows
+from sessionloom.operators import activity, digest, distill, hooks, incremental, kv, normalize, progress, reads, redaction, versions, windows
 from sessionloom.plans import views
 from sessionloom.session import configure, shared_dir
 from sessionloom.sources import jsonl
@@ -632,6 +632,12 @@ def redact_augmented(spark, sf):
     return rd.redact(_documents_with_paths(spark, sf), "text")
 
 
+@query
+def redact_run(spark, sf):
+    """Path numbers over all documents in order of their id."""
+    return redaction.redact_run(_documents_with_paths(spark, sf), "doc_id", "text")
+
+
 @query
 def redact_selfcheck(spark, sf):
     docs = _documents_with_paths(spark, sf).withColumn("leaks_before", rd.leaks(F.col("text")))

@@ -185,3 +185,21 @@ def test_redaction_rules(spark):
     # Clean text stays as it is (two addresses run together read as one address afterwards).
     again = rd.redact(once.filter("raw not like 'mail%'"), "text").collect()
     assert all(r["text"] == lines[r["raw"]] for r in again)
+
+
+def test_run_numbering(spark):
+    """Numbers go on over rows, in row order; a path around a replaced one is one path wherever it occurs."""
+    from sessionloom.operators.redaction import redact_run
+
+    texts = {
+        5: "/home/z/1 /Users/b/home/c again /home/z/1",
+        1: "none",
+        2: "/Users/b/x and /home/z/1",
+        7: "/home/q /Users/b/home/c C:\\Users\\d",
+        6: "/Users/b/x",
+    }
+    df = spark.createDataFrame(list(texts.items()), "id int, text string").repartition(3)
+    got = {r["id"]: r["text"] for r in redact_run(df, "id", "text").collect()}
+    p = "/synthetic/path/"
+    # Row 2: home first (1), then Users (2). Row 5: /home/z/1 is 1, /home/c is 3, the path around it 4. Row 7: /home/q is 5, drive path 6.
+    assert got == {1: "none", 2: f"{p}2 and {p}1", 5: f"{p}1 {p}4 again {p}1", 6: f"{p}2", 7: f"{p}5 {p}4 {p}6"}
