@@ -1,7 +1,7 @@
 """Key-value transcripts: composer headers, prompts and generations.
 
 Input is ``kv(store, workspace_id, key, value)``: one JSON document per row, ``workspace_id`` null for a store's global
-documents. ``store`` names one installation; without that column there is one store.
+documents. ``store`` names one installation and is part of every key; without that column there is one store.
 """
 
 from __future__ import annotations
@@ -37,6 +37,11 @@ def split_oversized(kv: DataFrame, cap: int = MAX_VALUE_BYTES) -> tuple[DataFram
     return kv.filter(~too_big | F.col("value").isNull()), rejected
 
 
+def _workspace(df: DataFrame) -> list[str]:
+    """Key columns of a workspace."""
+    return ["store", "workspace_id"] if "store" in df.columns else ["workspace_id"]
+
+
 def _documents(kv: DataFrame, key: str) -> DataFrame:
     return kv.filter(F.col("key") == key).withColumn("v", vr.parse_strict(F.col("value")))
 
@@ -48,10 +53,12 @@ def _id(item: Column, path: str) -> Column:
 def composers(kv: DataFrame) -> DataFrame:
     """Header documents flattened; composers without an id or a workspace are dropped."""
     item = F.col("item")
+    store = _workspace(kv)[:-1]
     return (
         _documents(kv, HEADERS_KEY)
-        .select(F.posexplode(vr.as_array(vr.get(F.col("v"), ".allComposers"))).alias("pos", "item"))
+        .select(*store, F.posexplode(vr.as_array(vr.get(F.col("v"), ".allComposers"))).alias("pos", "item"))
         .select(
+            *store,
             _id(item, ".composerId").alias("composer_id"),
             _id(item, ".workspaceIdentifier.id").alias("workspace_id"),
             F.coalesce(vr.item_string(item, ".workspaceIdentifier.uri.fsPath"), F.lit("")).alias("fs_path"),
@@ -72,9 +79,9 @@ def owning_composer(found: DataFrame) -> DataFrame:
     order = F.struct(F.col("last_updated_ms"), -F.col("pos"), F.col("composer_id"))
     return (
         found.filter(is_safe_id(F.col("workspace_id")))
-        .groupBy("workspace_id")
+        .groupBy(*_workspace(found))
         .agg(F.max_by(F.struct("composer_id", "fs_path", "last_updated_ms"), order).alias("c"))
-        .select("workspace_id", "c.*")
+        .select(*_workspace(found), "c.*")
     )
 
 
@@ -85,19 +92,20 @@ def workspace_prompts(kv: DataFrame, seen: DataFrame | None = None) -> DataFrame
     same position, else the composer's. Both arrays live in one row per workspace, so pairing them needs no join of exploded rows.
     """
     text_of = lambda x: vr.item_string(x, ".text")
+    keys = _workspace(kv)
     prompts = _documents(kv, PROMPTS_KEY).select(
-        "workspace_id", F.transform(vr.as_array(vr.get(F.col("v"))), text_of).alias("texts")
+        *keys, F.transform(vr.as_array(vr.get(F.col("v"))), text_of).alias("texts")
     )
     times = F.transform(vr.as_array(vr.get(F.col("v"))), lambda x: vr.item_long(x, ".unixMs"))
     generations = _documents(kv, GENERATIONS_KEY).select(
-        "workspace_id", F.filter(times, lambda t: t.isNotNull()).alias("times")
+        *keys, F.filter(times, lambda t: t.isNotNull()).alias("times")
     )
     owner = owning_composer(composers(kv))
-    joined = owner.join(prompts, "workspace_id").join(generations, "workspace_id", "left")
+    joined = owner.join(prompts, keys).join(generations, keys, "left")
     if seen is None:
         joined = joined.withColumn("n_seen", F.lit(0)).withColumn("last_text", F.lit(None).cast("string"))
     else:
-        joined = joined.join(seen, "workspace_id", "left").withColumn("n_seen", F.coalesce("n_seen", F.lit(0)))
+        joined = joined.join(seen, keys, "left").withColumn("n_seen", F.coalesce("n_seen", F.lit(0)))
     size = F.size("texts")
     back = F.array_position(F.reverse("texts"), F.col("last_text"))
     resume = F.when(F.col("last_text").isNull(), F.least(F.col("n_seen"), size)).otherwise(
@@ -108,7 +116,7 @@ def workspace_prompts(kv: DataFrame, seen: DataFrame | None = None) -> DataFrame
         .select("*", F.posexplode("texts").alias("pos", "text"))
         .filter("pos >= resume and text is not null and text <> ''")
         .select(
-            "workspace_id",
+            *keys,
             "composer_id",
             "fs_path",
             F.col("pos").cast("bigint").alias("pos"),
@@ -120,20 +128,20 @@ def workspace_prompts(kv: DataFrame, seen: DataFrame | None = None) -> DataFrame
 
 def workspace_state(kv: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """State to keep for the next read: prompts seen so far and the last prompt of the array."""
+    keys = _workspace(kv)
     prompts = _documents(kv, PROMPTS_KEY).select(
-        "workspace_id",
-        F.transform(vr.as_array(vr.get(F.col("v"))), lambda x: vr.item_string(x, ".text")).alias("texts"),
+        *keys, F.transform(vr.as_array(vr.get(F.col("v"))), lambda x: vr.item_string(x, ".text")).alias("texts")
     )
-    owned = prompts.join(owning_composer(composers(kv)).select("workspace_id"), "workspace_id", "left_semi")
+    owned = prompts.join(owning_composer(composers(kv)).select(*keys), keys, "left_semi")
     now = owned.select(
-        "workspace_id",
+        *keys,
         F.size("texts").alias("n_now"),
         F.when(F.size("texts") > 0, F.element_at("texts", -1)).alias("text_now"),
     )
     if seen is None:
-        return now.select("workspace_id", F.col("n_now").alias("n_seen"), F.col("text_now").alias("last_text"))
-    return now.join(seen, "workspace_id", "full").select(
-        "workspace_id",
+        return now.select(*keys, F.col("n_now").alias("n_seen"), F.col("text_now").alias("last_text"))
+    return now.join(seen, keys, "full").select(
+        *keys,
         F.coalesce("n_now", "n_seen").alias("n_seen"),
         F.coalesce("text_now", "last_text").alias("last_text"),
     )

@@ -42,7 +42,8 @@ def global_rank(df: DataFrame, order: str, out: str) -> DataFrame:
     before it, one row each. The ranges are checkpointed so that both uses see the same ones.
     """
     spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     ranged = df.repartitionByRange(order).withColumn("__part", F.spark_partition_id()).checkpoint()
     sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

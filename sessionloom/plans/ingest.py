@@ -160,11 +160,13 @@ def extend_logs(warehouse: Warehouse, batch_id: int) -> None:
 
 def ingest_kv(warehouse: Warehouse, documents: DataFrame, batch_id: int) -> None:
     """Key-value stores: prompts of the current layout where a store has composer headers, the older layout elsewhere."""
+    if "store" not in documents.columns:
+        documents = documents.withColumn("store", F.lit(""))
     documents, oversized = kv.split_oversized(documents)
     seen = warehouse.workspace_state()
     prompts = kv.workspace_prompts(documents, seen).select(
         F.lit("cursor").alias("tool"),
-        F.col("workspace_id").alias("source_path"),
+        F.concat_ws("/", "store", "workspace_id").alias("source_path"),
         (F.col("pos") + 1).alias("end_offset"),
         F.col("composer_id").alias("session_id"),
         "ts_ms",

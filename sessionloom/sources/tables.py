@@ -92,12 +92,14 @@ class Warehouse:
     # -- key-value state ---------------------------------------------------------------------------------------------------
     def workspace_state(self) -> DataFrame:
         """Latest prompt state per workspace."""
-        log = self._read("workspace_state", "workspace_id string, n_seen int, last_text string, batch_id bigint")
+        log = self._read(
+            "workspace_state", "store string, workspace_id string, n_seen int, last_text string, batch_id bigint"
+        )
         latest = F.max_by(F.struct("n_seen", "last_text"), F.col("batch_id"))
-        return log.groupBy("workspace_id").agg(latest.alias("s")).select("workspace_id", "s.*")
+        return log.groupBy("store", "workspace_id").agg(latest.alias("s")).select("store", "workspace_id", "s.*")
 
     def append_workspace_state(self, state: DataFrame, batch_id: int) -> None:
-        rows = state.select("workspace_id", "n_seen", "last_text", F.lit(batch_id).cast("bigint").alias("batch_id"))
+        rows = state.select("store", "workspace_id", "n_seen", "last_text", F.lit(batch_id).cast("bigint").alias("batch_id"))
         rows.write.mode("append").parquet(self._path("workspace_state"))
 
     # -- session state -----------------------------------------------------------------------------------------------------

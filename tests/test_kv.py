@@ -88,12 +88,22 @@ def test_prompts(documents):
      (3, None, ["first", "third"]), (99, None, [])],
 )
 def test_resume(spark, documents, n_seen, last_text, texts):
+    documents = documents.drop("store")
     seen = spark.createDataFrame([("wa", n_seen, last_text)], "workspace_id string, n_seen int, last_text string")
     got = [p[3] for p in prompts(kv.workspace_prompts(documents, seen)) if p[0] == "wa"]
     assert got == texts
 
 
+def test_two_stores_do_not_mix(spark, documents):
+    other = documents.filter(F.col("workspace_id").isNull() | (F.col("workspace_id") == "wb")).withColumn("store", F.lit("other"))
+    both = documents.unionByName(other)
+    one, two = kv.workspace_prompts(documents), kv.workspace_prompts(both)
+    assert two.count() == one.count() + 1
+    assert two.filter("store = 'other'").count() == 1
+
+
 def test_state(spark, documents):
+    documents = documents.drop("store")
     state = kv.workspace_state(documents)
     assert {tuple(r) for r in state.collect()} == {("wa", 6, "third"), ("wb", 1, "only")}
     assert kv.workspace_prompts(documents, state).count() == 0
