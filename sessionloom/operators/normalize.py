@@ -122,7 +122,8 @@ def _opened_session(v: Column) -> Column:
 def normalize_codex(raw: DataFrame, offsets: DataFrame | None = None) -> DataFrame:
     """``event_msg`` records take the session of the latest ``session_meta`` before them in the file.
 
-    For an incremental read, ``offsets`` seeds that session per source.
+    A scan with ``SESSION_CONTEXT`` delivers that session with each record. Records from elsewhere get it here by
+    ``carry_forward``; if they are only the newer part of their sources, ``offsets`` seeds it per source.
     """
     v = F.col("v")
     kind = F.coalesce(vr.string_at(v, ".type"), F.lit(""))
@@ -132,9 +133,10 @@ def normalize_codex(raw: DataFrame, offsets: DataFrame | None = None) -> DataFra
     iso = vr.iso_to_ms(vr.string_at(v, ".timestamp"))
     calls = vr.get(v, ".tool_calls")
     old = new_role.isNull()
+    known = [c for c in ("context_session_id",) if c in raw.columns]
     parsed = vr.computed_once(
         raw.withColumn("v", vr.parse(F.col("line"))),
-        _POSITION,
+        _POSITION + known,
         corrupt=~vr.well_formed(v),
         kind=kind,
         old=old,
@@ -148,12 +150,15 @@ def normalize_codex(raw: DataFrame, offsets: DataFrame | None = None) -> DataFra
         calls=F.when(old & F.startswith(vr.type_of(calls), F.lit("ARRAY")), vr.as_array(calls)),
         event_seq=F.when(vr.well_formed(v) & (kind == "event_msg"), vr.long_at(v, ".seq")),
     )
-    # Only a line that contains the type's name can open a session; the others need no parsing for the summary.
-    opened = F.when(F.contains("line", F.lit("session_meta")), _opened_session(vr.parse(F.col("line"))))
-    marks = raw.select("source_path", "end_offset", opened.alias("value"))
-    rows = carry_forward(
-        parsed, "source_path", "end_offset", F.col("meta_session"), "context_session_id", marks=marks
-    )
+    if "context_session_id" in raw.columns:
+        rows = parsed
+    else:
+        # Only a line that contains the type's name can open a session; the others need no parsing for the summary.
+        opened = F.when(F.contains("line", F.lit("session_meta")), _opened_session(vr.parse(F.col("line"))))
+        marks = raw.select("source_path", "end_offset", opened.alias("value"))
+        rows = carry_forward(
+            parsed, "source_path", "end_offset", F.col("meta_session"), "context_session_id", marks=marks
+        )
     if offsets is not None:
         seed = offsets.select("source_path", F.col("last_session_id").alias("seed"))
         rows = rows.join(seed, "source_path", "left").withColumn(

@@ -52,15 +52,13 @@ def ingest_lines(
     known = warehouse.offset_log().filter(F.col("tool") == tool)
     offsets = broadcast_if_small(incremental.current_offsets(known))
     # An unterminated tail fails a strict read of the tools that write whole records only.
-    raw = jsonl.scan_jsonl(lines, tool, mode if tool == "codex" else "PERMISSIVE")
+    kind = source_kind or tool
+    context = jsonl.SESSION_CONTEXT if kind == "codex" else None
+    raw = jsonl.scan_jsonl(lines, tool, mode if tool == "codex" else "PERMISSIVE", context)
     if not full_refresh:
         raw = incremental.read_since(raw, offsets)
-    normalizer = normalize.NORMALIZERS[source_kind or tool]
-    if normalizer is normalize.normalize_codex:
-        normalized = normalize.normalize_codex(raw, None if full_refresh else offsets)
-        projects = normalize.file_projects(raw)
-    else:
-        normalized, projects = normalizer(raw), None
+    normalized = normalize.NORMALIZERS[kind](raw)
+    projects = normalize.file_projects(raw) if kind == "codex" else None
     if mode == "FAILFAST":
         normalized = normalize.fail_on_reject(normalized)
     store_batch(warehouse, normalized, tool, batch_id, projects, full_refresh)

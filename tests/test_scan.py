@@ -67,3 +67,33 @@ def test_listing(spark, tmp_path):
     rows = jsonl.list_sources(spark, str(tmp_path)).collect()
     assert {(r["project"], r["source_path"].rsplit("/", 1)[1]) for r in rows} == {(f"p{i % 2}", f"{i}.jsonl") for i in range(6)}
     assert all(r["size"] == os.path.getsize(r["source_path"].removeprefix("file:")) for r in rows)
+
+
+def test_context_crosses_splits_and_batches(spark, tmp_path, small_splits):
+    """The open session of every record, in one large file, against brute force; the Arrow batches are made tiny too."""
+    rng = random.Random(11)
+    lines, want, open_now = [], [], None
+    for n in range(3000):
+        if rng.random() < 0.003:
+            lines.append(f'{{"type":"session_meta","payload":{{"id":"c{n}"}}}}')
+            open_now = f"c{n}"
+        elif rng.random() < 0.01:
+            lines.append('{"type":"event_msg","text":"session_meta é"}')
+        elif rng.random() < 0.01:
+            lines.append('{"type":"session_meta"')
+        else:
+            lines.append("x" * rng.randrange(80))
+        want.append(open_now)
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.jsonl").write_text("".join(x + "\n" for x in (lines if name == "a" else lines[:50])), encoding="utf-8")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        raw = jsonl.scan_path(spark, "codex", str(tmp_path))
+        rows = raw.filter("source_path like '%/a.jsonl'").orderBy("end_offset").collect()
+        assert [r["line"] for r in rows] == lines
+        assert [r["context_session_id"] for r in rows] == want
+        other = raw.filter("source_path like '%/b.jsonl'").orderBy("end_offset").collect()
+        assert [r["context_session_id"] for r in other] == want[:50]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
