@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionloom.operators.sizes import broadcast_if_small
 from sessionloom.schemas import OFFSETS
 
 _SOURCE = ["tool", "source_path"]
@@ -68,7 +69,7 @@ def known_projects(offsets: DataFrame) -> DataFrame:
 
 def after_last_id(messages: DataFrame, watermarks: DataFrame, key: str = "source_key") -> DataFrame:
     """Messages whose id sorts after the stored id of their key."""
-    known = watermarks.select(key, "last_msg_id")
+    known = broadcast_if_small(watermarks.select(key, "last_msg_id"))
     return messages.join(known, key, "left").filter(F.col("msg_id") > F.coalesce("last_msg_id", F.lit(""))).drop(
         "last_msg_id"
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions import text as tx
+from sessionloom.operators.sizes import broadcast_if_small
 
 
 def merge_progress(existing: DataFrame, new: DataFrame, allowed_lateness_s: int = 0) -> DataFrame:
@@ -20,8 +21,9 @@ def merge_progress(existing: DataFrame, new: DataFrame, allowed_lateness_s: int
     if allowed_lateness_s:
         moved = F.to_timestamp("last_ts") - F.make_dt_interval(secs=F.lit(float(allowed_lateness_s)))
         last = last.select("project", F.date_format(moved, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last_ts"))
+    # One row per project; a hot project's lines should not meet in one join task.
     fresh = (
-        new.join(last, "project", "left")
+        new.join(broadcast_if_small(last), "project", "left")
         .filter(F.col("last_ts").isNull() | (stamp > F.col("last_ts")))
         .groupBy("project", "entry")
         .agg(F.min("ord").alias("ord"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionloom.operators.sizes import broadcast_if_small
+
 PREVIEW_CHARS = 60
 
 
@@ -33,7 +35,7 @@ def status(ledger: DataFrame, enabled_tools: DataFrame, n: int = 3) -> DataFrame
 
 def enabled_only(df: DataFrame, enabled_tools: DataFrame) -> DataFrame:
     """P24, J5."""
-    return df.join(enabled_tools.select("tool").distinct(), "tool", "left_semi")
+    return df.join(broadcast_if_small(enabled_tools.select("tool").distinct()), "tool", "left_semi")
 
 
 def newest_per_project(files: DataFrame) -> DataFrame:

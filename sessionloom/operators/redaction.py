@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions import redact as rd
+from sessionloom.operators.sizes import broadcast_if_small
 from sessionloom.session import shared_dir
 
 # A row's own path numbers stand between these private-use characters until the numbers over all rows are known. The slash keeps
@@ -67,7 +68,7 @@ def redact_run(df: DataFrame, order: str, column: str) -> DataFrame:
     first_seen = uses.groupBy("path").agg(F.min(F.struct(order, "at")).alias("first"))
     numbers = global_rank(first_seen, "first", "number").select("path", "number")
     of_row = (
-        uses.join(numbers, "path")
+        uses.join(broadcast_if_small(numbers), "path")
         .groupBy(order)
         .agg(F.array_sort(F.collect_list(F.struct("at", "number"))).alias("__numbers"))
         .select(order, F.transform("__numbers", lambda x: x["number"].cast("string")).alias("__numbers"))

@@ -148,12 +148,9 @@ def _totals(context: Context | None):
 
 
 def _splits_fit_broadcast(lines: DataFrame) -> bool:
-    """One row per split: their number follows from the input size, which the file listing knows."""
-    spark = lines.sparkSession
-    leaves = lines._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = int(str(leaves.head().stats().sizeInBytes()))
-    per_split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    return size // max(per_split, 1) + spark.sparkContext.defaultParallelism <= MAX_BROADCAST_SPLITS
+    """Is the table of splits small? Each split that starts inside a file follows a full-sized one, and a full-sized split fills a
+    partition, so there are no more of them than partitions, which are known before anything runs."""
+    return lines.rdd.getNumPartitions() <= MAX_BROADCAST_SPLITS
 
 
 def read_lines(spark: SparkSession, path: str | list[str], glob: str | None = "*.jsonl", **options: str) -> DataFrame:

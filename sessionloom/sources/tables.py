@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +25,13 @@ class Warehouse:
         return f"{self.root.rstrip('/')}/{name}"
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        path = self._path(name)
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        exists = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
-        if not exists:
+        """The table, or no rows if nothing was written to it yet."""
+        try:
+            return self.spark.read.schema(schema).parquet(self._path(name))
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
 
     # -- batches -----------------------------------------------------------------------------------------------------------
     def _mark(self, tool: str, batch_id: int, step: str) -> None:
