@@ -241,6 +241,9 @@ ORACLES["idle_sessions"] = f"WITH {_idle('event_type', 300)} SELECT event_id, ev
 for name, key, gap in (("idle_session_stats", "event_type", 300), ("idle_session_stats_by_user", "user_id", 3600)):
     ORACLES[name] = f"""WITH {_idle(key, gap)}
 SELECT {key}, session_no, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n_events FROM s GROUP BY ALL"""
+ORACLES["idle_session_live"] = f"""WITH {_idle('event_type', 300)}
+SELECT event_type, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n_events FROM s GROUP BY event_type, session_no
+HAVING epoch_us(max(ts)) + 299999999 <= (SELECT epoch_ms(max(ts)) FROM events) * 1000 - 600000000"""
 ORACLES["carry_forward_session"] = """
 WITH c AS (SELECT event_id, user_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS)
                   OVER (PARTITION BY user_id ORDER BY event_id) AS context_id FROM events)
@@ -298,6 +301,8 @@ nx AS (SELECT CASE WHEN fresh THEN context ELSE session_id END AS session_id, ts
 _FLAT = "nf AS (SELECT session_id, ts_ms, role, content FROM l3 WHERE (ts_ms // 1000) % 17 <> 0)"
 _PAST = f"""pl AS ({PLAIN_SQL}),
 nh AS (SELECT session_id, ts_ms, role, content FROM pl WHERE role = 'user' AND (ts_ms // 1000) % 9 <> 0 AND content <> '')"""
+ORACLES["ingest_digests"] = _digest(f"""WITH {_NUMBERED}, {_CLAUDE}
+SELECT session_id, 'claude' AS tool, ts_ms, role, content, tool_calls_json, files_touched_json, parent_id FROM nc""")
 ORACLES["jsonl_normalize_claude"] = f"WITH {_NUMBERED}, {_CLAUDE} SELECT * FROM nc"
 ORACLES["jsonl_normalize_codex"] = f"WITH {_NUMBERED}, {_CODEX} SELECT * FROM nx"
 ORACLES["jsonl_normalize_cursor"] = f"WITH {_NUMBERED}, {_FLAT} SELECT * FROM nf"
@@ -335,6 +340,7 @@ ORACLES["composer_headers"] = f"WITH {_WORKSPACES} SELECT * FROM c"
 ORACLES["newest_composers"] = f"""WITH {_WORKSPACES}
 SELECT composer_id, fs_path, last_updated_ms FROM c ORDER BY last_updated_ms DESC, composer_id LIMIT 20"""
 ORACLES["composer_prompts"] = f"WITH {_WORKSPACES}, {_PROMPTS} SELECT workspace_id, composer_id, pos, text, ts_ms FROM pr WHERE text <> ''"
+ORACLES["positional_ts"] = f"WITH {_WORKSPACES}, {_PROMPTS} SELECT workspace_id, pos, ts_ms FROM pr WHERE text <> ''"
 ORACLES["composer_prompts_resumed"] = f"""WITH {_WORKSPACES}, {_PROMPTS},
 f AS (SELECT workspace_id, arg_min(text, pos) AS first_text FROM pr GROUP BY workspace_id),
 k AS (SELECT pr.*, f.first_text, max(CASE WHEN pr.text = f.first_text THEN pos END) OVER (PARTITION BY workspace_id) AS last_pos

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,14 +12,20 @@ from sessionloom.functions import redact as rd
 from sessionloom.functions import text as tx
 from sessionloom.functions import variant as vr
 from sessionloom.operators import activity, digest, distill, hooks, incremental, kv, normalize, progress, reads, redaction, versions, windows
-from sessionloom.plans import views
+from sessionloom.plans import ingest, views
 from sessionloom.session import configure, shared_dir
 from sessionloom.sources import jsonl
+from sessionloom.streaming import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared place, one per run."""
+    return f"{shared_dir(spark)}/{name}/{uuid.uuid4().hex}"
+
+
 def query(fn: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(configure(spark), sf_dir)
@@ -228,6 +235,24 @@ def idle_session_stats_by_user(spark, sf):
     return windows.idle_sessions(views.table(spark, sf, "events"), "user_id", "ts", 3600)
 
 
+@query
+def idle_session_live(spark, sf):
+    """T4 as a stream over the events: the sessions that the watermark has closed when the input ends."""
+    folder = _scratch(spark, "idle_session_live")
+    schema = views.table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    job = (
+        sessions.idle_session_stream(stream, "event_type", "ts")
+        .writeStream.format("parquet")
+        .option("path", f"{folder}/out")
+        .option("checkpointLocation", f"{folder}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    job.awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
 @query
 def carry_forward_session(spark, sf):
     """A ``signup`` opens a context that every later event of the user belongs to."""
@@ -310,14 +335,13 @@ def scan_offsets(spark, sf):
     """Writes the conversations as text, eight files, and reads them back with byte offsets."""
     conv = views.table(spark, sf, "conversations")
     line = F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role", F.replace("text", F.lit("\n"), F.lit(" ")))
-    folder = f"{shared_dir(spark)}/scan_offsets/{spark.sparkContext.applicationId}-{sf.strip('/').replace('/', '_')}"
+    folder = _scratch(spark, "scan_offsets")
     (
         conv.select((F.col("conv_id") % 8).alias("source"), "conv_id", "turn", line.alias("value"))
         .repartition("source")
         .sortWithinPartitions("source", "conv_id", "turn")
         .select("source", "value")
-        .write.mode("overwrite")
-        .option("lineSep", "\n")
+        .write.option("lineSep", "\n")
         .partitionBy("source")
         .text(folder)
     )
@@ -332,6 +356,16 @@ def scan_offsets(spark, sf):
     )
 
 
+@query
+def ingest_digests(spark, sf):
+    """End to end: records written as JSON lines, ingested into a new warehouse, the stored digests read back."""
+    folder = _scratch(spark, "ingest_digests")
+    views.json_records(spark, sf).select("line").write.option("lineSep", "\n").text(f"{folder}/claude")
+    warehouse = ingest.open_warehouse(spark, f"{folder}/warehouse")
+    ingest.ingest_path(warehouse, "claude", f"{folder}/claude", 0, glob="*.txt")
+    return _flat_digest(warehouse.digests())
+
+
 # -- normalisation --------------------------------------------------------------------------------------------------------------
 _TURN = ("session_id", "ts_ms", "role", "content", "tool_calls_json", "files_touched_json", "parent_id")
 
@@ -427,6 +461,12 @@ def composer_prompts(spark, sf):
     return kv.workspace_prompts(views.kv_documents(spark, sf)).drop("fs_path")
 
 
+@query
+def positional_ts(spark, sf):
+    """J3 alone: the time of every prompt."""
+    return kv.workspace_prompts(views.kv_documents(spark, sf)).select("workspace_id", "pos", "ts_ms")
+
+
 @query
 def composer_prompts_resumed(spark, sf):
     """Second read: every even workspace knows its first prompt's text, every fifth only a count."""
