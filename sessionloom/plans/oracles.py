@@ -203,10 +203,11 @@ SELECT DISTINCT pe.project, entry FROM pe LEFT JOIN la USING (project)
 WHERE (last_ts IS NULL OR substr(entry, 4, 20) > strftime(strptime(last_ts, '%Y-%m-%dT%H:%M:%SZ') - INTERVAL 432000 SECOND, '%Y-%m-%dT%H:%M:%SZ'))
   AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.project = pe.project AND ex.entry = pe.entry)"""
 _HISTORY = f"""{ledger(PLAIN_SQL)}, {_FENCES}, {_NEXT},
-fi AS (SELECT session_id, max(ts_ms) AS ts_ms FROM led GROUP BY session_id),
+fi AS (SELECT session_id, min(ts_ms) AS ts_ms FROM led GROUP BY session_id
+       UNION ALL SELECT session_id, max(ts_ms) FROM led GROUP BY session_id),
 tk AS ({_task(PLAIN_SQL)}),
 va AS (SELECT session_id, 'task' AS section, task AS value FROM tk UNION ALL SELECT session_id, 'next_action', next_action FROM nx),
-vs AS (SELECT 'p' || (CAST(session_id AS BIGINT) % 10) AS project, section, {first_line("value[1:3]")} AS value, ts_ms
+vs AS (SELECT 'p' || (CAST(session_id AS BIGINT) % 10) AS project, section, {first_line("value")} AS value, ts_ms
        FROM va JOIN fi USING (session_id)),
 vv AS (SELECT * FROM vs WHERE value <> '' AND value NOT LIKE '<no %'),
 hi AS (SELECT project, section, value, min(ts_ms) AS first_seen_ms FROM vv GROUP BY ALL)"""
@@ -412,7 +413,7 @@ SELECT p.project, coalesce((SELECT path FROM r WHERE r.project = p.project AND n
                            (SELECT path FROM r WHERE g = 1)) AS path FROM (SELECT DISTINCT project FROM f) p"""
 ORACLES["git_context_lines"] = f"""
 WITH s AS (SELECT doc_id, sha1(CAST(doc_id AS STRING)) AS head,
-                  CASE WHEN doc_id % 4 = 0 THEN '' ELSE {trim("' a.rs | 3 +-' || chr(10) || text[1:400]")} END AS stat FROM documents),
+                  CASE WHEN doc_id % 4 = 0 THEN '' ELSE {trim("' a.rs | 3 +-' || chr(10) || text")} END AS stat FROM documents),
 t AS (SELECT doc_id, 'HEAD: ' || head[1:8] || CASE WHEN stat = '' THEN '' ELSE '; diff: ' || {trim("string_split(stat, chr(10))[-1]")} END AS told FROM s)
 SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN '<no git context>' WHEN length(told) > 200 THEN told[1:200] || '…' ELSE told END AS git_context FROM t"""
 ORACLES["diffstat_summary"] = """

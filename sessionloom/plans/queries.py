@@ -156,14 +156,14 @@ def progress_merge_lenient(spark, sf):
 def _history_values(spark, sf) -> DataFrame:
     led = views.plain_ledger(spark, sf)
     project = F.concat(F.lit("p"), (F.col("session_id").cast("bigint") % 10).cast("string"))
-    first = led.groupBy("session_id").agg(F.max("ts_ms").alias("ts_ms"))
+    # Every value is logged twice, at the session's first and last turn, so that values repeat within a project.
+    times = led.groupBy("session_id").agg(F.array(F.min("ts_ms"), F.max("ts_ms")).alias("times"))
     values = distill.task(led).withColumn("section", F.lit("task")).withColumnRenamed("task", "value")
     values = values.unionByName(
         distill.next_action(led).withColumn("section", F.lit("next_action")).withColumnRenamed("next_action", "value")
     )
-    # Shortened, so that values repeat within a project.
-    return values.join(first, "session_id").select(
-        project.alias("project"), "section", F.substring("value", 1, 3).alias("value"), "ts_ms"
+    return values.join(times, "session_id").select(
+        project.alias("project"), "section", "value", F.explode("times").alias("ts_ms")
     )
 
 
@@ -600,7 +600,7 @@ def git_context_lines(spark, sf):
     docs = views.table(spark, sf, "documents").select(
         "doc_id",
         F.when(F.col("doc_id") % 6 == 0, "").otherwise(F.sha1(F.col("doc_id").cast("string").cast("binary"))).alias("head"),
-        F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.concat(F.lit(" a.rs | 3 +-\n"), F.substring("text", 1, 400))).alias("stat"),
+        F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.concat(F.lit(" a.rs | 3 +-\n"), F.col("text"))).alias("stat"),
     )
     return docs.select("doc_id", activity.git_context(F.col("head"), F.col("stat")).alias("git_context"))
 
