@@ -19,10 +19,10 @@ def con():
 
 
 def test_all_queries_have_twins():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.QUERIES) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_twin(spark, con, name):
     assert compare(spark, con, entry.queries()[name], entry.oracle_sql()[name], SF) == []
 
