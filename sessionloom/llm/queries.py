@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import secrets
+from sessionloom.llm import packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": secrets.op5_secret_scan,
+    "op10_curve_packing": packing.op10_curve_packing,
 }
 ORACLES: dict[str, str] = {}
