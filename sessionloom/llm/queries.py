@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import packing, secrets
+from sessionloom.llm import packing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": secrets.op5_secret_scan,
+    "op8_quality_rules": quality.op8_quality_rules,
     "op10_curve_packing": packing.op10_curve_packing,
 }
 ORACLES: dict[str, str] = {}
