@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import packing, quality, secrets
+from sessionloom.llm import langid, packing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": langid.op1_language_id,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op8_quality_rules": quality.op8_quality_rules,
     "op10_curve_packing": packing.op10_curve_packing,
