@@ -78,7 +78,7 @@ class Encoder:
             known = self.parts
             self._learn({p for p in found if p not in known} - {""})
             self.parts[""] = b""
-            if len(set(found) - self.parts.keys()):  # the cache was emptied on the way, or holds less than this text
+            if any(p not in self.parts for p in found):  # the cache was emptied on the way, or holds less than this text
                 self._learn(set(found) - {""})
             return b"".join([self.parts[p] for p in found])
 
