@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import classifier, langid, packing, quality, secrets
+from sessionloom.llm import classifier, decontaminate, langid, packing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": langid.op1_language_id,
+    "op2_decontamination": decontaminate.op2_decontamination,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_quality_classifier": classifier.op9_quality_classifier,
