@@ -25,14 +25,14 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from sessionloom.llm.common import longs, table, written
 
 SEQUENCE = 4096
 END_ID = 2
 DIMENSIONS, BITS, BUCKETS = 3, 10, 256
-MOST_CACHED = 300_000
+MOST_CACHED = 500_000
 VOCABULARY = "word_bpe_49k.json"
 
 # Separators of str.split() that are no blanks in Unicode.
@@ -45,42 +45,47 @@ _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*%$&#]*)")
 class Encoder:
     """Ids of texts, put together from those of their blank-separated parts, of which many repeat.
 
-    For tokenizers that drop blanks and never join text across them, fold case and keep letters apart from marks. The caches are bounded.
+    For byte-level tokenizers that drop blanks and never join text across them, fold case and keep letters apart from marks. A lower-case word of
+    letters is then one piece for the tokenizer's model; any other part goes through the whole tokenizer. The caches are bounded.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.parts: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4")
 
-    def _learn(self, unknown: set[str]) -> None:
-        split = {p: m.groups() for p in unknown if (m := _SIMPLE.fullmatch(p))}
-        need = {c for word, marks in split.values() for c in (word.lower(), marks) if c and c not in self.cores}
-        need.update(p for p in unknown if p not in split)
-        if len(self.cores) + len(need) > 3 * MOST_CACHED:
-            self.cores.clear()
-            need.update(c for word, marks in split.values() for c in (word.lower(), marks) if c)
-        order = list(need)
-        for text, found in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False)):
-            self.cores[text] = np.array(found.ids, self.kind).tobytes()
-        if len(self.parts) + len(unknown) > MOST_CACHED:
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _word(self, low: str) -> bytes:
+        found = self.words.get(low)
+        if found is None:
+            if len(self.words) >= MOST_CACHED:
+                self.words.clear()
+            piece = self.bytes.pre_tokenize_str(low)[0][0]
+            found = self.words[low] = np.array([t.id for t in self.model.tokenize(piece)], self.kind).tobytes()
+        return found
+
+    def _part(self, part: str) -> bytes:
+        if not part:
+            return b""
+        if len(self.parts) >= MOST_CACHED:
             self.parts.clear()
-        for p in unknown:
-            word, marks = split.get(p, (p, ""))
-            self.parts[p] = self.cores[word.lower()] + self.cores[marks] if marks else self.cores[word.lower() if p in split else p]
+        if simple := _SIMPLE.fullmatch(part):
+            word, marks = simple.groups()
+            found = self._word(word.lower()) + (self._part(marks) if marks else b"")
+        else:
+            found = self._whole(part)
+        self.parts[part] = found
+        return found
 
     def __call__(self, text: str) -> bytes:
         found = (_BLANKS.split(text) if _ODD.search(text) else text.split()) if text else []
-        try:
-            return b"".join([self.parts[p] for p in found])
-        except KeyError:
-            known = self.parts
-            self._learn({p for p in found if p not in known} - {""})
-            self.parts[""] = b""
-            if any(p not in self.parts for p in found):  # the cache was emptied on the way, or holds less than this text
-                self._learn(set(found) - {""})
-            return b"".join([self.parts[p] for p in found])
+        known = self.parts.get
+        return b"".join([known(p) or self._part(p) for p in found])
 
 
 @cache
