@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import classifier, decontaminate, langid, packing, quality, secrets, substrings
+from sessionloom.llm import classifier, decontaminate, langid, packing, quality, secrets, substrings, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": langid.op1_language_id,
     "op2_decontamination": decontaminate.op2_decontamination,
+    "op3_suffix_dedup": suffixes.op3_suffix_dedup,
     "op4_substring_dedup": substrings.op4_substring_dedup,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op8_quality_rules": quality.op8_quality_rules,
