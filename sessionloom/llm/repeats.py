@@ -4,8 +4,8 @@ A window is ``window`` units in a row (bytes or words) of one text. Its anchor i
 equal windows have equal anchors at equal places. Consecutive windows with the same anchor form a super-window.
 
 1. Texts are told apart by a 128-bit digest. All windows of a text that occurs twice are repeats; one copy stands for the others below.
-2. Super-windows of all texts are listed as (anchor, text, place), a row for many windows. Anchors that occur once are dropped: their windows
-   cannot repeat. This is what keeps the text of unique documents out of the shuffle.
+2. The anchors of all texts are listed, one for many windows, and counted. Windows of an anchor that occurs once cannot repeat and are
+   dropped. This is what keeps packed copies of unique text out of the shuffle.
 3. The other super-windows travel, packed, to the bucket of their anchor, where the operator compares them. An anchor with more than ``HOT``
    super-windows has no bucket: its windows are counted by 128-bit hashes with map-side combination, however many there are.
 4. The repeats of a text are put together and applied in one pass over the documents.
@@ -21,10 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import by_slice, digest, mix, span_hashes, utf8, written
+from sessionloom.llm.common import by_slice, digest, longs, mix, span_hashes, utf8, written
 
 HOT = 256
 CHUNK_BYTES = 12 << 20
@@ -77,59 +78,65 @@ def _lists(counts: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Arra
 
 
 def anchors(texts: DataFrame, units: Units) -> DataFrame:
-    """``(key, hash[], lo[], hi[], at[])`` of every text that has a window; places are units of the text."""
+    """``(mark, hash[])``: the anchor of every super-window of every text that has a window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in by_slice(batch.column(1)):
                 hashes, first = units.grams(data, offsets)
-                row, lo, hi, at = super_windows(hashes, first, units.window, units.gram)
+                row, _, _, at = super_windows(hashes, first, units.window, units.gram)
                 counts = np.bincount(row, minlength=j - i)
                 has = np.flatnonzero(counts)
-                base = first[row]
-                lists = [_lists(counts[has], v, t) for v, t in ((hashes[at].astype(np.int64), pa.int64()), (lo - base, pa.int32()), (hi - base, pa.int32()), (at - base, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].take(pa.array(has)), *lists], names=["key", "hash", "lo", "hi", "at"])
+                marks = batch.column(0)[i:j].take(pa.array(has))
+                yield pa.RecordBatch.from_arrays([marks, _lists(counts[has], hashes[at].astype(np.int64), pa.int64())], names=["mark", "hash"])
 
-    return texts.mapInArrow(run, "key binary, hash array<long>, lo array<int>, hi array<int>, at array<int>")
+    return texts.mapInArrow(run, "mark long, hash array<long>")
+
+
+def _chosen(units: Units, data: np.ndarray, offsets: np.ndarray, wanted: pa.Array):
+    """Super-windows of the texts whose anchors are in their row's list: row, hash, first window, last window, anchor; and each row's first unit."""
+    hashes, first = units.grams(data, offsets)
+    row, lo, hi, at = super_windows(hashes, first, units.window, units.gram)
+    lists, places = wanted.flatten().to_numpy().astype(np.uint64), np.r_[0, np.cumsum(pc.list_value_length(wanted).to_numpy())]
+    bounds = np.searchsorted(row, np.arange(len(places)))
+    keep = np.concatenate([np.isin(hashes[at[a:b]], lists[c:d]) for a, b, c, d in zip(bounds, bounds[1:], places, places[1:])])
+    return row[keep], hashes[at[keep]], lo[keep], hi[keep], at[keep], first
 
 
 def _packs(units: Units):
-    """From (key, text, super-windows) to a row per super-window with its units packed."""
+    """From (key, text, anchors) to a row per super-window with its units packed; places are units of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["hash", "key", "lo", "hi", "at", "payload"]
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            out: list[list] = [[] for _ in names]
-            size = 0
-            for i, (key, parts) in enumerate(zip(batch.column("key").to_pylist(), batch.column("parts").to_pylist())):
-                cut = units.pack(data[offsets[i] : offsets[i + 1]].tobytes())
-                for p in parts:
-                    payload = cut(p["lo"], p["hi"] + units.window)
-                    size += len(payload)
-                    for column, value in zip(out, (p["hash"], key, p["lo"], p["hi"], p["at"], payload)):
-                        column.append(value)
-                if size > CHUNK_BYTES or i + 1 == batch.num_rows:
-                    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
-                    out, size = [[] for _ in names], 0
+            keys = batch.column("key")
+            for i, j, data, offsets in by_slice(batch.column("text")):
+                row, hashes, lo, hi, at, first = _chosen(units, data, offsets, batch.column("hashes")[i:j])
+                lo, hi, at = lo - first[row], hi - first[row], at - first[row]
+                payloads, bounds = [], np.searchsorted(row, np.arange(j - i + 1))
+                for r in np.unique(row).tolist():
+                    cut = units.pack(data[offsets[r] : offsets[r + 1]].tobytes())
+                    mine = slice(bounds[r], bounds[r + 1])
+                    payloads += [cut(a, b + units.window) for a, b in zip(lo[mine].tolist(), hi[mine].tolist())]
+                arrays = [longs(hashes.astype(np.int64)), keys[i:j].take(pa.array(row)), *(pa.array(x, pa.int32()) for x in (lo, hi, at)), pa.array(payloads, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["hash", "key", "lo", "hi", "at", "payload"])
 
     return run
 
 
 def _hot_prints(units: Units):
-    """From (key, text, super-windows) to the hashes of their windows, as lists."""
+    """From (key, text, anchors) to the hashes of the windows of those anchors, as lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, parts = batch.column("key"), batch.column("parts").to_pylist()
             for i, j, data, offsets in by_slice(batch.column("text")):
+                row, _, lo, hi, _, first = _chosen(units, data, offsets, batch.column("hashes")[i:j])
+                counts = hi - lo + 1
+                at = np.repeat(lo, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                owner = np.repeat(row, counts)
                 a, b = units.prints(data, offsets)
-                _, first = units.grams(data, offsets)
-                places = [np.concatenate([np.arange(p["lo"], p["hi"] + 1) for p in parts[i + r]]) for r in range(j - i)]
-                at = np.concatenate([p + first[r] for r, p in enumerate(places)])
-                lists = [_lists([len(p) for p in places], v, t) for v, t in ((a[at].astype(np.int64), pa.int64()), (b[at].astype(np.int64), pa.int64()), (np.concatenate(places), pa.int32()))]
-                yield pa.RecordBatch.from_arrays([keys[i:j], *lists], names=["key", "w1", "w2", "at"])
+                each = np.bincount(owner, minlength=j - i)
+                lists = [_lists(each, v, t) for v, t in ((a[at].astype(np.int64), pa.int64()), (b[at].astype(np.int64), pa.int64()), (at - first[owner], pa.int32()))]
+                yield pa.RecordBatch.from_arrays([batch.column("key")[i:j], *lists], names=["key", "w1", "w2", "at"])
 
     return run
 
@@ -187,17 +194,17 @@ def with_repeats(docs: DataFrame, units: Units) -> DataFrame:
     """``docs(doc_id, text)`` with ``key``, ``copied`` (the text occurs twice) and ``repeats``, ``[a, b)`` in units, null if there are none."""
     texts = docs.select("doc_id", "text", digest().alias("key"))
     kinds = texts.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"))
-    listed = written(anchors(texts.select("key", "text"), units).dropDuplicates(["key"]), "anchors")
-    rows = listed.selectExpr("key", "inline(arrays_zip(hash, lo, hi, at))")
+    # A mark of 64 bits will do for a text here: two texts under one mark would only be searched for each other's anchors too.
+    listed = written(anchors(texts.select(F.xxhash64("key").alias("mark"), "text"), units), "anchors")
+    rows = listed.select("mark", F.explode("hash").alias("hash"))
     counts = rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
     met = rows.join(counts, "hash").withColumn("hot", F.col("n") > HOT)
-    wanted = (
-        met.groupBy("key", "hot").agg(F.collect_list(F.struct("hash", "lo", "hi", "at")).alias("parts")).join(kinds.select("key", "first_id"), "key")
-    )  # the super-windows of one text
+    one_each = kinds.select(F.col("key").alias("k"), "first_id", F.xxhash64("key").alias("mark"))
 
     def apart(hot: bool) -> DataFrame:
-        mine = wanted.where(F.col("hot") == hot).withColumnRenamed("key", "k")
-        return texts.join(mine, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("key", "text", "parts")
+        wanted = met.where(F.col("hot") == hot).groupBy("mark").agg(F.collect_set("hash").alias("hashes"))  # the anchors of one text
+        mine = wanted.join(one_each, "mark")
+        return texts.join(mine, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("key", "text", "hashes")
 
     packs = apart(False).mapInArrow(_packs(units), "hash long, key binary, lo int, hi int, at int, payload binary")
     cold = packs.repartition("hash").sortWithinPartitions("hash").mapInArrow(_bucket_repeats(units), "key binary, a int, b int")
