@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import classifier, decontaminate, langid, neardup, packing, quality, secrets, substrings, suffixes
+from sessionloom.llm import classifier, decontaminate, langid, neardup, packing, quality, secrets, substrings, suffixes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": langid.op1_language_id,
@@ -15,8 +15,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": substrings.op4_substring_dedup,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_near_duplicates": neardup.op6_near_duplicates,
+    "op7_warc_archive": warc.op7_warc_archive,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_quality_classifier": classifier.op9_quality_classifier,
     "op10_curve_packing": packing.op10_curve_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_warc_archive": warc.OP7_SQL}
