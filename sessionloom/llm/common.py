@@ -25,10 +25,15 @@ IS_BLANK = np.zeros(256, bool)
 IS_BLANK[list(BLANKS)] = True
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; batches for Python are kept small, as texts may be long."""
+def prepare(spark: SparkSession) -> None:
+    """Options of a session that somebody else created: batches for Python are kept small, as texts may be long."""
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table."""
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
