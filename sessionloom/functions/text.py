@@ -124,9 +124,11 @@ def format_age(seconds: Column) -> Column:
 
 
 def section(doc: Column, header: str) -> Column:
-    """Body of a ``## header`` section, up to the next ``## `` line (F15); empty if absent."""
-    after = F.substring_index(F.concat(doc, F.lit("\n## ")), f"## {header}\n", -1)
-    found = F.contains(doc, F.lit(f"## {header}\n"))
+    """Body of the first ``## header`` section, up to the next ``## `` line (F15); empty if absent."""
+    mark = f"## {header}\n"
+    found = F.contains(doc, F.lit(mark))
+    start = F.char_length(F.substring_index(doc, mark, 1)) + len(mark) + 1
+    after = F.substring(F.concat(doc, F.lit("\n## ")), start, F.char_length(doc) + 4)
     return F.when(found, trim(F.substring_index(after, "\n## ", 1))).otherwise(F.lit(""))
 
 

@@ -20,13 +20,13 @@ def session_digest(
     """One row per session with every distilled field, from one scan of the ledger.
 
     Three exchanges, none of them on whole turns: distinct candidates, ranks per session and kind, the survivors per session.
-    The progress entries are limited to what a rendered digest can show.
+    The progress entries are all there, so a row is as long as its session's log; ``progress_entries`` has them as rows.
     """
     return assemble(ds.candidates(ledger, ds.ALL_KINDS, error_roles, session))
 
 
 def session_state(ledger: DataFrame, error_roles: tuple[str, ...] = ("tool_result",)) -> DataFrame:
-    """What a batch of turns adds to the state of its sessions: a bounded number of short candidates each, no contents.
+    """What a batch of turns adds to the state of its sessions: the progress entries and a bounded number of short candidates each, no contents.
 
     The union of a session's states goes into ``assemble`` in place of its turns.
     """
@@ -41,7 +41,8 @@ def assemble(found: DataFrame) -> DataFrame:
         return F.max(F.when(F.col("kind") == kind.name, value))
 
     def many(kind: ds.Kind) -> Column:
-        picked = F.collect_list(F.when(F.col("kind") == kind.name, F.struct("rank", "text")))
+        place = "pos" if kind.limit is None else "rank"
+        picked = F.collect_list(F.when(F.col("kind") == kind.name, F.struct(place, "text")))
         return F.transform(F.array_sort(picked), lambda x: x["text"])
 
     coding = F.coalesce(F.bool_or(F.col("kind") == ds.CODING.name), F.lit(False))

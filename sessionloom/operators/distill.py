@@ -29,14 +29,14 @@ NO_NEXT_ACTION = "<no next action captured>"
 @dataclass(frozen=True)
 class Kind:
     name: str
-    limit: int
+    limit: int | None  # None: all of them, without a rank
     newest_first: bool = False
 
 
 QUESTION = Kind("question", 5)
 FAILED = Kind("failed", 3)
 FILE = Kind("file", 10, newest_first=True)
-ENTRY = Kind("entry", 150)
+ENTRY = Kind("entry", None)
 TASK = Kind("task", 1)
 ANSWER = Kind("answer", 1, newest_first=True)
 ASK = Kind("ask", 1, newest_first=True)
@@ -192,14 +192,17 @@ def best(found: DataFrame, kinds: tuple[Kind, ...]) -> DataFrame:
     distinct = found.groupBy("session_id", "kind", "key").agg(
         F.min(F.when(~is_newest, both)).alias("first"), F.max(F.when(is_newest, both)).alias("last")
     )
-    w = Window.partitionBy("session_id", "kind").orderBy(
+    every = [k.name for k in kinds if k.limit is None]
+    # Kinds without a limit are told apart by their key, so that no window holds a session's whole log.
+    apart = [F.when(F.col("kind").isin(*every), F.col("key"))] if every else []
+    w = Window.partitionBy("session_id", "kind", *apart).orderBy(
         F.col("first.pos").asc(), F.col("last.pos").desc(), F.col("key").asc()
     )
-    limits = sorted({k.limit for k in kinds})
+    limits = sorted({k.limit or 1 for k in kinds})
     ranked = distinct.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limits[-1])
     for limit in limits[:-1]:
         ranked = ranked.filter(
-            ~F.col("kind").isin(*[k.name for k in kinds if k.limit == limit]) | (F.col("rank") <= limit)
+            ~F.col("kind").isin(*[k.name for k in kinds if (k.limit or 1) == limit]) | (F.col("rank") <= limit)
         )
     kept = F.coalesce("first", "last")
     return ranked.select("session_id", "kind", "key", kept["value"].alias("value"), kept["pos"].alias("pos"), "rank")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from sessionloom.schemas import TOOLS
 
-MAX_BODY_BYTES = 64 * 1024
 DEBOUNCE = "250 milliseconds"
 KEPT_KINDS = ("create", "modify", "remove")
 
@@ -17,17 +16,17 @@ def has_parent_component(path: Column) -> Column:
     return F.coalesce(F.array_contains(F.split(path, "/"), ".."), F.lit(False))
 
 
-def validate(events: DataFrame) -> DataFrame:
+def validate(events: DataFrame, max_body_bytes: int | None = None) -> DataFrame:
     """Adds ``reject_reason``; a relative or climbing ``cwd`` is blanked, not rejected.
 
-    A ``body`` column, if there is one, is checked against the size limit.
+    With a size limit a ``body`` column, if there is one, is held against it.
     """
     cwd = F.when(F.startswith("cwd", F.lit("/")) & ~has_parent_component(F.col("cwd")), F.col("cwd"))
     reason = F.when(~F.coalesce(F.col("tool").isin(*TOOLS), F.lit(False)), "unknown tool").when(
         has_parent_component(F.col("transcript_path")), "transcript_path has parent component"
     )
-    if "body" in events.columns:
-        reason = F.when(F.octet_length("body") > MAX_BODY_BYTES, "body too large").otherwise(reason)
+    if max_body_bytes is not None and "body" in events.columns:
+        reason = F.when(F.octet_length("body") > max_body_bytes, "body too large").otherwise(reason)
     return events.withColumn("reject_reason", reason).withColumn("cwd", cwd)
 
 
@@ -57,6 +56,6 @@ def unslug(text: Column) -> Column:
 
 def resolve_project(explicit: Column, session_cwd: Column, source_path: Column, home: Column) -> Column:
     """P25: explicit directory, else the session's, else decoded from the transcript's folder name; never the home directory."""
-    folder = F.element_at(F.split(source_path, "/"), -2)
+    folder = F.try_element_at(F.split(source_path, "/"), F.lit(-2))
     decoded = F.when(F.startswith(folder, F.lit("-")), unslug(folder))
     return F.coalesce(F.nullif(explicit, home), F.nullif(session_cwd, home), F.nullif(decoded, home))

@@ -16,7 +16,6 @@ HEADERS_KEY = "composer.composerHeaders"
 PROMPTS_KEY = "aiService.prompts"
 GENERATIONS_KEY = "aiService.generations"
 COMPOSER_DATA_KEY = "composer.composerData"
-MAX_VALUE_BYTES = 64 * 1024 * 1024
 SAFE_ID = r"\A[A-Za-z0-9_-]{1,64}\z"
 
 
@@ -25,12 +24,12 @@ def is_safe_id(c: Column) -> Column:
     return F.coalesce(c.rlike(SAFE_ID), F.lit(False))
 
 
-def split_oversized(kv: DataFrame, cap: int = MAX_VALUE_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Documents within the size cap, and reject rows for the others."""
-    too_big = F.octet_length("value") > cap
+def split_oversized(kv: DataFrame, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Documents within the size cap in bytes, and reject rows for the others; without a cap all are kept."""
+    too_big = F.lit(False) if cap is None else F.octet_length("value") > cap
     rejected = kv.filter(too_big).select(
         F.lit("cursor").alias("tool"),
-        F.concat_ws("/", F.col("workspace_id"), F.col("key")).alias("source_path"),
+        F.concat_ws("/", *[F.col(c) for c in _workspace(kv)], F.col("key")).alias("source_path"),
         F.lit(0).cast("bigint").alias("end_offset"),
         F.lit("value exceeds size cap").alias("reason"),
     )
@@ -69,9 +68,10 @@ def composers(kv: DataFrame) -> DataFrame:
     )
 
 
-def newest_composers(found: DataFrame, limit: int = 20) -> DataFrame:
-    """Most recently updated composers; the first one's path is the active project."""
-    return found.orderBy(F.desc("last_updated_ms"), "pos", "composer_id").limit(limit)
+def newest_composers(found: DataFrame, limit: int | None = None) -> DataFrame:
+    """Composers, most recently updated first, all or a number of them; the first one's path is the active project."""
+    ordered = found.orderBy(F.desc("last_updated_ms"), "pos", "composer_id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def owning_composer(found: DataFrame) -> DataFrame:

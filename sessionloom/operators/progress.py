@@ -52,11 +52,12 @@ def history_delta(existing: DataFrame, values: DataFrame) -> DataFrame:
     return history(values).join(existing, ["project", "section", "value"], "left_anti")
 
 
-def newest_history(rows: DataFrame, limit: int = 150) -> DataFrame:
-    """Newest-first history bullets; a digest shows no more than 150 lines."""
+def newest_history(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """Newest-first history bullets, all or a number of them per project and section."""
     w = Window.partitionBy("project", "section").orderBy(F.desc("first_seen_ms"), F.asc("value"))
     bullet = F.concat(F.lit("- ["), tx.ms_to_iso(F.col("first_seen_ms")), F.lit("] "), F.col("value"))
-    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select(
+    ranked = rows.withColumn("rank", F.row_number().over(w))
+    return (ranked if limit is None else ranked.filter(F.col("rank") <= limit)).select(
         "project", "section", "rank", bullet.alias("bullet")
     )
 

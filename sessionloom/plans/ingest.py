@@ -62,15 +62,15 @@ def ingest_lines(
     if mode == "FAILFAST":
         normalized = normalize.fail_on_reject(normalized)
     store_batch(warehouse, normalized, tool, batch_id, projects, full_refresh)
-    digest_batch(warehouse, batch_id)
+    digest_batch(warehouse, tool, batch_id)
 
 
-def digest_batch(warehouse: Warehouse, batch_id: int) -> None:
-    """Digests and logs of a stored batch; a batch without turns (T9) leaves only its offsets."""
-    if _batch_turns(warehouse, batch_id).isEmpty():
+def digest_batch(warehouse: Warehouse, tool: str, batch_id: int) -> None:
+    """Digests and logs of a stored batch of one tool; a batch without turns (T9) leaves only its offsets."""
+    if _batch_turns(warehouse, tool, batch_id).isEmpty():
         return
-    refresh_digests(warehouse, batch_id)
-    extend_logs(warehouse, batch_id)
+    refresh_digests(warehouse, tool, batch_id)
+    extend_logs(warehouse, tool, batch_id)
 
 
 def store_batch(
@@ -102,27 +102,28 @@ def store_batch(
     warehouse.end_batch(tool, batch_id)
 
 
-def _batch_turns(warehouse: Warehouse, batch_id: int) -> DataFrame:
-    return warehouse.records().filter((F.col("status") == "ok") & (F.col("batch_id") == batch_id))
+def _batch_turns(warehouse: Warehouse, tool: str, batch_id: int) -> DataFrame:
+    """Batch ids are counted per tool."""
+    return warehouse.records().filter((F.col("status") == "ok") & (F.col("tool") == tool) & (F.col("batch_id") == batch_id))
 
 
-def refresh_digests(warehouse: Warehouse, batch_id: int) -> None:
+def refresh_digests(warehouse: Warehouse, tool: str, batch_id: int) -> None:
     """Digest again exactly the sessions that got turns in this batch.
 
     The batch's turns are folded into session state, and digests come from the state: the stored contents of the ledger are
-    never read again, so a batch costs what it brings, not what has gathered.
+    never read again, only the states of its sessions.
     """
-    turns = _batch_turns(warehouse, batch_id)
+    turns = _batch_turns(warehouse, tool, batch_id)
     warehouse.append_session_state(digest.session_state(turns))
     touched = turns.select("session_id").distinct()
     digests = digest.assemble(warehouse.session_state().join(touched, "session_id", "left_semi"))
-    warehouse.append_digests(digest.with_body(digests), batch_id)
+    warehouse.append_digests(digest.with_body(digests), tool, batch_id)
 
 
 def rebuild_digests(warehouse: Warehouse, batch_id: int) -> None:
     """Digest every session from the ledger itself."""
     digests = digest.session_digest(warehouse.ledger())
-    warehouse.append_digests(digest.with_body(digests), batch_id)
+    warehouse.append_digests(digest.with_body(digests), "rebuild", batch_id)
 
 
 def with_projects(turns: DataFrame, offsets: DataFrame, home: Column | None = None) -> DataFrame:
@@ -136,10 +137,10 @@ def with_projects(turns: DataFrame, offsets: DataFrame, home: Column | None = No
     return turns.join(known, "source_path", "left").withColumn("project", F.coalesce(project, F.lit(NO_PROJECT)))
 
 
-def extend_logs(warehouse: Warehouse, batch_id: int) -> None:
+def extend_logs(warehouse: Warehouse, tool: str, batch_id: int) -> None:
     """Append what this batch adds to the progress log and to the history of tasks and next actions."""
     offsets = incremental.current_offsets(warehouse.offset_log())
-    turns = with_projects(_batch_turns(warehouse, batch_id), offsets)
+    turns = with_projects(_batch_turns(warehouse, tool, batch_id), offsets)
     order = F.struct(F.lit(batch_id).cast("bigint").alias("batch_id"), "ts_ms", "source_path", "end_offset")
     entries = distill.progress_entries(turns).select("project", "entry", order.alias("ord"))
     warehouse.append_progress(progress.merge_progress(warehouse.progress_log(), entries))
@@ -147,7 +148,7 @@ def extend_logs(warehouse: Warehouse, batch_id: int) -> None:
     newest = turns.groupBy("session_id").agg(
         F.max_by("project", F.struct("ts_ms", "source_path", "end_offset")).alias("project"), F.max("ts_ms").alias("ts_ms")
     )
-    digests = warehouse.digest_log().filter(F.col("batch_id") == batch_id).join(newest, "session_id")
+    digests = warehouse.digest_log().filter((F.col("tool") == tool) & (F.col("batch_id") == batch_id)).join(newest, "session_id")
     sections = F.array(
         F.struct(F.lit("task").alias("section"), F.col("task").alias("value")),
         F.struct(F.lit("next_action").alias("section"), F.col("next_action").alias("value")),
@@ -185,7 +186,7 @@ def ingest_kv(warehouse: Warehouse, documents: DataFrame, batch_id: int) -> None
     warehouse.append_records(rows, batch_id)
     warehouse.append_workspace_state(state, batch_id)
     warehouse.end_batch("cursor", batch_id)
-    digest_batch(warehouse, batch_id)
+    digest_batch(warehouse, "cursor", batch_id)
 
 
 def legacy_kv_turns(documents: DataFrame, watermarks: DataFrame | None = None) -> DataFrame:

@@ -136,7 +136,7 @@ ts AS (SELECT session_id, coalesce(arg_min({cut(first_line("body"), 120)}, ts_ms
 l1 AS (SELECT session_id, list(bullet ORDER BY rank) AS open_questions FROM qq GROUP BY session_id),
 l2 AS (SELECT session_id, list(path ORDER BY rank) AS recent_files FROM tt GROUP BY session_id),
 l3 AS (SELECT session_id, list(bullet ORDER BY rank) AS failed_approaches FROM ff GROUP BY session_id),
-l4 AS (SELECT session_id, list(entry ORDER BY rank) AS progress_entries FROM e2 WHERE rank <= 150 GROUP BY session_id),
+l4 AS (SELECT session_id, list(entry ORDER BY rank) AS progress_entries FROM e2 GROUP BY session_id),
 dg AS (SELECT ts.*, nx.next_action, coalesce(open_questions, []) AS open_questions, coalesce(recent_files, []) AS recent_files,
               coalesce(failed_approaches, []) AS failed_approaches, coalesce(progress_entries, []) AS progress_entries
        FROM ts JOIN nx USING (session_id) LEFT JOIN l1 USING (session_id) LEFT JOIN l2 USING (session_id)
@@ -326,7 +326,7 @@ ORACLES["props_extract"] = "SELECT event_id, CAST(json_extract(props, '$.k') AS
 
 # -- key-value stores -----------------------------------------------------------------------------------------------------------
 _WORKSPACES = """
-d AS (SELECT *, conv_id || '_' || (turn // 64) AS doc, 1700000000000 + conv_id * 10000000 AS base_ms FROM conversations),
+d AS (SELECT *, CAST(conv_id AS VARCHAR) AS doc, 1700000000000 + conv_id * 10000000 AS base_ms FROM conversations),
 w AS (SELECT DISTINCT conv_id, doc, base_ms, CASE WHEN conv_id % 7 = 0 THEN '../ws' ELSE 'ws' END || doc AS workspace_id FROM d),
 c AS (SELECT 'c' || doc AS composer_id, workspace_id, '/work/p' || conv_id AS fs_path, base_ms + 900000 AS last_updated_ms FROM w
       UNION ALL SELECT 'c' || doc || 'b', workspace_id, '/work/p' || conv_id, base_ms + 950000 FROM w WHERE conv_id % 3 = 0)"""
@@ -354,7 +354,7 @@ SELECT w.workspace_id, CAST(count(pos) AS INT) AS n_seen, arg_max(text, pos) AS
 FROM w LEFT JOIN pr USING (workspace_id) WHERE w.conv_id % 7 <> 0 GROUP BY w.workspace_id"""
 _LEGACY = """
 d AS (SELECT *, CAST(conv_id AS STRING) AS sid, 1700000000000 + conv_id * 10000000 + turn * 1000 AS ms,
-             row_number() OVER (PARTITION BY conv_id, turn // 64 ORDER BY turn) - 1 AS idx FROM conversations),
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx FROM conversations),
 u AS (SELECT * FROM d WHERE role = 'user'),
 g AS (
   SELECT sid AS session_id, ms AS ts_ms, 'user' AS role, text AS content, 'gen-' || sid || '-' || turn || ':user' AS msg_id,
@@ -362,7 +362,7 @@ g AS (
   UNION ALL SELECT sid, ms + 500, 'assistant', 're: ' || text, 'gen-' || sid || '-' || turn || ':assistant', 'aiService.generations' FROM u
   UNION ALL SELECT sid, ms, 'user', text, 'prompt-' || sid || '-' || turn || ':user', 'aiService.prompts' FROM u WHERE turn % 4 = 0
   UNION ALL SELECT sid, CASE WHEN turn % 4 <> 3 THEN ms ELSE 0 END, role, text,
-                   'c' || conv_id || '_' || (turn // 64) || ':msg:' || idx, 'composer.composerData' FROM d)"""
+                   'c' || conv_id || ':msg:' || idx, 'composer.composerData' FROM d)"""
 ORACLES["legacy_messages"] = f"WITH {_LEGACY} SELECT * FROM g"
 ORACLES["legacy_watermark"] = f"""WITH {_LEGACY},
 l AS (SELECT source_key, max(msg_id) AS last_msg_id FROM g WHERE msg_id NOT LIKE '%9%' GROUP BY source_key)

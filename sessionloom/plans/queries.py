@@ -452,7 +452,7 @@ def composer_headers(spark, sf):
 
 @query
 def newest_composers(spark, sf):
-    found = kv.newest_composers(kv.composers(views.kv_documents(spark, sf)))
+    found = kv.newest_composers(kv.composers(views.kv_documents(spark, sf)), 20)
     return found.select("composer_id", "fs_path", "last_updated_ms")
 
 
@@ -471,11 +471,11 @@ def positional_ts(spark, sf):
 def composer_prompts_resumed(spark, sf):
     """Second read: every even workspace knows its first prompt's text, every fifth only a count."""
     docs = views.kv_documents(spark, sf)
-    asked = views.table(spark, sf, "conversations").filter("role = 'user'").groupBy("conv_id", views.part()).agg(
+    asked = views.table(spark, sf, "conversations").filter("role = 'user'").groupBy("conv_id").agg(
         F.min_by("text", "turn").alias("first_text")
     )
     seen = asked.filter("conv_id % 2 = 0 or conv_id % 5 = 0").select(
-        F.concat(F.lit("ws"), F.concat_ws("_", "conv_id", "part")).alias("workspace_id"),
+        F.concat(F.lit("ws"), F.col("conv_id").cast("string")).alias("workspace_id"),
         F.lit(1).alias("n_seen"),
         F.when(F.col("conv_id") % 4 == 0, F.col("first_text")).when(F.col("conv_id") % 2 == 0, "gone").alias("last_text"),
     )

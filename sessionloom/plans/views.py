@@ -224,27 +224,22 @@ def flat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def part():
-    """A document holds at most 64 turns of a conversation, so building one never gathers a long conversation in a task."""
-    return F.floor(F.col("turn") / 64).alias("part")
-
-
 def kv_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Key-value documents, one workspace per conversation (or 64 turns of it).
+    """Key-value documents, one workspace per conversation.
 
     Prompts are the user turns; there is one generation fewer than prompts; every third workspace has a second, later composer;
     every seventh workspace id is unsafe.
     """
     conv = table(spark, sf_dir, "conversations")
     grouped = (
-        conv.groupBy("conv_id", part())
+        conv.groupBy("conv_id")
         .agg(
             F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", "text")))).alias("asked"),
             F.array_sort(
                 F.collect_list(F.struct(F.col("turn"), F.col("role"), F.col("text").alias("content")))
             ).alias("said"),
         )
-        .withColumn("doc", F.concat_ws("_", "conv_id", "part"))
+        .withColumn("doc", F.col("conv_id").cast("string"))
         .withColumn(
             "workspace_id",
             F.concat(F.when(F.col("conv_id") % 7 == 0, "../ws").otherwise("ws"), F.col("doc")),
@@ -303,7 +298,7 @@ def kv_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def legacy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Older document shapes: a generation pairs a user turn with the turn after it; prompts of odd turns lack an id."""
     conv = table(spark, sf_dir, "conversations")
-    grouped = conv.groupBy("conv_id", part()).agg(
+    grouped = conv.groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("said")
     )
     sid = F.col("conv_id").cast("string")

@@ -120,25 +120,28 @@ class Warehouse:
     _DIGEST = (
         "session_id string, source_tool string, timestamp_iso string, task string, next_action string, "
         "open_questions array<string>, recent_files array<string>, failed_approaches array<string>, "
-        "progress_entries array<string>, body string, batch_id bigint"
+        "progress_entries array<string>, body string, tool string, batch_id bigint"
     )
 
     def digest_log(self) -> DataFrame:
         return self._read("session_digest", self._DIGEST)
 
-    def append_digests(self, digests: DataFrame, batch_id: int) -> None:
-        """Refreshed digests of a batch."""
+    def append_digests(self, digests: DataFrame, tool: str, batch_id: int) -> None:
+        """Refreshed digests of a tool's batch."""
         columns = [f.split()[0] for f in self._DIGEST.split(", ")]
-        rows = digests.withColumn("batch_id", F.lit(batch_id).cast("bigint")).select(*columns)
-        rows.write.mode("append").partitionBy("batch_id").parquet(self._path("session_digest"))
+        rows = digests.withColumns({"tool": F.lit(tool), "batch_id": F.lit(batch_id).cast("bigint")}).select(*columns)
+        rows.write.mode("append").partitionBy("tool", "batch_id").parquet(self._path("session_digest"))
 
     def digests(self) -> DataFrame:
-        """Latest digest per session."""
+        """Latest digest per session: the state of a session only grows, so it is the one of the newest turn with the most entries.
+
+        Batch ids are counted per tool and cannot tell.
+        """
         log = self.digest_log()
-        columns = [c for c in log.columns if c not in ("session_id", "batch_id")]
+        columns = [c for c in log.columns if c not in ("session_id", "tool", "batch_id")]
         return (
             log.groupBy("session_id")
-            .agg(F.max_by(F.struct(*columns), F.col("batch_id")).alias("d"))
+            .agg(F.max_by(F.struct(*columns), F.struct("timestamp_iso", F.size("progress_entries"), "batch_id")).alias("d"))
             .select("session_id", "d.*")
         )
 

@@ -106,7 +106,7 @@ def model(turns):
         "open_questions": distinct(questions, 5, 80),
         "failed_approaches": distinct(failed, 3, 80) if any(r[5] for r in turns) else [],
         "recent_files": [x for x, _ in sorted(files.items(), key=lambda kv: (-kv[1], kv[0]))][:10],
-        "progress_entries": list(dict.fromkeys(entries))[:150],
+        "progress_entries": list(dict.fromkeys(entries)),
         "timestamp_iso": iso(max(r[2] for r in turns)),
     }
 

@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from sessionloom.operators import normalize
 from sessionloom.plans import ingest
 from sessionloom.streaming import transcripts
 
@@ -169,3 +170,21 @@ def test_signals_drive_ingest(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "docs")).filter("value like '# Last updated%'").count() == 3
     wh.write_audit_log(str(tmp_path / "audit"))
     assert "corrupt json at byte" in spark.read.json(str(tmp_path / "audit")).first()["message"]
+
+
+def test_two_streams_share_a_session_and_a_batch_id(spark, tmp_path):
+    """Batch ids are counted per tool: the newest turn decides, and a batch digests its own tool's turns only."""
+    wh = ingest.open_warehouse(spark, str(tmp_path / "wh"))
+    columns = "tool string, source_path string, end_offset bigint, session_id string, ts_ms bigint, role string, content string, status string"
+
+    def store(tool, batch_id, rows):
+        df = spark.createDataFrame([(tool, *r, "ok") for r in rows], columns)
+        ingest.store_batch(wh, normalize.finish(df), tool, batch_id)
+        ingest.digest_batch(wh, tool, batch_id)
+
+    store("codex", 5, [("a.jsonl", 10, "s", 1000, "user", "write the first program"), ("a.jsonl", 20, "s", 2000, "assistant", "Old answer")])
+    store("claude", 0, [("b.jsonl", 10, "s", 9000, "assistant", "New answer")])
+    assert [r["next_action"] for r in wh.digests().collect()] == ["New answer"]
+    store("cursor", 5, [("c.jsonl", 10, "other", 3000, "user", "another session here")])
+    log = wh.digest_log().groupBy("session_id").count().collect()
+    assert {r["session_id"]: r["count"] for r in log} == {"s": 2, "other": 1}

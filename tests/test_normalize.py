@@ -122,7 +122,7 @@ def test_hook_bodies(spark):
         ("cursor", json.dumps({"pad": "x" * 70000})),
     ]
     df = spark.createDataFrame([(t, "stop", b) for t, b in bodies], "tool string, event string, body string").withColumn("ts", F.current_timestamp())
-    rows = hooks.validate(hook_source.from_bodies(df)).collect()
+    rows = hooks.validate(hook_source.from_bodies(df), 65536).collect()
     assert [r["reject_reason"] for r in rows] == [None, "unknown tool", "transcript_path has parent component", None, "body too large"]
     assert rows[0]["extra"] == {"extra1": '{"a":1}', "n": "5"} and rows[0]["cwd"] == "/w" and rows[3]["cwd"] is None
 

@@ -128,6 +128,8 @@ def test_small_functions(spark):
     assert one(tx.ms_to_iso(F.lit(1700000000999))) == "2023-11-14T22:13:20Z"
     assert one(tx.section(F.lit("x\n## Task\n- a\n\n## Next\nq"), "Task")) == "- a"
     assert one(tx.section(F.lit("x\n## Next\nq"), "Task")) == ""
+    assert one(tx.section(F.lit("## Task\nfirst\n## Next\nq\n## Task\nsecond"), "Task")) == "first"
+    assert one(tx.section(F.lit("## Task\nlast"), "Task")) == "last"
     assert one(tx.bullet_ts(F.lit("- [2024] v"))) == "2024"
     assert one(tx.bullet_value(F.lit("- [2024] [user] v "))) == "[user] v"
     assert one(tx.hard_truncate(F.lit("x" * 201), 200, "…")) == "x" * 200 + "…"
