@@ -13,13 +13,16 @@ weighs its occurrences times its inverse document frequency. Document frequencie
    the texts outside of the component's largest class are compared with all of its texts, block by block. So every pair of a component that
    could still join two classes is compared, and within a class none need be: the classes are the exact components of "similarity >= 0.8".
 
+Of the texts only those in components are shuffled: their 64-bit marks are broadcast to the scan if they are at most ``BROADCAST_KEYS``; else all
+texts are shuffled once a round.
+
 Texts without words are in no class but those of their copies. Null texts count as empty. A class is named by the least id among its
 documents (nulls first); rows that repeat are members like others. An empty table gives an empty one, other columns are kept by the filter.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 3
 DF_BUCKETS, DF_SLICES = 1 << 20, 128
 BLOCK, BLOCK_SHINGLES, PIVOTS = 256, 1 << 20, 16
-CHUNK_BYTES = 16 << 20
+BROADCAST_KEYS = 1_000_000
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,10 +236,10 @@ def _group(*parts: Column | str) -> Column:
     return F.unhex(F.md5(F.concat_ws("/", *[p if isinstance(p, Column) else F.col(p) for p in parts])))
 
 
-def similar_classes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(node, root)`` of the texts that have a similar one, of ``texts(key, text)`` with unique keys where ``wanted`` says so.
+def similar_classes(texts: DataFrame, wanted: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(node, root)`` of the texts that have a similar one, of ``texts(key, text)``, in which keys may repeat.
 
-    ``wanted(key, text)`` picks a row per key; ``texts`` counts document frequencies over all rows.
+    ``wanted`` turns a stored table of keys into rows ``(key, text)``, at least those of the keys and one per key.
     """
     idf = inverse_frequencies(texts)
     bands = written(signed(texts, idf).dropDuplicates(["key"]), "bands")
@@ -256,7 +259,7 @@ def similar_classes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     pivots = parts.groupBy("root", "part", "blocks").agg(F.min("key").alias("key"))
     everywhere = pivots.select("key", "root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     rows = placed.select("key", "root", "block").unionByName(everywhere).select("key", _group(F.hex("root"), "block").alias("grp"))
-    links = written(compared(_with_vectors(rows, wanted), idf), "links")
+    links = written(compared(_with_vectors(rows, wanted(placed)), idf), "links")
     if not large.limit(1).count():
         return components(links, "classes")
 
@@ -272,7 +275,7 @@ def similar_classes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     rest = joined.where(F.col("class") != F.col("main")).withColumn("part", F.pmod(F.xxhash64("key", F.lit(9)), F.col("parts")).cast("int"))
     rest = rest.select("key", "root", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     rows = all_rows.unionByName(rest).select("key", _group(F.hex("root"), "block", "part").alias("grp"))
-    more = written(compared(_with_vectors(rows, wanted), idf), "links")
+    more = written(compared(_with_vectors(rows, wanted(labelled)), idf), "links")
     return components(links.unionByName(more), "classes")
 
 
@@ -289,8 +292,15 @@ def classified(docs: DataFrame, order: str, text: str = "text") -> DataFrame:
     keyed = docs.withColumn("__key", digest(text))
     slim = keyed.select(F.col("__key").alias("key"), F.col(f"`{order}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     copies = slim.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
-    one = slim.join(copies.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("first_id"))).select("key", "text")
-    roots = similar_classes(slim.select("key", "text"), one).withColumnRenamed("node", "key")
+
+    def one_each(keys: DataFrame) -> DataFrame:
+        near = slim
+        if keys.count() <= BROADCAST_KEYS:
+            marks = keys.select(F.xxhash64("key").alias("mark"))
+            near = slim.join(F.broadcast(marks), F.xxhash64("key") == F.col("mark"), "left_semi")
+        return near.join(copies.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("first_id"))).select("key", "text")
+
+    roots = similar_classes(slim.select("key", "text"), one_each).withColumnRenamed("node", "key")
     per_key = copies.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     per_class = per_key.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"))
     names = per_key.select("key", "root").join(per_class, "root").select(F.col("key").alias("__key"), "class_id", "class_size")
