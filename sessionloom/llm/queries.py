@@ -20,4 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": classifier.op9_quality_classifier,
     "op10_curve_packing": packing.op10_curve_packing,
 }
-ORACLES: dict[str, str] = {"op7_warc_archive": warc.OP7_SQL}
+ORACLES: dict[str, str] = {
+    "op3_suffix_dedup": suffixes.OP3_SQL,
+    "op4_substring_dedup": substrings.OP4_SQL,
+    "op7_warc_archive": warc.OP7_SQL,
+}

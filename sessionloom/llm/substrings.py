@@ -122,3 +122,17 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every whole text that windows of 35 words which occur elsewhere leave."""
     return without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT rid, w, unnest(range(1, len(w) - 33)) AS s FROM d),
+win AS (SELECT rid, s, md5(array_to_string(w[s:s + 34], ' ')) AS h FROM s),
+dup AS (SELECT rid, s FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING count(*) > 1)),
+cov AS (SELECT DISTINCT rid, unnest(range(s, s + 35)) AS i FROM dup),
+gone AS (SELECT rid, count(*) AS n FROM cov GROUP BY rid),
+word AS (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+kept AS (SELECT rid, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN cov USING (rid, i) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (rid) LEFT JOIN kept USING (rid)
+"""

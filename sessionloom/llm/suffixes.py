@@ -243,3 +243,20 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every whole text that strings of 200 bytes which occur elsewhere leave."""
     return without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+OP3_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS b FROM documents),
+s AS (SELECT rid, b, unnest(range(0, CAST(strlen(b) / 2 AS BIGINT) - 199)) AS s FROM d),
+win AS (SELECT rid, s, md5(substr(b, 2 * s + 1, 400)) AS h FROM s),
+dup AS (SELECT rid, s FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING count(*) > 1)),
+part AS (SELECT rid, s, s - lag(s) OVER w > 200 AS apart FROM dup WINDOW w AS (PARTITION BY rid ORDER BY s)),
+run AS (SELECT rid, s, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY s) AS k FROM part),
+span AS (SELECT rid, k, min(s) AS a, max(s) + 200 AS e FROM run GROUP BY rid, k),
+edge AS (SELECT rid, a, e, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY a), 0) AS since FROM span),
+total AS (SELECT rid, sum(e - a) AS n, count(*) AS spans, max(e) AS last, string_agg(substr(b, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS t
+          FROM edge JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, CAST(strlen(b) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(t, '') || substr(b, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN total USING (rid)
+"""
