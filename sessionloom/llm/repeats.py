@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm.common import by_slice, digest, longs, mix, span_hashes, utf8, written
 
-HOT = 256
+HOT = 1024
 CHUNK_BYTES = 12 << 20
 _PLACE = np.uint64((1 << 28) - 1)
 
