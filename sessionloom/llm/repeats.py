@@ -78,19 +78,25 @@ def _lists(counts: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Arra
 
 
 def anchors(texts: DataFrame, units: Units) -> DataFrame:
-    """``(mark, hash[])``: the anchor of every super-window of every text that has a window."""
+    """``(mark, hash[], times[])``: the distinct anchors of every text that has a window, and how many super-windows each has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in by_slice(batch.column(1)):
                 hashes, first = units.grams(data, offsets)
                 row, _, _, at = super_windows(hashes, first, units.window, units.gram)
-                counts = np.bincount(row, minlength=j - i)
+                found = hashes[at]
+                order = np.lexsort((found, row))
+                row, found = row[order], found[order]
+                new = np.flatnonzero(np.r_[True, (found[1:] != found[:-1]) | (row[1:] != row[:-1])]) if len(row) else row
+                times = np.diff(np.r_[new, len(row)])
+                counts = np.bincount(row[new], minlength=j - i)
                 has = np.flatnonzero(counts)
                 marks = batch.column(0)[i:j].take(pa.array(has))
-                yield pa.RecordBatch.from_arrays([marks, _lists(counts[has], hashes[at].astype(np.int64), pa.int64())], names=["mark", "hash"])
+                lists = _lists(counts[has], found[new].astype(np.int64), pa.int64()), _lists(counts[has], times, pa.int32())
+                yield pa.RecordBatch.from_arrays([marks, *lists], names=["mark", "hash", "times"])
 
-    return texts.mapInArrow(run, "mark long, hash array<long>")
+    return texts.mapInArrow(run, "mark long, hash array<long>, times array<int>")
 
 
 def _chosen(units: Units, data: np.ndarray, offsets: np.ndarray, wanted: pa.Array):
@@ -196,9 +202,9 @@ def with_repeats(docs: DataFrame, units: Units) -> DataFrame:
     kinds = texts.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"))
     # A mark of 64 bits will do for a text here: two texts under one mark would only be searched for each other's anchors too.
     listed = written(anchors(texts.select(F.xxhash64("key").alias("mark"), "text"), units), "anchors")
-    rows = listed.select("mark", F.explode("hash").alias("hash"))
-    counts = rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
-    met = rows.join(counts, "hash").withColumn("hot", F.col("n") > HOT)
+    counted = listed.selectExpr("inline(arrays_zip(hash, times))").groupBy("hash").agg(F.sum("times").alias("n")).where("n > 1")
+    counts = written(counted, "anchor-counts")  # a table, so that Spark can split an anchor of very many texts in the join
+    met = listed.select("mark", F.explode("hash").alias("hash")).join(counts, "hash").withColumn("hot", F.col("n") > HOT)
     one_each = kinds.select(F.col("key").alias("k"), "first_id", F.xxhash64("key").alias("mark"))
 
     def apart(hot: bool) -> DataFrame:
