@@ -6,7 +6,7 @@ splits on fence lines, these count them. That engine's regular expressions have
 
 from __future__ import annotations
 
-from sessionloom.plans.views import AUGMENTED_SQL, PLAIN_SQL, PROJECT_SQL
+from sessionloom.plans.views import AUGMENTED_SQL, PLAIN_SQL, PROJECT_SQL, TOOL_SQL
 
 ORACLES: dict[str, str] = {}
 
@@ -184,6 +184,8 @@ for name, view in (("session", AUGMENTED_SQL), ("project", PROJECT_SQL)):
     ORACLES[f"{name}_digest"] = _digest(view)
 ORACLES["digest_render"] = f"WITH {_rendered(AUGMENTED_SQL)} SELECT session_id, body FROM rn"
 ORACLES["digest_render_long"] = f"WITH {_rendered(PROJECT_SQL)} SELECT session_id, body FROM rn"
+ORACLES["tool_digest"] = _digest(TOOL_SQL)
+ORACLES["tool_digest_render"] = f"WITH {_rendered(TOOL_SQL)} SELECT session_id, body FROM rn"
 ORACLES["coding_sessions"] = f"""WITH {ledger(AUGMENTED_SQL)}
 SELECT session_id, bool_or(tool_calls_json IS NOT NULL) AS has_tool_calls,
        bool_or(tool_calls_json IS NOT NULL OR files_touched_json IS NOT NULL) AS is_coding FROM led GROUP BY session_id"""
@@ -457,12 +459,12 @@ _WITH_PATHS = """
 x AS (SELECT doc_id, text
   || CASE WHEN doc_id % 3 = 0 THEN ' /home/u' || (doc_id % 4) || '/proj/a.rs and /home/u0/proj/a.rs, then /Users/bob/x' || doc_id ELSE '' END
   || CASE WHEN doc_id % 4 = 1 THEN ' C:\\Users\\eve\\f' || doc_id || '.txt; /Users/bob/x' || doc_id || ' .' ELSE '' END
-  || CASE WHEN doc_id % 5 = 0 THEN ' s' || 'k-' || repeat('a1B2', 6) ELSE '' END
+  || CASE WHEN doc_id % 5 = 0 THEN ' sk-' || repeat('a1B2', 6) ELSE '' END
   || CASE WHEN doc_id % 7 = 0 THEN ' PassWord :  ' || doc_id || '!x y' ELSE '' END
   || CASE WHEN doc_id % 8 = 0 THEN ' token=' || repeat('t0k.', 4) ELSE '' END
   || CASE WHEN doc_id % 9 = 0 THEN ' Authorization: Bearer ' || repeat('Zz9', 5) || '==' ELSE '' END
-  || CASE WHEN doc_id % 10 = 0 THEN ' gh' || 'p_' || repeat('abcd', 10) ELSE '' END
-  || CASE WHEN doc_id % 11 = 0 THEN ' ey' || 'J' || doc_id || '.b_-' || doc_id || '.c' ELSE '' END
+  || CASE WHEN doc_id % 10 = 0 THEN ' ghp_' || repeat('abcd', 10) ELSE '' END
+  || CASE WHEN doc_id % 11 = 0 THEN ' eyJ' || doc_id || '.b_-' || doc_id || '.c' ELSE '' END
   || CASE WHEN doc_id % 13 = 0 THEN ' mail a.b+c@ex' || doc_id || '.example.org_d@e.io' ELSE '' END AS text FROM documents)"""
 
 

@@ -128,6 +128,18 @@ def digest_render_long(spark, sf):
     return digest.render_digest(digest.session_digest(views.project_ledger(spark, sf)))
 
 
+@query
+def tool_digest(spark, sf):
+    """Long sessions: every entry is in the digest."""
+    return _flat_digest(digest.session_digest(views.tool_ledger(spark, sf)))
+
+
+@query
+def tool_digest_render(spark, sf):
+    """Long sessions: the rendered document is cut at its last line."""
+    return digest.render_digest(digest.session_digest(views.tool_ledger(spark, sf)))
+
+
 # -- accumulation ---------------------------------------------------------------------------------------------------------------
 def _log_and_batch(spark, sf) -> tuple[DataFrame, DataFrame]:
     """The log holds the older half of the turns of two tools; the batch brings everything again, the third tool's turns late."""
@@ -651,12 +663,12 @@ def _documents_with_paths(spark, sf) -> DataFrame:
     extra = F.concat(
         F.when(i % 3 == 0, F.concat(F.lit(" /home/u"), (i % 4).cast("string"), F.lit("/proj/a.rs and /home/u0/proj/a.rs, then /Users/bob/x"), s)).otherwise(""),
         F.when(i % 4 == 1, F.concat(F.lit(" C:\\Users\\eve\\f"), s, F.lit(".txt; /Users/bob/x"), s, F.lit(" ."))).otherwise(""),
-        F.when(i % 5 == 0, F.concat(F.lit(" s" + "k-"), F.repeat(F.lit("a1B2"), F.lit(6)))).otherwise(""),
+        F.when(i % 5 == 0, F.concat(F.lit(" sk-"), F.repeat(F.lit("a1B2"), F.lit(6)))).otherwise(""),
         F.when(i % 7 == 0, F.concat(F.lit(" PassWord :  "), s, F.lit("!x y"))).otherwise(""),
         F.when(i % 8 == 0, F.concat(F.lit(" token="), F.repeat(F.lit("t0k."), F.lit(4)))).otherwise(""),
         F.when(i % 9 == 0, F.concat(F.lit(" Authorization: Bearer "), F.repeat(F.lit("Zz9"), F.lit(5)), F.lit("=="))).otherwise(""),
-        F.when(i % 10 == 0, F.concat(F.lit(" gh" + "p_"), F.repeat(F.lit("abcd"), F.lit(10)))).otherwise(""),
-        F.when(i % 11 == 0, F.concat(F.lit(" ey" + "J"), s, F.lit(".b_-"), s, F.lit(".c"))).otherwise(""),
+        F.when(i % 10 == 0, F.concat(F.lit(" ghp_"), F.repeat(F.lit("abcd"), F.lit(10)))).otherwise(""),
+        F.when(i % 11 == 0, F.concat(F.lit(" eyJ"), s, F.lit(".b_-"), s, F.lit(".c"))).otherwise(""),
         F.when(i % 13 == 0, F.concat(F.lit(" mail a.b+c@ex"), s, F.lit(".example.org_d@e.io"))).otherwise(""),
     )
     return views.table(spark, sf, "documents").select("doc_id", F.concat(F.col("text"), extra).alias("text"))

@@ -51,6 +51,9 @@ SELECT 'p' || (CAST(session_id AS BIGINT) % 10) AS session_id, tool, ts_ms, role
 FROM ({AUGMENTED_SQL}) a
 """
 
+# A session per tool: logs longer than a rendered document.
+TOOL_SQL = f"SELECT tool AS session_id, tool, ts_ms, role, content, tool_calls_json, files_touched_json, parent_id FROM ({PROJECT_SQL}) p"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -69,11 +72,15 @@ def augmented_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _over(spark, sf_dir, "conversations", escaped)
 
 
-def project_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sql = PROJECT_SQL.replace("{", "{{").replace("}", "}}").replace(" // ", " div ")
+def project_ledger(spark: SparkSession, sf_dir: str, sql: str = PROJECT_SQL) -> DataFrame:
+    sql = sql.replace("{", "{{").replace("}", "}}").replace(" // ", " div ")
     return _over(spark, sf_dir, "conversations", sql)
 
 
+def tool_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project_ledger(spark, sf_dir, TOOL_SQL)
+
+
 def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` read as a log of file changes."""
     return table(spark, sf_dir, "events").select(

@@ -166,7 +166,7 @@ def test_text_blocks(spark):
 
 def test_redaction_rules(spark):
     lines = {
-        "key s" + "k-" + "a" * 24: "key sk-REDACTED",
+        "key sk-" + "a" * 24: "key sk-REDACTED",
         "A" + "KIA" + "Z" * 16 + " x": "AKIA" + "X" * 16 + " x",
         "xo" + "xp-12345-abcde": "xoxb-REDACTED",
         "AWS_SECRET_ACCESS_KEY = " + "a" * 40: "AWS_SECRET_ACCESS_KEY = REDACTED",
