@@ -32,9 +32,18 @@ def ingest_path(
     source_kind: str | None = None,
     **options: str,
 ) -> None:
-    """Read what is new below ``path``. ``full_refresh`` (I8) ignores the offsets; stored positions still keep it idempotent."""
+    """Read what is new below ``path``; files that did not grow are not opened.
+
+    ``full_refresh`` (I8) ignores the offsets; stored positions still keep it idempotent.
+    """
     spark = configure(warehouse.spark)
-    lines = jsonl.read_lines(spark, path, glob, **options)
+    lines = None
+    if not full_refresh:
+        known = incremental.current_offsets(warehouse.offset_log().filter(F.col("tool") == tool))
+        grown = jsonl.grown_sources(spark, path, known, glob)
+        lines = jsonl.read_lines(spark, grown, None, **options) if grown else jsonl.read_lines(spark, path, glob, **options).limit(0)
+    if lines is None:
+        lines = jsonl.read_lines(spark, path, glob, **options)
     ingest_lines(warehouse, lines, tool, batch_id, full_refresh=full_refresh, mode=mode, source_kind=source_kind)
 
 

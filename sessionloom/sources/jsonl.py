@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -244,5 +245,17 @@ def list_sources(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataF
     )
 
 
+def grown_sources(spark: SparkSession, path: str | list[str], offsets: DataFrame, glob: str | None = "*.jsonl") -> list[str]:
+    """The files below ``path`` that hold more bytes than ``offsets(source_path, byte_offset)`` knows, as patterns to read.
+
+    Only the listing is read. The result names the files that changed; the reader lists them on the driver too.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    listed = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+    sizes = listed.select(F.col("_metadata.file_path").alias("source_path"), "path", F.col("length").alias("size"))
+    grown = sizes.join(offsets.select("source_path", "byte_offset"), "source_path", "left").filter(F.col("size") > F.coalesce("byte_offset", F.lit(0)))
+    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", r["path"]) for r in grown.select("path").orderBy("path").collect()]
+
+
 # Ship this module's task functions with the job, so workers need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

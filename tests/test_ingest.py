@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.operators import normalize
 from sessionloom.plans import ingest
+from sessionloom.sources import jsonl
 from sessionloom.streaming import transcripts
 
 
@@ -188,3 +189,22 @@ def test_two_streams_share_a_session_and_a_batch_id(spark, tmp_path):
     store("cursor", 5, [("c.jsonl", 10, "other", 3000, "user", "another session here")])
     log = wh.digest_log().groupBy("session_id").count().collect()
     assert {r["session_id"]: r["count"] for r in log} == {"s": 2, "other": 1}
+
+
+def test_files_that_did_not_grow_are_not_opened(spark, tmp_path):
+    wh = ingest.open_warehouse(spark, str(tmp_path / "wh"))
+    source = tmp_path / "in"
+    write(str(source / "p [1]" / "a.jsonl"), LINES[:2])
+    write(str(source / "p" / "b.jsonl"), [record(0, "A second file of another session", session="s2")])
+    ingest.ingest_path(wh, "claude", str(source), 0)
+    before = wh.ledger().count()
+    offsets = wh.offset_log()
+    assert before == 3 and jsonl.grown_sources(spark, str(source), offsets) == []
+    ingest.ingest_path(wh, "claude", str(source), 1)
+    assert wh.ledger().count() == before
+    with open(source / "p [1]" / "a.jsonl", "a", encoding="utf-8") as f:
+        f.write(record(7, "One more prompt for the first file") + "\n")
+    grown = jsonl.grown_sources(spark, str(source), offsets)
+    assert len(grown) == 1 and grown[0].endswith("a.jsonl")
+    ingest.ingest_path(wh, "claude", str(source), 2)
+    assert wh.ledger().count() == before + 1
