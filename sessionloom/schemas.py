@@ -49,15 +49,6 @@ OFFSETS = T.StructType(
     ]
 )
 
-REJECTS = T.StructType(
-    [
-        T.StructField("tool", T.StringType()),
-        T.StructField("source_path", T.StringType()),
-        T.StructField("end_offset", T.LongType()),
-        T.StructField("reason", T.StringType()),
-    ]
-)
-
 HOOK_EVENTS = T.StructType(
     [
         T.StructField("tool", T.StringType()),

@@ -1,15 +1,12 @@
-"""Key-value stores: SQLite files, both document layouts, resumption."""
+"""Key-value documents: both layouts, resumption."""
 
 import json
-import os
-import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.operators import kv
 from sessionloom.plans import ingest
-from sessionloom.sources import kv as stores
 
 HEADERS = {
     "allComposers": [
@@ -29,39 +26,16 @@ PROMPTS = {
 TIMES = {"wa": [{"unixMs": 11}, {"x": 1}, {"unixMs": 12}, {"unixMs": 13}], "wb": []}
 
 
-def store(path, items, wal=False):
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    db = sqlite3.connect(path)
-    if wal:
-        db.execute("PRAGMA journal_mode=WAL")
-    db.execute("CREATE TABLE ItemTable (key TEXT UNIQUE, value BLOB)")
-    for n, (key, value) in enumerate(items.items()):
-        text = json.dumps(value, ensure_ascii=False)
-        db.execute("INSERT INTO ItemTable VALUES (?, ?)", (key, text.encode() if n % 2 else text))
-    db.execute("INSERT INTO ItemTable VALUES ('unrelated', 'x')")
-    db.commit()
-    db.close()
-
-
 @pytest.fixture(scope="module")
-def documents(spark, tmp_path_factory):
-    root = str(tmp_path_factory.mktemp("User"))
-    store(f"{root}/globalStorage/state.vscdb", {kv.HEADERS_KEY: HEADERS}, wal=True)
+def documents(spark):
+    rows = [(None, kv.HEADERS_KEY, HEADERS)]
     for ws, prompts in PROMPTS.items():
-        items = {kv.PROMPTS_KEY: prompts}
+        rows.append((ws, kv.PROMPTS_KEY, prompts))
         if ws in TIMES:
-            items[kv.GENERATIONS_KEY] = TIMES[ws]
-        store(f"{root}/workspaceStorage/{ws}/state.vscdb", items)
-    return stores.read_stores(spark, root).cache()
-
-
-def test_read_stores(documents):
-    rows = documents.collect()
-    assert {(r["workspace_id"], r["key"]) for r in rows} == {
-        (None, kv.HEADERS_KEY), ("wa", kv.PROMPTS_KEY), ("wa", kv.GENERATIONS_KEY), ("wb", kv.PROMPTS_KEY),
-        ("wb", kv.GENERATIONS_KEY), ("wz", kv.PROMPTS_KEY),
-    }
-    assert len({r["store"] for r in rows}) == 1
+            rows.append((ws, kv.GENERATIONS_KEY, TIMES[ws]))
+    rows.append(("wa", "unrelated", "x"))
+    values = [("u", ws, key, json.dumps(value, ensure_ascii=False)) for ws, key, value in rows]
+    return spark.createDataFrame(values, "store string, workspace_id string, key string, value string")
 
 
 def test_composers(documents):
