@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm.common import by_slice, digest, longs, mix, span_hashes, utf8, written
 
-HOT = 1024
+HOT = 8192
 CHUNK_BYTES = 12 << 20
 _PLACE = np.uint64((1 << 28) - 1)
 
@@ -130,7 +130,7 @@ def _packs(units: Units):
 
 
 def _hot_prints(units: Units):
-    """From (key, text, anchors) to the hashes of the windows of those anchors, as lists."""
+    """From (key, text, anchors) to the hashes of the distinct windows of those anchors, each with its places in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,9 +140,13 @@ def _hot_prints(units: Units):
                 at = np.repeat(lo, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
                 owner = np.repeat(row, counts)
                 a, b = units.prints(data, offsets)
-                each = np.bincount(owner, minlength=j - i)
-                lists = [_lists(each, v, t) for v, t in ((a[at].astype(np.int64), pa.int64()), (b[at].astype(np.int64), pa.int64()), (at - first[owner], pa.int32()))]
-                yield pa.RecordBatch.from_arrays([batch.column("key")[i:j], *lists], names=["key", "w1", "w2", "at"])
+                a, b, place = a[at], b[at], at - first[owner]
+                order = np.lexsort((place, b, a, owner))
+                a, b, owner, place = a[order], b[order], owner[order], place[order]
+                new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (owner[1:] != owner[:-1])]) if len(owner) else owner
+                keys = batch.column("key")[i:j].take(pa.array(owner[new]))
+                places = _lists(np.diff(np.r_[new, len(owner)]), place, pa.int32())
+                yield pa.RecordBatch.from_arrays([keys, longs(a[new].astype(np.int64)), longs(b[new].astype(np.int64)), places], names=["key", "w1", "w2", "at"])
 
     return run
 
@@ -214,9 +218,9 @@ def with_repeats(docs: DataFrame, units: Units) -> DataFrame:
 
     packs = apart(False).mapInArrow(_packs(units), "hash long, key binary, lo int, hi int, at int, payload binary")
     cold = packs.repartition("hash").sortWithinPartitions("hash").mapInArrow(_bucket_repeats(units), "key binary, a int, b int")
-    prints = apart(True).mapInArrow(_hot_prints(units), "key binary, w1 array<long>, w2 array<long>, at array<int>").selectExpr("key", "inline(arrays_zip(w1, w2, at))")
-    twice = prints.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    warm = prints.join(twice, ["w1", "w2"]).select("key", F.col("at").alias("a"), (F.col("at") + units.window).alias("b"))
+    prints = apart(True).mapInArrow(_hot_prints(units), "key binary, w1 long, w2 long, at array<int>")
+    twice = prints.groupBy("w1", "w2").agg(F.sum(F.size("at")).alias("n")).where("n > 1").drop("n")
+    warm = prints.join(twice, ["w1", "w2"]).select("key", F.explode("at").alias("a")).withColumn("b", F.col("a") + units.window)
     copied = kinds.where("copies > 1").select("key", F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b"), F.lit(True).alias("copied"))
     found = cold.unionByName(warm).withColumn("copied", F.lit(False)).unionByName(copied)
     spans = F.collect_list(F.when(F.col("a").isNotNull(), F.struct("a", "b"))).alias("repeats")
