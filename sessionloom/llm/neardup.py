@@ -17,7 +17,7 @@ Of the texts only those in components are shuffled: their 64-bit marks are broad
 texts are shuffled once a round.
 
 Texts without words are in no class but those of their copies. Null texts count as empty. A class is named by the least id among its
-documents (nulls first); rows that repeat are members like others. An empty table gives an empty one, other columns are kept by the filter.
+documents, null only if no document has an id; rows that repeat are members like others. An empty table gives an empty one, other columns are kept by the filter.
 """
 
 from __future__ import annotations
