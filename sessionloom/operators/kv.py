@@ -147,8 +147,9 @@ def workspace_state(kv: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     )
 
 
-def _turn(session: Column, role: Column, content: Column, ts: Column, msg_id: Column, key: str) -> list[Column]:
+def _turn(store: list[str], session: Column, role: Column, content: Column, ts: Column, msg_id: Column, key: str) -> list[Column]:
     return [
+        *[F.col(c) for c in store],
         F.coalesce(session, F.lit("")).alias("session_id"),
         F.lit("cursor").alias("tool"),
         F.coalesce(ts, F.lit(0)).alias("ts_ms"),
@@ -161,7 +162,7 @@ def _turn(session: Column, role: Column, content: Column, ts: Column, msg_id: Co
 
 def legacy_generations(kv: DataFrame) -> DataFrame:
     """Every generation is a user turn and an assistant turn."""
-    item, side = F.col("item"), F.col("side")
+    item, side, store = F.col("item"), F.col("side"), _workspace(kv)[:-1]
     text = lambda path: F.coalesce(vr.item_string(item, path), F.lit(""))
     sides = F.array(
         F.struct(F.lit("user").alias("role"), text(".userMessage").alias("text"), vr.item_long(item, ".requestTs").alias("ts")),
@@ -171,10 +172,11 @@ def legacy_generations(kv: DataFrame) -> DataFrame:
     )
     return (
         _documents(kv, GENERATIONS_KEY)
-        .select(F.explode(vr.as_array(vr.get(F.col("v")))).alias("item"))
-        .select("item", F.explode(sides).alias("side"))
+        .select(*store, F.explode(vr.as_array(vr.get(F.col("v")))).alias("item"))
+        .select(*store, "item", F.explode(sides).alias("side"))
         .select(
             *_turn(
+                store,
                 vr.item_string(item, ".sessionId"),
                 side["role"],
                 side["text"],
@@ -188,13 +190,14 @@ def legacy_generations(kv: DataFrame) -> DataFrame:
 
 def legacy_prompts(kv: DataFrame) -> DataFrame:
     """Prompts that carry an id."""
-    item = F.col("item")
+    item, store = F.col("item"), _workspace(kv)[:-1]
     return (
         _documents(kv, PROMPTS_KEY)
-        .select(F.explode(vr.as_array(vr.get(F.col("v")))).alias("item"))
+        .select(*store, F.explode(vr.as_array(vr.get(F.col("v")))).alias("item"))
         .filter(_id(item, ".promptId").isNotNull())
         .select(
             *_turn(
+                store,
                 vr.item_string(item, ".sessionId"),
                 F.lit("user"),
                 F.coalesce(vr.item_string(item, ".text"), F.lit("")),
@@ -208,13 +211,14 @@ def legacy_prompts(kv: DataFrame) -> DataFrame:
 
 def legacy_composer_messages(kv: DataFrame) -> DataFrame:
     """P20: messages of composer documents, numbered within their composer."""
-    item, message = F.col("item"), F.col("message")
+    item, message, store = F.col("item"), F.col("message"), _workspace(kv)[:-1]
     return (
         _documents(kv, COMPOSER_DATA_KEY)
-        .select(F.explode(vr.as_array(vr.get(F.col("v"), ".composers"))).alias("item"))
-        .select("item", F.posexplode(F.try_variant_get(item, "$.messages", "array<variant>")).alias("idx", "message"))
+        .select(*store, F.explode(vr.as_array(vr.get(F.col("v"), ".composers"))).alias("item"))
+        .select(*store, "item", F.posexplode(F.try_variant_get(item, "$.messages", "array<variant>")).alias("idx", "message"))
         .select(
             *_turn(
+                store,
                 vr.item_string(item, ".sessionId"),
                 F.coalesce(vr.item_string(message, ".role"), F.lit("user")),
                 vr.content_text(F.try_variant_get(message, "$.content", "variant")),

@@ -185,8 +185,9 @@ def ingest_kv(warehouse: Warehouse, documents: DataFrame, batch_id: int) -> None
         F.lit(None).cast("string").alias("reason"),
     )
     rejected = oversized.withColumn("status", F.lit("rejected"))
+    older = _legacy_rows(documents, warehouse.records().filter(F.col("tool") == "cursor"))
     state = kv.workspace_state(documents, seen)
-    rows = normalize.finish(prompts.unionByName(rejected, allowMissingColumns=True))
+    rows = normalize.finish(prompts.unionByName(rejected, allowMissingColumns=True).unionByName(older, allowMissingColumns=True))
     # Prompt positions shift between reads, so they identify a prompt only within this batch: enough for a retry of it.
     if warehouse.first_unfinished("cursor") is not None:
         same = (F.col("tool") == "cursor") & (F.col("batch_id") == batch_id)
@@ -198,6 +199,22 @@ def ingest_kv(warehouse: Warehouse, documents: DataFrame, batch_id: int) -> None
     digest_batch(warehouse, "cursor", batch_id)
 
 
+def _legacy_rows(documents: DataFrame, stored: DataFrame) -> DataFrame:
+    """Turns of stores without composer headers that sort after the last stored id of their store and key.
+
+    A message's id is its record id, and its hash the position, so that a repeated batch adds nothing.
+    """
+    current = documents.filter(F.col("key") == kv.HEADERS_KEY).select("store").distinct()
+    turns = kv.legacy_turns(documents.join(current, "store", "left_anti"))
+    rows = turns.withColumn("source_path", F.concat_ws("/", "store", F.lit("legacy"), "source_key"))
+    marks = stored.filter(F.contains("source_path", F.lit("/legacy/"))).groupBy("source_path").agg(F.max("record_uuid").alias("last_msg_id"))
+    fresh = incremental.after_last_id(rows, marks, "source_path")
+    return fresh.select(
+        "tool", "source_path", F.xxhash64("msg_id").alias("end_offset"), "session_id", "ts_ms", "role", "content",
+        F.col("msg_id").alias("record_uuid"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("reason"),
+    )
+
+
 def legacy_kv_turns(documents: DataFrame, watermarks: DataFrame | None = None) -> DataFrame:
     """Turns of the older layout past the stored id of each key."""
     turns = kv.legacy_turns(documents)

@@ -117,3 +117,19 @@ def test_safe_ids(spark):
     ids = {"a-B_9": True, "": False, "a/b": False, "..": False, "a\n": False, "x" * 64: True, "x" * 65: False, "ä": False, None: False}
     rows = spark.createDataFrame([(i,) for i in ids], "i string").select("i", kv.is_safe_id(F.col("i")).alias("ok")).collect()
     assert {r["i"]: r["ok"] for r in rows} == ids
+
+
+def test_stores_without_headers_are_read_in_the_older_layout(spark, tmp_path):
+    wh = ingest.open_warehouse(spark, str(tmp_path / "wh"))
+    generation = lambda n: {"generationId": f"g{n}", "sessionId": "s", "requestTs": n, "responseTs": n + 1, "userMessage": f"please do {n}", "assistantMessage": f"did {n}"}
+    row = lambda store, key, value: (store, None, key, json.dumps(value))
+    schema = "store string, workspace_id string, key string, value string"
+    old = [row("old", kv.GENERATIONS_KEY, [generation(1), generation(2)]), row("new", kv.HEADERS_KEY, HEADERS), row("new", kv.GENERATIONS_KEY, [generation(7)])]
+    ingest.ingest_kv(wh, spark.createDataFrame(old, schema), 0)
+    assert {r["content"] for r in wh.ledger().collect()} == {"please do 1", "did 1", "please do 2", "did 2"}
+    ingest.ingest_kv(wh, spark.createDataFrame(old, schema), 1)
+    assert wh.ledger().count() == 4
+    more = [row("old", kv.GENERATIONS_KEY, [generation(1), generation(2), generation(3)])]
+    ingest.ingest_kv(wh, spark.createDataFrame(more, schema), 2)
+    assert wh.ledger().count() == 6
+    assert [r["next_action"] for r in wh.digests().collect()] == ["did 3"]
