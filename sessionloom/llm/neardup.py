@@ -287,11 +287,14 @@ def _with_vectors(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return vectors.select("key", F.explode("grp").alias("grp"), "payload")
 
 
-def classified(docs: DataFrame, order: str, text: str = "text") -> DataFrame:
-    """Add ``class_id`` (least ``order`` of the class) and ``class_size``; ``order`` is any column that can be compared."""
-    keyed = docs.withColumn("__key", digest(text))
+def _classified(docs: DataFrame, order: str, text: str) -> DataFrame:
+    """``docs`` with ``__key``, ``class_id``, ``class_size``, the key of the text that stands for the class, and how many rows have that key and id."""
+    keyed = docs.drop("class_id", "class_size").withColumn("__key", digest(text))
     slim = keyed.select(F.col("__key").alias("key"), F.col(f"`{order}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    copies = slim.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
+    # A missing id comes after all others.
+    place = F.struct(F.col("id").isNull().alias("none"), "id")
+    copies = slim.groupBy("key", "id").agg(F.count("*").alias("n")).groupBy("key")
+    copies = copies.agg(F.min(place)["id"].alias("first_id"), F.sum("n").alias("n"), F.min_by("n", place).alias("twins"))
 
     def one_each(keys: DataFrame) -> DataFrame:
         near = slim
@@ -302,16 +305,25 @@ def classified(docs: DataFrame, order: str, text: str = "text") -> DataFrame:
 
     roots = similar_classes(slim.select("key", "text"), one_each).withColumnRenamed("node", "key")
     per_key = copies.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    per_class = per_key.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"))
-    names = per_key.select("key", "root").join(per_class, "root").select(F.col("key").alias("__key"), "class_id", "class_size")
-    return keyed.drop("class_id", "class_size").join(names, "__key").drop("__key")
+    best = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "key")
+    per_class = per_key.groupBy("root").agg(F.min(F.struct(best.alias("best"), "twins")).alias("r"), F.sum("n").alias("class_size"))
+    names = per_key.select("key", "root").join(per_class, "root").select(
+        F.col("key").alias("__key"), F.col("r.best.first_id").alias("class_id"), "class_size", F.col("r.best.key").alias("__best"), F.col("r.twins").alias("__twins")
+    )
+    return keyed.join(names, "__key")
+
+
+def classified(docs: DataFrame, order: str, text: str = "text") -> DataFrame:
+    """Add ``class_id`` (least ``order`` of the class) and ``class_size``; ``order`` is any column that can be compared."""
+    return _classified(docs, order, text).drop("__key", "__best", "__twins")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class, the one with the least id, with its columns as they were."""
-    packed = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("__row"), F.col(f"`{text}`").alias("text"), F.struct(F.col(f"`{key}`").alias("id"), F.monotonically_increasing_id().alias("uid")).alias("__id"))
-    found = classified(written(packed, "numbered"), "__id")
-    return found.where(F.col("__id").eqNullSafe(F.col("class_id"))).select(*[F.col("__row")[c].alias(c) for c in docs.columns])
+    """One document of each class, the one with the least id, with its columns as they were; of equal rows one is left."""
+    packed = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("__row"), F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").alias("__id"))
+    found = _classified(packed, "__id", "text").where((F.col("__key") == F.col("__best")) & F.col("__id").eqNullSafe(F.col("class_id")))
+    equal = found.where("__twins > 1").dropDuplicates(["__key"])
+    return found.where("__twins = 1").unionByName(equal).select(*[F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
