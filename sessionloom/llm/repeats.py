@@ -220,10 +220,11 @@ def with_repeats(docs: DataFrame, units: Units) -> DataFrame:
     cold = packs.repartition("hash").sortWithinPartitions("hash").mapInArrow(_bucket_repeats(units), "key binary, a int, b int")
     prints = apart(True).mapInArrow(_hot_prints(units), "key binary, w1 long, w2 long, at array<int>")
     twice = prints.groupBy("w1", "w2").agg(F.sum(F.size("at")).alias("n")).where("n > 1").drop("n")
-    warm = prints.join(twice, ["w1", "w2"]).select("key", F.explode("at").alias("a")).withColumn("b", F.col("a") + units.window)
-    copied = kinds.where("copies > 1").select("key", F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b"), F.lit(True).alias("copied"))
+    warm = prints.join(twice, ["w1", "w2"]).select("key", F.transform("at", lambda a: F.struct(a.alias("a"), (a + units.window).alias("b"))).alias("spans"))
+    copied = kinds.where("copies > 1").select("key", F.array().cast("array<struct<a:int,b:int>>").alias("spans"), F.lit(True).alias("copied"))
+    cold = cold.select("key", F.array(F.struct("a", "b")).alias("spans"))
     found = cold.unionByName(warm).withColumn("copied", F.lit(False)).unionByName(copied)
-    spans = F.collect_list(F.when(F.col("a").isNotNull(), F.struct("a", "b"))).alias("repeats")
+    spans = F.flatten(F.collect_list("spans")).alias("repeats")
     per_text = found.groupBy("key").agg(spans, F.max("copied").alias("copied"))
     return texts.join(per_text, "key", "left")
 
