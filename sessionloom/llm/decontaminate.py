@@ -3,15 +3,16 @@
 Words are runs of other characters than blanks, in lower case; shingles are five words. A window is as long as some item. It contaminates if
 its shingles, weighted by how often they occur, have a Jaccard similarity of ``SIMILARITY`` or more with those of an item of that length.
 
-1. A window without any shingle of an item has similarity 0, so windows are cut where a shingle of a text is one of an item: aligned to it, at
-   the length of that item. This leaves out nothing that could pass. Only these few windows leave the scan, as arrays of shingle hashes.
+1. A similarity of 0.8 takes that share of the shingles of the item at the least. So a window is cut at every start, at the length of some item,
+   where so many of its shingles occur in items of that length. This leaves out nothing that could pass. Places of shared shingles are gathered
+   by the digest of the text, and a second scan cuts the few windows, which leave it as arrays of shingle hashes.
 2. Every window and item gets a 64-bit SimHash. Items are listed under all values of each of ``BLOCKS`` blocks that differ in at most
    ``RADIUS // BLOCKS`` bits: two fingerprints within ``RADIUS`` bits agree so in one block at least, hence the join on (length, block, value)
    finds all of them. At a similarity of 0.8 two fingerprints differ in 9.7 bits on average, with a deviation of 2.9.
 3. Pairs within the radius are verified exactly.
 
-The shingles of the items are broadcast only if the items hold at most ``BROADCAST_WORDS`` words in all; else Spark shuffles. Nothing is broadcast or
-collected of the documents, and equal fingerprints meet items, never each other.
+The shingles of the items are broadcast only if the items hold at most ``BROADCAST_WORDS`` words in all, and the starts of windows if there are at
+most ``BROADCAST_STARTS``; else Spark shuffles. Nothing else of the documents is broadcast, and equal fingerprints meet items, never each other.
 
 Null and empty texts are clean; items of fewer than five words are never found. A null key is reported as null. Repeated documents or
 items give the same pairs once. Empty tables give no pairs. Other columns are ignored by the search and kept by the filter.
@@ -28,6 +29,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS, BLOCKS, BITS = 19, 5, 64
 BROADCAST_WORDS = 2_000_000
+BROADCAST_STARTS = 500_000
 
 
 def words(text: str) -> Column:
@@ -85,18 +87,33 @@ def item_table(items: DataFrame, key: str = "item_id", text: str = "text") -> Da
     return fingerprinted(found.select("item", F.size("w").alias("n"), shingles(F.col("w")).alias("hashes")), "items")
 
 
-def windows(docs: DataFrame, items: DataFrame, key: Column, text: str) -> DataFrame:
-    """``(key, n, start, hashes)``: windows of ``n`` words, fewer at an end of the text, that share a shingle with an item of that length."""
-    wanted = items.select("n", F.posexplode("hashes").alias("item_at", "hash")).groupBy("hash", "n", "item_at").agg(F.lit(1).alias("one")).drop("one")
+def starts(docs: DataFrame, items: DataFrame, text: str) -> DataFrame:
+    """``(digest, cuts)``, of ``n`` and ``start``: every window of ``n`` words with enough shingles of items of that length to reach the similarity with one."""
+    wanted = items.select("n", F.explode("hashes").alias("hash")).distinct()
     size = items.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first().words
     if size <= BROADCAST_WORDS:
         wanted = F.broadcast(wanted)
-    placed = docs.select(key.alias("key"), words(text).alias("w")).select("key", "w", F.posexplode_outer("w").alias("at", "word"))
-    placed = placed.where(F.col("at") <= F.size("w") - SHINGLE).withColumn("hash", shingle(F.col("w"), F.col("at")))
-    start = F.greatest(F.lit(0), F.col("at") - F.col("item_at"))
-    met = placed.join(wanted, "hash").select("key", "w", "n", start.alias("start"))
-    cut = F.slice("w", F.col("start") + 1, F.col("n"))
-    return met.select("key", "n", "start", shingles(cut).alias("hashes")).distinct()
+    placed = docs.select(digest(text).alias("digest"), words(text).alias("w")).select("digest", "w", F.posexplode_outer("w").alias("at", "word"))
+    placed = placed.where(F.col("at") <= F.size("w") - SHINGLE).select("digest", "at", shingle(F.col("w"), F.col("at")).alias("hash"))
+    met = placed.join(wanted, "hash").select("digest", "n", "at").distinct()
+    held = met.groupBy("digest", "n").agg(F.array_sort(F.collect_list("at")).alias("places"))  # as many as the text has words at most
+    places, last = F.col("places"), F.col("n") - SHINGLE
+    need = F.ceil(F.lit(SIMILARITY) * (last + 1) - F.lit(1e-9)).cast("int")
+    full = held.where(F.size(places) >= need).select("digest", "n", F.posexplode("places").alias("i", "first"), F.get(places, F.col("i") + need - 1).alias("enough"))
+    near = full.where(F.col("enough") - F.col("first") <= last).withColumn("least", F.greatest(F.lit(0), F.col("enough") - last))
+    every = near.select("digest", "n", F.explode(F.sequence("least", "first")).alias("start")).distinct()
+    return every.groupBy("digest").agg(F.collect_list(F.struct("n", "start")).alias("cuts"))
+
+
+def windows(docs: DataFrame, items: DataFrame, key: Column, text: str) -> DataFrame:
+    """``(key, n, start, hashes)``: windows of ``n`` words, fewer at an end of the text, that may reach the similarity with an item of that length."""
+    wanted = written(starts(docs, items, text), "starts")
+    if wanted.agg(F.coalesce(F.sum(F.size("cuts")), F.lit(0)).alias("starts")).first().starts <= BROADCAST_STARTS:
+        wanted = F.broadcast(wanted)
+    met = docs.select(key.alias("key"), F.col(f"`{text}`").alias("text"), digest(text).alias("digest")).join(wanted, "digest")
+    cut = met.select("key", words("text").alias("w"), "cuts").select("key", "w", F.inline("cuts"))  # behind the generator, words are not split again
+    inside = F.sequence(F.col("start"), F.least(F.col("start") + F.col("n"), F.size("w")) - SHINGLE)
+    return cut.select("key", "n", "start", F.transform(inside, lambda i: shingle(F.col("w"), i)).alias("hashes")).distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: Column, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -96,3 +96,21 @@ def test_blocks_find_all_within_the_radius(spark):
 def test_query(spark):
     got = {(r.doc_id, r.item_id) for r in d.op2_decontamination(spark, SF).collect()}
     assert got == set(brute(documents(spark), documents(spark, name="benchmark", key="item_id"))) and got
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_every_start_is_tried(spark, monkeypatch, broadcast):
+    """Words inserted in the middle and edits at both ends: the best window may be aligned to no shared shingle."""
+    if not broadcast:
+        monkeypatch.setattr(d, "BROADCAST_STARTS", -1)
+    items, docs = [], []
+    for item in range(12):
+        mine = ["i%dw%d" % (item, k) for k in range(59 - item % 3)]
+        items.append((item, " ".join(mine)))
+        for at in range(14, 44, 5):
+            body = ["x", *mine[1:at], "put", "in", *mine[at:-1], "y"]
+            docs.append((len(docs), " ".join(["before"] * (at % 3) + body + ["after"] * (item % 4))))
+    want = brute(docs, items)
+    found = d.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), F.col("doc_id"))
+    assert {(r.key, r.item): round(r.similarity, 9) for r in found.collect()} == {k: round(v, 9) for k, v in want.items()}
+    assert len(want) > 40
