@@ -4,9 +4,11 @@ For each language a bounded sample of labelled text becomes a suffix automaton.
 where the text leaves the automaton. With n symbols of training and m symbols of text, ``phrases * log2(n) / m`` estimates the bits a symbol
 of the text costs; the language with the fewest normalised phrases wins, ties go to the smaller name.
 
-The automata are built on the driver from at most ``SAMPLE_ROWS`` rows and ``SAMPLE_SYMBOLS`` symbols per language (the size bound of what is
-broadcast: twice as many states, times the alphabet) and flattened to transition tables. Whole texts are parsed: chunks of ``CHUNK`` symbols
-of all texts of a batch step through a table together, so a text of any length costs its length only.
+The symbols are the UTF-8 bytes of letters, so every letter of every script counts as itself. The automata are built on the driver from at most
+``SAMPLE_ROWS`` rows and ``SAMPLE_SYMBOLS`` letters per language and flattened to transition tables over the bytes of that language. This bounds
+what is broadcast: twice as many states as bytes, times 144 at most (the bytes of UTF-8 without upper case, an unknown one and the end mark).
+Whole texts are parsed: chunks of ``CHUNK`` bytes of all texts of a batch step through a table together, so a text of any length costs its
+length only.
 
 Letters count in lower case, every run of other characters as one gap. The prediction is ``und`` with score 0 for null texts, texts without
 letters, or if nothing was learned. Text and labels are the only inputs. A null id is not held out. Repeated rows give repeated results, an
@@ -27,10 +29,9 @@ from sessionloom.llm.common import by_slice, extend, table
 
 SAMPLE_ROWS = 100
 SAMPLE_SYMBOLS = 50_000
-ALPHABET = 100
 CHUNK = 256
 UNKNOWN = "und"
-GAP, RARE = 0, 1
+END = 0xFF  # no byte of UTF-8
 
 
 @cache
@@ -45,6 +46,23 @@ def _letters() -> np.ndarray:
     return found
 
 
+@cache
+def _packed() -> np.ndarray:
+    """UTF-8 bytes of each code point as one number, the last byte lowest."""
+    c = np.arange(0x110000, dtype=np.uint32)
+    tail = [(0x80 | (c >> 6 * k) & 0x3F) << 8 * k for k in range(3)]
+    two, three, four = (0xC0 | c >> 6) << 8, (0xE0 | c >> 12) << 16, (0xF0 | c >> 18) << 24
+    return np.select([c < 0x80, c < 0x800, c < 0x10000], [c, two | tail[0], three | tail[1] | tail[0]], four | tail[2] | tail[1] | tail[0]).astype(np.uint32)
+
+
+def unpacked(symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of packed letters, and the offsets of the texts in them."""
+    sizes = 1 + (symbols > 0xFF) + (symbols > 0xFFFF).astype(np.int64) + (symbols > 0xFFFFFF)
+    places = np.r_[0, np.cumsum(sizes)]
+    grid = symbols.astype(">u4").view(np.uint8).reshape(-1, 4)
+    return grid[np.arange(4) >= 4 - sizes[:, None]], places[offsets]
+
+
 def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ends = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=ends[1:])
@@ -119,7 +137,7 @@ def transitions(moves: list[dict[int, int]], size: int) -> np.ndarray:
 
 
 class Model:
-    """Tables of all languages over one alphabet."""
+    """Tables of all languages, each over its own bytes."""
 
     def __init__(self, samples: dict[str, list[str]]):
         texts = {}
@@ -130,35 +148,37 @@ class Model:
             if (found != 0).any():
                 texts[name] = found[:SAMPLE_SYMBOLS]
         self.names = list(texts)
-        every, n = np.unique(np.concatenate([*texts.values(), np.zeros(0, np.uint32)]), return_counts=True)
-        most = [c for _, c in sorted(zip(-n[every != 0], every[every != 0].tolist()))][:ALPHABET]
-        self.alphabet = {c: i for i, c in enumerate(most, 2)}
-        self.size = len(most) + 2
-        symbols = self.symbols()
-        self.tables = [transitions(suffix_automaton(symbols[t].tolist()), self.size) for t in texts.values()]
-        self.bits = np.array([np.log2(max(2, len(t))) for t in texts.values()])
+        self.codes, self.tables, sizes = [], [], []
+        for found in texts.values():
+            data, _ = unpacked(self.symbols()[found], np.array([0, len(found)]))
+            own = np.unique(data)
+            codes = np.full(256, len(own), np.uint8)  # a byte that the language does not have
+            codes[own] = np.arange(len(own))
+            codes[END] = len(own) + 1
+            self.codes.append(codes)
+            self.tables.append(transitions(suffix_automaton(codes[data].tolist()), len(own) + 1))
+            sizes.append(len(data))
+        self.bits = np.array([np.log2(max(2, n)) for n in sizes])
 
     def symbols(self) -> np.ndarray:
-        """From lower-case letter (0: gap) to symbol."""
-        found = np.full(0x110000, RARE, np.uint8)
-        found[0] = GAP
-        found[list(self.alphabet)] = list(self.alphabet.values())
-        return found
+        """From lower-case letter (0: gap) to its packed bytes."""
+        return _packed()
 
     def phrases(self, text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases of each text (rows) under each language (columns)."""
+        text, offsets = unpacked(text, offsets)
         sizes = np.diff(offsets)
         chunks = -(-sizes // CHUNK)
         first = np.r_[0, np.cumsum(chunks)]
-        grid = np.full((int(first[-1]), CHUNK), self.size, np.uint8)
+        grid = np.full((int(first[-1]), CHUNK), END, np.uint8)
         place = np.arange(len(text)) + np.repeat(first[:-1] * CHUNK - offsets[:-1], sizes)
         grid.ravel()[place] = text
         steps = np.ascontiguousarray(grid.T)
         out = np.zeros((len(sizes), len(self.tables)), np.int64)
-        for k, moves in enumerate(self.tables):
+        for k, (codes, moves) in enumerate(zip(self.codes, self.tables)):
             at = np.zeros(grid.shape[0], np.int32)
             ended = np.zeros(grid.shape[0], np.int32)
-            for step in steps:
+            for step in codes[steps]:
                 at = moves[(at >> 2) + step]
                 ended += at & 3
             sums = np.r_[0, np.cumsum(ended, dtype=np.int64)]

@@ -47,3 +47,20 @@ def test_odd_rows(spark):
     assert langid.sample(df.limit(0), "text", "lang") == {}
     assert {r.lang_pred for r in langid.predict(df, langid.Model({})).collect()} == {"und"}
     assert langid.predict(df.limit(0), model).count() == 0
+
+
+def test_scripts_of_many_letters(spark):
+    """Each language has letters of its own and, with one other, letters in common; most are none of the 100 most frequent ones."""
+    rng = np.random.default_rng(7)
+    span = lambda a, b: [chr(c) for c in range(a, b)]
+    own = {"en": span(97, 123), "ru": span(0x430, 0x450), "zh": span(0x4E00, 0x5200), "ja": span(0x5100, 0x5500), "ko": span(0xAC00, 0xB000), "xx": span(0x20000, 0x20400)}
+    words = {k: ["".join(rng.choice(v, rng.integers(2, 5))) for _ in range(150)] for k, v in own.items()}
+    text = lambda k, n: " ".join(rng.choice(words[k], n))
+    model = langid.Model({k: [text(k, 600)] for k in own})
+    assert len({c for k in own for w in words[k] for c in w}) > 1000
+    df = spark.createDataFrame([(k, text(k, 12)) for k in own for _ in range(20)], "lang string, text string")
+    assert [(r.lang, r.lang_pred) for r in langid.predict(df, model).collect() if r.lang != r.lang_pred] == []
+    data = np.frombuffer("aß 日𠀀".encode(), np.uint8)
+    found, places = langid.letters(data, np.array([0, 3, len(data)]))
+    got, at = langid.unpacked(model.symbols()[found], places)
+    assert bytes(got) == "aß\0日𠀀".encode() and at.tolist() == [0, 3, len(got)]
