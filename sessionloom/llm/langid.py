@@ -11,8 +11,8 @@ Whole texts are parsed: chunks of ``CHUNK`` bytes of all texts of a batch step t
 length only.
 
 Letters count in lower case, every run of other characters as one gap. The prediction is ``und`` with score 0 for null texts, texts without
-letters, or if nothing was learned. Text and labels are the only inputs. A null id is not held out. Repeated rows give repeated results, an
-empty table gives an empty one. Other columns are ignored.
+letters, or if nothing was learned. Text and labels are the only inputs. A null id is not held out. Repeated rows give repeated results and are
+learned from once, an empty table gives an empty one. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionloom.llm.common import by_slice, extend, table
+from sessionloom.llm.common import by_slice, digest, extend, table
 
 SAMPLE_ROWS = 100
 SAMPLE_SYMBOLS = 50_000
@@ -187,17 +187,19 @@ class Model:
 
 
 def sample(labelled: DataFrame, text: str, lang: str, rows: int = SAMPLE_ROWS) -> dict[str, list[str]]:
-    """At most ``rows`` texts of each language, by the hash of the text; no more than the learned symbols are fetched of one."""
+    """At most ``rows`` different texts of each language, by the hash of the text; no more than the learned symbols are fetched of one."""
     labelled = labelled.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
+    labelled = labelled.withColumns({"digest": digest("text"), "h": F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / (1 << 20)})
+    different = labelled.select("lang", "digest").distinct()
+    counts = {r.lang: r.n for r in different.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * rows / n))])
-    hashed = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / (1 << 20)
-    near = labelled.withColumn("h", hashed).where(F.col("h") < share[F.col("lang")])
-    best = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= rows)
+    near = labelled.where(F.col("h") < share[F.col("lang")]).select("lang", "digest", "h", F.substring("text", 1, SAMPLE_SYMBOLS).alias("text"))
+    near = near.groupBy("lang", "h", "digest").agg(F.collect_set("text")[0].alias("text"))  # copies are one before they are shuffled
+    best = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "digest"))).where(F.col("k") <= rows)
     found: dict[str, list[str]] = {}
-    for r in best.select("lang", F.substring("text", 1, SAMPLE_SYMBOLS).alias("text"), "k").orderBy("lang", "k").collect():
+    for r in best.select("lang", "text", "k").orderBy("lang", "k").collect():
         found.setdefault(r.lang, []).append(r.text)
     return found
 

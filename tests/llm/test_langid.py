@@ -64,3 +64,10 @@ def test_scripts_of_many_letters(spark):
     found, places = langid.letters(data, np.array([0, 3, len(data)]))
     got, at = langid.unpacked(model.symbols()[found], places)
     assert bytes(got) == "aß\0日𠀀".encode() and at.tolist() == [0, 3, len(got)]
+
+
+def test_copies_are_sampled_once(spark):
+    rows = [("hot text", "en")] * 3000 + [("text %s" % ("abcdefghij"[i % 10] * (i // 10 + 1)), "en") for i in range(60)] + [("hot text", "de")] * 3
+    got = langid.sample(spark.createDataFrame(rows, "text string, lang string"), "text", "lang")
+    assert sorted(got["en"]) == sorted({t for t, k in rows if k == "en"}) and got["de"] == ["hot text"]
+    assert len(set(langid.sample(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", rows=20)["en"])) == 20
