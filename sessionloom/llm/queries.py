@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import classifier, decontaminate, langid, neardup, packing, quality, secrets, substrings, suffixes, warc
+from sessionloom.llm import classifier, decontaminate, importance, langid, neardup, packing, quality, secrets, substrings, suffixes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": langid.op1_language_id,
@@ -19,9 +19,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_quality_classifier": classifier.op9_quality_classifier,
     "op10_curve_packing": packing.op10_curve_packing,
+    "op11_importance_resampling": importance.op11_importance_resampling,
 }
 ORACLES: dict[str, str] = {
     "op3_suffix_dedup": suffixes.OP3_SQL,
     "op4_substring_dedup": substrings.OP4_SQL,
     "op7_warc_archive": warc.OP7_SQL,
+    "op11_importance_resampling": importance.OP11_SQL,
 }
