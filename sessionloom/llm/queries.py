@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import classifier, decontaminate, golay, importance, langid, neardup, packing, quality, secrets, substrings, suffixes, warc
+from sessionloom.llm import classifier, decontaminate, golay, importance, langid, neardup, packing, quality, rtree, secrets, substrings, suffixes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": langid.op1_language_id,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": classifier.op9_quality_classifier,
     "op10_curve_packing": packing.op10_curve_packing,
     "op11_importance_resampling": importance.op11_importance_resampling,
+    "op12_hard_negatives": rtree.op12_hard_negatives,
     "op13_golay_near_duplicates": golay.op13_golay_near_duplicates,
 }
 ORACLES: dict[str, str] = {
@@ -27,4 +28,5 @@ ORACLES: dict[str, str] = {
     "op4_substring_dedup": substrings.OP4_SQL,
     "op7_warc_archive": warc.OP7_SQL,
     "op11_importance_resampling": importance.OP11_SQL,
+    "op12_hard_negatives": rtree.OP12_SQL,
 }
