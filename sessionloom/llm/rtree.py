@@ -127,7 +127,7 @@ def _search(tree: Tree, at: int, bounds, anchor: np.ndarray, wanted: np.ndarray,
         live = [w for w in open_ if high >= least[w] and low <= windows[w][1]]
         if not live:
             if high < min(least[w] for w in open_):
-                return  # all that is left promises less
+                break  # all that is left promises less
             continue
         if level:
             children = range(node * FANOUT, min((node + 1) * FANOUT, len(tree.levels[level - 1][0])))
