@@ -119,6 +119,17 @@ def _opened_session(v: Column) -> Column:
     )
 
 
+def opened_session(line: Column) -> Column:
+    """The session a line opens; only a line that contains the type's name is parsed."""
+    return F.when(F.contains(line.cast("string"), F.lit("session_meta")), _opened_session(vr.parse(line.cast("string"))))
+
+
+def _first_line_project() -> Column:
+    """The working directory named by a file's first line."""
+    v = F.when((F.col("start_offset") == 0) & F.contains("line", F.lit("session_meta")), vr.parse_strict(F.col("line")))
+    return F.when(vr.string_at(v, ".type") == "session_meta", F.coalesce(vr.string_at(v, ".payload.cwd"), vr.string_at(v, ".cwd")))
+
+
 def normalize_codex(raw: DataFrame, offsets: DataFrame | None = None) -> DataFrame:
     """``event_msg`` records take the session of the latest ``session_meta`` before them in the file.
 
@@ -149,13 +160,13 @@ def normalize_codex(raw: DataFrame, offsets: DataFrame | None = None) -> DataFra
         ),
         calls=F.when(old & F.startswith(vr.type_of(calls), F.lit("ARRAY")), vr.as_array(calls)),
         event_seq=F.when(vr.well_formed(v) & (kind == "event_msg"), vr.long_at(v, ".seq")),
+        project_dir=_first_line_project() if "start_offset" in raw.columns else F.lit(None).cast("string"),
     )
     if "context_session_id" in raw.columns:
         rows = parsed
     else:
         # Only a line that contains the type's name can open a session; the others need no parsing for the summary.
-        opened = F.when(F.contains("line", F.lit("session_meta")), _opened_session(vr.parse(F.col("line"))))
-        marks = raw.select("source_path", "end_offset", opened.alias("value"))
+        marks = raw.select("source_path", "end_offset", opened_session(F.col("line")).alias("value"))
         rows = carry_forward(
             parsed, "source_path", "end_offset", F.col("meta_session"), "context_session_id", marks=marks
         )
@@ -180,7 +191,7 @@ def normalize_codex(raw: DataFrame, offsets: DataFrame | None = None) -> DataFra
         .withColumn("tool_calls_json", F.when(F.size("calls") > 0, F.to_json("calls")))
         .withColumn("files_touched_json", _paths_json(F.col("calls")))
     )
-    return finish(rows)
+    return finish(rows, keep_when_skipped=("project_dir",))
 
 
 def normalize_codex_history(raw: DataFrame) -> DataFrame:

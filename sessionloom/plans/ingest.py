@@ -14,7 +14,7 @@ from sessionloom.operators import digest, distill, incremental, kv, normalize, p
 from sessionloom.operators.hooks import resolve_project
 from sessionloom.operators.sizes import broadcast_if_small
 from sessionloom.session import configure
-from sessionloom.sources import jsonl
+from sessionloom.sources import jsonl, tail
 from sessionloom.sources.tables import Warehouse
 
 NO_PROJECT = "unknown"
@@ -32,11 +32,20 @@ def ingest_path(
     source_kind: str | None = None,
     **options: str,
 ) -> None:
-    """Read what is new below ``path``; files that did not grow are not opened.
+    """Read what is new below ``path``. Only the bytes past a file's offset are read, where tasks can open files of its store themselves; elsewhere
+    Spark reads the files that grew.
 
     ``full_refresh`` (I8) ignores the offsets; stored positions still keep it idempotent.
     """
     spark = configure(warehouse.spark)
+    first = path if isinstance(path, str) else path[0]
+    if tail.reachable(tail.qualified(spark, first)) and not options:
+        known = None if full_refresh else incremental.current_offsets(warehouse.offset_log().filter(F.col("tool") == tool))
+        kind = source_kind or tool
+        opened = normalize.opened_session(F.col("line")) if kind == "codex" else None
+        raw = tail.read_new(spark, tool, path, known, glob, strict=mode == "FAILFAST" and tool == "codex", opened=opened)
+        ingest_raw(warehouse, raw, tool, batch_id, full_refresh=full_refresh, mode=mode, source_kind=source_kind)
+        return
     lines = None
     if not full_refresh:
         known = incremental.current_offsets(warehouse.offset_log().filter(F.col("tool") == tool))
@@ -57,20 +66,30 @@ def ingest_lines(
     mode: str = "PERMISSIVE",
     source_kind: str | None = None,
 ) -> None:
-    """``source_kind`` names the normaliser where it differs from the tool (the prompt history of a tool)."""
+    """Whole files as Spark reads them. ``source_kind`` names the normaliser where it differs from the tool (the prompt history of a tool)."""
     known = warehouse.offset_log().filter(F.col("tool") == tool)
     offsets = broadcast_if_small(incremental.current_offsets(known))
     # An unterminated tail fails a strict read of the tools that write whole records only.
-    kind = source_kind or tool
-    context = jsonl.SESSION_CONTEXT if kind == "codex" else None
+    context = jsonl.SESSION_CONTEXT if (source_kind or tool) == "codex" else None
     raw = jsonl.scan_jsonl(lines, tool, mode if tool == "codex" else "PERMISSIVE", context)
     if not full_refresh:
         raw = incremental.read_since(raw, offsets)
-    normalized = normalize.NORMALIZERS[kind](raw)
-    projects = normalize.file_projects(raw) if kind == "codex" else None
+    ingest_raw(warehouse, raw, tool, batch_id, full_refresh=full_refresh, mode=mode, source_kind=source_kind)
+
+
+def ingest_raw(
+    warehouse: Warehouse, raw: DataFrame, tool: str, batch_id: int, *, full_refresh: bool = False, mode: str = "PERMISSIVE", source_kind: str | None = None
+) -> None:
+    """Records that are new. Those of codex take the session their file had open; without it in ``raw`` it is carried forward here, from the offsets on."""
+    kind = source_kind or tool
+    if kind == "codex" and "context_session_id" not in raw.columns:
+        known = incremental.current_offsets(warehouse.offset_log().filter(F.col("tool") == tool))
+        normalized = normalize.normalize_codex(raw, broadcast_if_small(known))
+    else:
+        normalized = normalize.NORMALIZERS[kind](raw)
     if mode == "FAILFAST":
         normalized = normalize.fail_on_reject(normalized)
-    store_batch(warehouse, normalized, tool, batch_id, projects, full_refresh)
+    store_batch(warehouse, normalized, tool, batch_id, full_refresh)
     digest_batch(warehouse, tool, batch_id)
 
 
@@ -87,7 +106,6 @@ def store_batch(
     normalized: DataFrame,
     tool: str,
     batch_id: int,
-    projects: DataFrame | None = None,
     full_refresh: bool = False,
 ) -> None:
     """Records first, offsets after them.
@@ -104,10 +122,7 @@ def store_batch(
         normalized = incremental.not_yet_stored(normalized, stored.filter(F.col("batch_id") >= unfinished))
     warehouse.append_records(normalized, batch_id)
     batch = warehouse.records().filter((F.col("tool") == tool) & (F.col("batch_id") == batch_id))
-    advanced = incremental.advance_offsets(batch)
-    if projects is not None:
-        advanced = advanced.drop("project_dir").join(projects, "source_path", "left")
-    warehouse.append_offsets(advanced, batch_id)
+    warehouse.append_offsets(incremental.advance_offsets(batch), batch_id)
     warehouse.end_batch(tool, batch_id)
 
 

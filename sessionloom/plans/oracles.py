@@ -245,8 +245,7 @@ for name, key, gap in (("idle_session_stats", "event_type", 300), ("idle_session
     ORACLES[name] = f"""WITH {_idle(key, gap)}
 SELECT {key}, session_no, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n_events FROM s GROUP BY ALL"""
 ORACLES["idle_session_live"] = f"""WITH {_idle('event_type', 300)}
-SELECT event_type, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n_events FROM s GROUP BY event_type, session_no
-HAVING epoch_us(max(ts)) + 299999999 <= (SELECT epoch_ms(max(ts)) FROM events) * 1000 - 600000000"""
+SELECT event_type, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n_events FROM s GROUP BY event_type, session_no"""
 ORACLES["carry_forward_session"] = """
 WITH c AS (SELECT event_id, user_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS)
                   OVER (PARTITION BY user_id ORDER BY event_id) AS context_id FROM events)
@@ -277,6 +276,13 @@ WITH l AS (SELECT conv_id % 8 AS source, conv_id, turn,
 e AS (SELECT *, CAST(sum(n) OVER (PARTITION BY source ORDER BY conv_id, turn) AS BIGINT) AS end_offset FROM l)
 SELECT source, conv_id, turn, end_offset - n AS start_offset, end_offset FROM e"""
 
+for name in ("tail_batch", "tail_stream"):
+    ORACLES[name] = """
+WITH l AS (SELECT conv_id % 64 AS source, conv_id, turn, turn % 2 AS half,
+                  strlen(conv_id || '|' || turn || '|' || role || '|' || replace(text, chr(10), ' ')) + 1 AS n FROM conversations),
+e AS (SELECT *, CAST(sum(n) OVER (PARTITION BY source ORDER BY half, conv_id, turn) AS BIGINT) AS end_offset FROM l)
+SELECT source, conv_id, turn, end_offset - n AS start_offset, end_offset, CAST(half + 1 AS INTEGER) AS piece FROM e"""
+
 # -- normalisation --------------------------------------------------------------------------------------------------------------
 _SORTED = """CASE WHEN role = 'assistant' AND content LIKE '[{"type":"text"%' THEN
   '[{"text":"Planned step ' || turn || '. Is it done?","type":"text"},{"input":{"path":"src/f' || (conv % 9) || '.rs"},"name":"write_file","type":"tool_use"}]'

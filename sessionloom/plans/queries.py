@@ -14,8 +14,8 @@ from sessionloom.functions import variant as vr
 from sessionloom.operators import activity, digest, distill, hooks, incremental, kv, normalize, progress, reads, redaction, versions, windows
 from sessionloom.plans import ingest, views
 from sessionloom.session import configure, shared_dir
-from sessionloom.sources import jsonl
-from sessionloom.streaming import sessions
+from sessionloom.sources import jsonl, tail
+from sessionloom.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -249,20 +249,19 @@ def idle_session_stats_by_user(spark, sf):
 
 @query
 def idle_session_live(spark, sf):
-    """T4 as a stream over the events: the sessions that the watermark has closed when the input ends."""
+    """T4 as a stream over the events in three deliveries, every fiftieth event one delivery late: all sessions, open ones and late events included."""
     folder = _scratch(spark, "idle_session_live")
-    schema = views.table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    job = (
-        sessions.idle_session_stream(stream, "event_type", "ts")
-        .writeStream.format("parquet")
-        .option("path", f"{folder}/out")
-        .option("checkpointLocation", f"{folder}/state")
-        .trigger(availableNow=True)
-        .start()
-    )
-    job.awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    events = views.table(spark, sf, "events")
+    day = F.pmod(F.datediff("ts", F.lit("1970-01-01")), F.lit(90))
+    first, last = (events.agg(f(day)).scalar() for f in (F.min, F.max))
+    part = F.least(F.floor(3 * (day - first) / (last - first + 1)), F.lit(2)).cast("int")
+    dealt = events.withColumn("delivery", F.when(F.col("event_id") % 50 == 0, F.least(part + 1, F.lit(2))).otherwise(part))
+    own = live.stateful_session(spark)
+    for delivery in range(3):
+        dealt.where(F.col("delivery") == delivery).drop("delivery").write.mode("append").parquet(f"{folder}/in")
+        stream = own.readStream.schema(events.schema).parquet(f"{folder}/in")
+        live.start_idle_sessions(live.session_updates(stream, "event_type", "ts"), folder, available_now=True).awaitTermination()
+    return live.all_sessions(spark.read.parquet(f"{folder}/updates"), "event_type")
 
 
 @query
@@ -368,6 +367,43 @@ def scan_offsets(spark, sf):
     )
 
 
+def _tail_rows(found: DataFrame) -> DataFrame:
+    parts = F.split("line", "\\|")
+    return found.select(
+        F.regexp_extract("source_path", "source=(\\d+)", 1).cast("bigint").alias("source"), F.get(parts, 0).cast("bigint").alias("conv_id"),
+        F.get(parts, 1).cast("bigint").alias("turn"), "start_offset", "end_offset", "piece",
+    )
+
+
+@query
+def tail_batch(spark, sf):
+    """Files that grow by a second piece; the second read starts at the offsets of the first."""
+    folder, lines = _scratch(spark, "tail_batch"), views.growing_lines(spark, sf)
+    at, known = tail.qualified(spark, f"{folder}/in"), None
+    for piece in (1, 2):
+        views.write_piece(lines, at, piece)
+        tail.read_new(spark, "claude", at, known, "*.txt").write.parquet(f"{folder}/out/piece={piece}")
+        stored = spark.read.parquet(f"{folder}/out")
+        known = stored.groupBy("source_path").agg(F.max("end_offset").alias("byte_offset"))
+    return _tail_rows(stored)
+
+
+@query
+def tail_stream(spark, sf):
+    """The same growth seen by a stream, one trigger after each piece; its checkpoint holds the offsets."""
+    folder, lines = _scratch(spark, "tail_stream"), views.growing_lines(spark, sf)
+    at = tail.qualified(spark, f"{folder}/in")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        tail.as_raw(batch, "claude").write.mode("overwrite").parquet(f"{folder}/out/piece={batch_id + 1}")
+
+    for piece in (1, 2):
+        views.write_piece(lines, at, piece)
+        writer = tail.tail_stream(spark, at, "*.txt").writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return _tail_rows(spark.read.parquet(f"{folder}/out"))
+
+
 @query
 def ingest_digests(spark, sf):
     """End to end: records written as JSON lines, ingested into a new warehouse, the stored digests read back."""

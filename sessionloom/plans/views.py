@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -339,3 +344,50 @@ def legacy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = F.array(document("aiService.generations", generations), document("aiService.prompts", prompts))
     composer = kv_documents(spark, sf_dir).filter("key = 'composer.composerData'")
     return grouped.select(F.explode(docs).alias("d")).select("d.workspace_id", "d.key", "d.value").unionByName(composer)
+
+
+# -- growing files --------------------------------------------------------------------------------------------------------------
+GROWING_SOURCES = 64
+
+
+def growing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as lines of files that are written in two pieces: even turns, then odd ones."""
+    line = F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role", F.replace("text", F.lit("\n"), F.lit(" ")))
+    return table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") % GROWING_SOURCES).alias("source"), (F.col("turn") % 2).alias("half"), "conv_id", "turn", line.alias("line")
+    )
+
+
+def write_piece(lines: DataFrame, folder: str, piece: int) -> None:
+    """Write the files as they are after a piece: the first ends inside the line that the second completes. A file is replaced as a whole, so a
+    repeated task writes the same; what it held before is how the new one begins."""
+    order = ["source", "half", "conv_id", "turn"]
+    whole = lines.withColumn("data", F.concat("line", F.lit("\n")))
+    if piece == 1:
+        later = lines.where("half = 1").groupBy("source").agg(F.min_by(F.struct("half", "conv_id", "turn", "line"), F.struct("conv_id", "turn")).alias("r"))
+        cut = later.select("source", "r.half", "r.conv_id", "r.turn", "r.line", F.substring("r.line", 1, 7).alias("data"))
+        whole = whole.where("half = 0").unionByName(cut)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
+        source, temporary, out, written = None, None, None, 0
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                system.move(temporary, f"{root}/source={source}.txt")
+
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if k != source:
+                    close()
+                    source, temporary = k, f"{root}/.{k}-{uuid.uuid4().hex}"
+                    out = system.open_output_stream(temporary)
+                out.write(data.encode())
+                written += 1
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], names=["lines"])
+
+    ordered = whole.repartition("source").sortWithinPartitions(*order).select("source", "data")
+    ordered.mapInArrow(run, "lines bigint").write.format("noop").mode("overwrite").save()

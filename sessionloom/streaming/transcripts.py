@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sessionloom.plans import ingest
 from sessionloom.session import configure
-from sessionloom.sources import jsonl
+from sessionloom.sources import jsonl, tail
 from sessionloom.sources.tables import Warehouse
 
 
@@ -39,6 +39,20 @@ def start_ingest(
     return writer.start()
 
 
+def start_tail_ingest(
+    warehouse: Warehouse, tool: str, path: str, checkpoint: str, *, glob: str = "*.jsonl", available_now: bool = False, interval: str = "30 seconds"
+) -> StreamingQuery:
+    """T1 for files that grow in place: every trigger reads the bytes that were appended since the last one, and nothing else."""
+
+    def one_batch(batch: DataFrame, batch_id: int) -> None:
+        scoped = Warehouse(configure(batch.sparkSession), warehouse.root)
+        ingest.ingest_raw(scoped, tail.as_raw(batch, tool), tool, batch_id)
+
+    writer = tail.tail_stream(warehouse.spark, path, glob).writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
+    return writer.start()
+
+
 def ingest_on_signals(
     warehouse: Warehouse, signals: DataFrame, roots: dict[str, str], checkpoint: str, *, available_now: bool = False
 ) -> StreamingQuery:
@@ -54,9 +68,9 @@ def ingest_on_signals(
         rescan = not batch.filter("rescan").isEmpty()
         # At most one row per configured tool comes to the driver.
         named = {r["tool"] for r in batch.filter(F.col("tool").isin(order)).select("tool").distinct().collect()}
-        for i, tool in enumerate(order):
+        for tool in order:
             if rescan or tool in named:
-                ingest.ingest_path(scoped, tool, roots[tool], batch_id * len(order) + i, full_refresh=rescan)
+                ingest.ingest_path(scoped, tool, roots[tool], batch_id, full_refresh=rescan)
 
     writer = signals.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")
