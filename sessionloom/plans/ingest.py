@@ -215,15 +215,19 @@ def ingest_kv(warehouse: Warehouse, documents: DataFrame, batch_id: int) -> None
 
 
 def _legacy_rows(documents: DataFrame, stored: DataFrame) -> DataFrame:
-    """Turns of stores without composer headers that sort after the last stored id of their store and key.
+    """Turns of stores without composer headers whose record ids are not stored yet for their store and key.
 
-    A message's id is its record id, and its hash the position, so that a repeated batch adds nothing.
+    Ids do not sort in the order they are given (``m:10`` comes before ``m:9``), and a key holds the messages of many composers, so no single id can
+    tell what was read; a document is always given whole, and stored ids are looked at for the sources of this batch only. A message without an id of
+    its own is known by its content.
     """
     current = documents.filter(F.col("key") == kv.HEADERS_KEY).select("store").distinct()
     turns = kv.legacy_turns(documents.join(current, "store", "left_anti"))
-    rows = turns.withColumn("source_path", F.concat_ws("/", "store", F.lit("legacy"), "source_key"))
-    marks = stored.filter(F.contains("source_path", F.lit("/legacy/"))).groupBy("source_path").agg(F.max("record_uuid").alias("last_msg_id"))
-    fresh = incremental.after_last_id(rows, marks, "source_path")
+    named = F.when(F.startswith("msg_id", F.lit(":")), F.concat("msg_id", F.lit("#"), F.md5("content"))).otherwise(F.col("msg_id"))
+    rows = turns.withColumns({"source_path": F.concat_ws("/", "store", F.lit("legacy"), "source_key"), "msg_id": named})
+    sources = broadcast_if_small(rows.select("source_path").distinct())  # a row per store and key
+    known = stored.filter(F.contains("source_path", F.lit("/legacy/"))).join(sources, "source_path", "left_semi")
+    fresh = rows.join(known.select("source_path", F.col("record_uuid").alias("msg_id")), ["source_path", "msg_id"], "left_anti")
     return fresh.select(
         "tool", "source_path", F.xxhash64("msg_id").alias("end_offset"), "session_id", "ts_ms", "role", "content",
         F.col("msg_id").alias("record_uuid"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("reason"),

@@ -251,6 +251,18 @@ WITH c AS (SELECT event_id, user_id, last_value(CASE WHEN event_type = 'signup'
                   OVER (PARTITION BY user_id ORDER BY event_id) AS context_id FROM events)
 SELECT * FROM c WHERE context_id IS NOT NULL"""
 
+ORACLES["parent_chains"] = """
+WITH RECURSIVE n AS (
+  SELECT DISTINCT conv_id, conv_id || '/' || turn AS id,
+         CASE WHEN conv_id % 7 = 3 AND turn = 5 THEN 'gone' WHEN conv_id % 11 = 4 AND turn = 2 THEN conv_id || '/4' WHEN turn > 0 THEN conv_id || '/' || (turn - 1) END AS parent
+  FROM conversations),
+r AS (
+  SELECT n.conv_id, n.id, n.id AS root, CAST(0 AS BIGINT) AS depth, CASE WHEN n.parent IS NULL THEN 'rooted' ELSE 'orphaned' END AS kind
+  FROM n LEFT JOIN n p ON p.conv_id = n.conv_id AND p.id = n.parent WHERE p.id IS NULL
+  UNION ALL
+  SELECT n.conv_id, n.id, r.root, r.depth + 1, r.kind FROM n JOIN r ON n.conv_id = r.conv_id AND n.parent = r.id)
+SELECT conv_id, id, root, depth, coalesce(kind, 'cyclic') AS kind FROM n LEFT JOIN r USING (conv_id, id)"""
+
 # -- incremental reads ----------------------------------------------------------------------------------------------------------
 _OFFSETS = """
 o AS (SELECT user_id, CAST((min(event_id) + max(event_id)) // 2 AS BIGINT) AS byte_offset, CAST(5 AS BIGINT) AS last_event_seq,
@@ -372,6 +384,7 @@ g AS (
   UNION ALL SELECT sid, CASE WHEN turn % 4 <> 3 THEN ms ELSE 0 END, role, text,
                    'c' || conv_id || ':msg:' || idx, 'composer.composerData' FROM d)"""
 ORACLES["legacy_messages"] = f"WITH {_LEGACY} SELECT * FROM g"
+ORACLES["ingest_kv_growing"] = ORACLES["legacy_messages"]
 ORACLES["legacy_watermark"] = f"""WITH {_LEGACY},
 l AS (SELECT source_key, max(msg_id) AS last_msg_id FROM g WHERE msg_id NOT LIKE '%9%' GROUP BY source_key)
 SELECT msg_id, source_key FROM g LEFT JOIN l USING (source_key) WHERE msg_id > coalesce(last_msg_id, '')"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sessionloom.functions import redact as rd
 from sessionloom.functions import text as tx
 from sessionloom.functions import variant as vr
-from sessionloom.operators import activity, digest, distill, hooks, incremental, kv, normalize, progress, reads, redaction, versions, windows
+from sessionloom.operators import activity, digest, distill, hooks, incremental, kv, normalize, progress, reads, redaction, threads, versions, windows
 from sessionloom.plans import ingest, views
 from sessionloom.session import configure, shared_dir
 from sessionloom.sources import jsonl, tail
@@ -273,6 +273,16 @@ def carry_forward_session(spark, sf):
     return rows.filter("context_id is not null").select("event_id", "user_id", "context_id")
 
 
+@query
+def parent_chains(spark, sf):
+    """Every turn's parent is the turn before it; some parents are missing and some point ahead."""
+    c, t = F.col("conv_id"), F.col("turn")
+    name = lambda turn: F.concat(c.cast("string"), F.lit("/"), turn.cast("string"))
+    parent = F.when((c % 7 == 3) & (t == 5), "gone").when((c % 11 == 4) & (t == 2), name(F.lit(4))).when(t > 0, name(t - 1))
+    rows = views.table(spark, sf, "conversations").select("conv_id", name(t).alias("id"), parent.alias("parent"))
+    return threads.parent_chains(rows, "conv_id", "id", "parent")
+
+
 # -- incremental reads ----------------------------------------------------------------------------------------------------------
 def _event_raw(spark, sf) -> DataFrame:
     """``events`` as records of one source per user, the event id being the offset."""
@@ -549,6 +559,16 @@ def legacy_watermark(spark, sf):
     return incremental.after_last_id(turns, incremental.last_ids(first))
 
 
+@query
+def ingest_kv_growing(spark, sf):
+    """Documents of the older layout read twice, conversations having six turns at most the first time."""
+    warehouse = ingest.open_warehouse(spark, _scratch(spark, "ingest_kv_growing"))
+    for batch, turns in enumerate((6, None)):
+        ingest.ingest_kv(warehouse, views.legacy_documents(spark, sf, turns), batch)
+    key = F.substring_index("source_path", "/", -1).alias("source_key")
+    return warehouse.ledger().select("session_id", "ts_ms", "role", "content", F.col("record_uuid").alias("msg_id"), key)
+
+
 @query
 def safe_ids(spark, sf):
     ids = views.table(spark, sf, "events").select(

@@ -236,13 +236,14 @@ def flat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def kv_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def kv_documents(spark: SparkSession, sf_dir: str, turns: int | None = None) -> DataFrame:
     """Key-value documents, one workspace per conversation.
 
     Prompts are the user turns; there is one generation fewer than prompts; every third workspace has a second, later composer;
-    every seventh workspace id is unsafe.
+    every seventh workspace id is unsafe. ``turns``: as the documents were when conversations had no more turns than that.
     """
     conv = table(spark, sf_dir, "conversations")
+    conv = conv if turns is None else conv.where(F.col("turn") < turns)
     grouped = (
         conv.groupBy("conv_id")
         .agg(
@@ -307,9 +308,10 @@ def kv_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select(F.explode(docs).alias("d")).select("d.workspace_id", "d.key", "d.value")
 
 
-def legacy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def legacy_documents(spark: SparkSession, sf_dir: str, turns: int | None = None) -> DataFrame:
     """Older document shapes: a generation pairs a user turn with the turn after it; prompts of odd turns lack an id."""
     conv = table(spark, sf_dir, "conversations")
+    conv = conv if turns is None else conv.where(F.col("turn") < turns)
     grouped = conv.groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("said")
     )
@@ -342,7 +344,7 @@ def legacy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     document = lambda key, value: F.struct(F.lit(None).cast("string").alias("workspace_id"), F.lit(key).alias("key"), value.alias("value"))
     docs = F.array(document("aiService.generations", generations), document("aiService.prompts", prompts))
-    composer = kv_documents(spark, sf_dir).filter("key = 'composer.composerData'")
+    composer = kv_documents(spark, sf_dir, turns).filter("key = 'composer.composerData'")
     return grouped.select(F.explode(docs).alias("d")).select("d.workspace_id", "d.key", "d.value").unionByName(composer)
 
 

@@ -133,3 +133,24 @@ def test_stores_without_headers_are_read_in_the_older_layout(spark, tmp_path):
     ingest.ingest_kv(wh, spark.createDataFrame(more, schema), 2)
     assert wh.ledger().count() == 6
     assert [r["next_action"] for r in wh.digests().collect()] == ["did 3"]
+
+
+def test_growing_composer_loses_no_message(spark, tmp_path):
+    """``m:10`` sorts before ``m:9``: ten messages, then thirteen, then one of another composer that sorts first."""
+    import json
+
+    from sessionloom.plans import ingest
+
+    def documents(counts):
+        composers = [
+            {"composerId": c, "sessionId": f"s-{c}", "messages": [{"role": "user", "content": f"{c} {i}", "ts": 1000 + i} for i in range(n)]} for c, n in counts.items()
+        ]
+        generations = [{"sessionId": "g", "userMessage": f"no id {i}", "assistantMessage": f"re {i}", "requestTs": i, "responseTs": i} for i in range(sum(counts.values()) % 4 + 1)]
+        rows = [(None, "composer.composerData", json.dumps({"composers": composers})), (None, "aiService.generations", json.dumps(generations))]
+        return spark.createDataFrame(rows, "workspace_id string, key string, value string")
+
+    wh = ingest.open_warehouse(spark, f"{tmp_path}/wh")
+    for batch, counts in enumerate(({"b": 10}, {"b": 13}, {"b": 13}, {"b": 13, "a": 2})):
+        ingest.ingest_kv(wh, documents(counts), batch)
+    said = sorted(r.content for r in wh.ledger().collect())
+    assert said == sorted([f"b {i}" for i in range(13)] + [f"a {i}" for i in range(2)] + [f"no id {i}" for i in range(4)] + [f"re {i}" for i in range(4)])
