@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.operators import digest, distill, incremental, kv, normalize, progress
+from sessionloom.operators import activity, digest, distill, incremental, kv, normalize, progress, project
 from sessionloom.operators.hooks import resolve_project
 from sessionloom.operators.sizes import broadcast_if_small
 from sessionloom.session import configure
-from sessionloom.sources import jsonl, tail
+from sessionloom.sources import documents, jsonl, tail
 from sessionloom.sources.tables import Warehouse
 
 NO_PROJECT = "unknown"
@@ -93,8 +93,11 @@ def ingest_raw(
     digest_batch(warehouse, tool, batch_id)
 
 
-def digest_batch(warehouse: Warehouse, tool: str, batch_id: int) -> None:
-    """Digests and logs of a stored batch of one tool; a batch without turns (T9) leaves only its offsets."""
+def digest_batch(warehouse: Warehouse, tool: str, batch_id: int, files: DataFrame | None = None, as_of: Column | None = None) -> None:
+    """Digests and logs of a stored batch of one tool; a batch without turns (T9) leaves only its offsets and, with a listing ``files(project, path,
+    mtime)``, the file activity as it is now."""
+    if files is not None:
+        refresh_activity(warehouse, files, batch_id, F.current_timestamp() if as_of is None else as_of)
     if _batch_turns(warehouse, tool, batch_id).isEmpty():
         return
     refresh_digests(warehouse, tool, batch_id)
@@ -131,6 +134,18 @@ def _batch_turns(warehouse: Warehouse, tool: str, batch_id: int) -> DataFrame:
     return warehouse.records().filter((F.col("status") == "ok") & (F.col("tool") == tool) & (F.col("batch_id") == batch_id))
 
 
+def refresh_activity(warehouse: Warehouse, files: DataFrame, batch_id: int, as_of: Column) -> None:
+    """What is recent now; a project without recent files keeps what it had."""
+    warehouse.append_activity(activity.recent_activity(files, as_of), batch_id)
+
+
+def _newest_projects(turns: DataFrame, offsets: DataFrame) -> DataFrame:
+    """The project of each session's newest turn, and that turn's time."""
+    found = with_projects(turns, offsets)
+    place = F.struct("ts_ms", "source_path", "end_offset")
+    return found.groupBy("session_id").agg(F.max_by("project", place).alias("project"), F.max("ts_ms").alias("ts_ms"))
+
+
 def refresh_digests(warehouse: Warehouse, tool: str, batch_id: int) -> None:
     """Digest again exactly the sessions that got turns in this batch.
 
@@ -141,13 +156,32 @@ def refresh_digests(warehouse: Warehouse, tool: str, batch_id: int) -> None:
     warehouse.append_session_state(digest.session_state(turns))
     touched = turns.select("session_id").distinct()
     digests = digest.assemble(warehouse.session_state().join(touched, "session_id", "left_semi"))
-    warehouse.append_digests(digest.with_body(digests), tool, batch_id)
+    projects = _newest_projects(turns, incremental.current_offsets(warehouse.offset_log())).drop("ts_ms")
+    warehouse.append_digests(digest.with_body(digests).join(projects, "session_id", "left"), tool, batch_id)
 
 
 def rebuild_digests(warehouse: Warehouse, batch_id: int) -> None:
     """Digest every session from the ledger itself."""
     digests = digest.session_digest(warehouse.ledger())
-    warehouse.append_digests(digest.with_body(digests), "rebuild", batch_id)
+    projects = _newest_projects(warehouse.ledger(), incremental.current_offsets(warehouse.offset_log())).drop("ts_ms")
+    warehouse.append_digests(digest.with_body(digests).join(projects, "session_id", "left"), "rebuild", batch_id)
+
+
+def project_documents(warehouse: Warehouse, git: DataFrame | None = None) -> DataFrame:
+    """``(project, body)`` of every project from what the batches have stored. ``git(project, head, diffstat)`` is captured text."""
+    latest = project.newest_digests(warehouse.digests())
+    context = None if git is None else git.select("project", activity.git_context(F.col("head"), F.col("diffstat")).alias("git_context"))
+    lines = project.document_lines(latest, warehouse.history(), warehouse.progress_log(), warehouse.activity(), context)
+    return project.render_documents(lines)
+
+
+def publish(warehouse: Warehouse, folder: str, git: DataFrame | None = None) -> None:
+    """A document and a progress file per project below ``folder``, each replaced as a whole."""
+    body = project_documents(warehouse, git).select("project", F.lit("digest.md").alias("file"), F.posexplode(F.split(F.regexp_replace("body", "\n$", ""), "\n")).alias("pos", "line"))
+    documents.write_files(body, ["pos"], folder)
+    latest = project.newest_digests(warehouse.digests())
+    log = project.progress_file_lines(latest, warehouse.progress_log()).withColumn("file", F.lit("progress.md"))
+    documents.write_files(log, ["part", "pos", "ord", "line"], folder)
 
 
 def with_projects(turns: DataFrame, offsets: DataFrame, home: Column | None = None) -> DataFrame:
@@ -155,10 +189,10 @@ def with_projects(turns: DataFrame, offsets: DataFrame, home: Column | None = No
     known = offsets.filter("project_dir is not null").select("source_path", F.col("project_dir").alias("source_project"))
     known = broadcast_if_small(known)
     never = F.lit(None).cast("string") if home is None else home
-    project = resolve_project(
+    found = resolve_project(
         F.coalesce("project_dir", "source_project"), F.lit(None).cast("string"), F.col("source_path"), never
     )
-    return turns.join(known, "source_path", "left").withColumn("project", F.coalesce(project, F.lit(NO_PROJECT)))
+    return turns.join(known, "source_path", "left").withColumn("project", F.coalesce(found, F.lit(NO_PROJECT)))
 
 
 def extend_logs(warehouse: Warehouse, tool: str, batch_id: int) -> None:
@@ -169,10 +203,8 @@ def extend_logs(warehouse: Warehouse, tool: str, batch_id: int) -> None:
     entries = distill.progress_entries(turns).select("project", "entry", order.alias("ord"))
     warehouse.append_progress(progress.merge_progress(warehouse.progress_log(), entries))
 
-    newest = turns.groupBy("session_id").agg(
-        F.max_by("project", F.struct("ts_ms", "source_path", "end_offset")).alias("project"), F.max("ts_ms").alias("ts_ms")
-    )
-    digests = warehouse.digest_log().filter((F.col("tool") == tool) & (F.col("batch_id") == batch_id)).join(newest, "session_id")
+    times = turns.groupBy("session_id").agg(F.max("ts_ms").alias("ts_ms"))
+    digests = warehouse.digest_log().filter((F.col("tool") == tool) & (F.col("batch_id") == batch_id)).join(times, "session_id")
     sections = F.array(
         F.struct(F.lit("task").alias("section"), F.col("task").alias("value")),
         F.struct(F.lit("next_action").alias("section"), F.col("next_action").alias("value")),

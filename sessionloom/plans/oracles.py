@@ -222,6 +222,52 @@ SELECT * FROM hi WHERE first_seen_ms >= (SELECT b FROM bo)"""
 ORACLES["activity_kept"] = """
 SELECT event_type, arg_max('file' || event_id, event_id) FILTER (WHERE event_id % 3 = 0) AS activity FROM events GROUP BY event_type"""
 
+def _values(sql: str) -> str:
+    """Task and next action of every session, dated by its newest turn."""
+    return f"""SELECT 'p' || (CAST(v.session_id AS BIGINT) % 10) AS project, section, {first_line("value")} AS value, ts_ms
+FROM (SELECT session_id, 'task' AS section, task AS value FROM ({_task(sql)}) UNION ALL SELECT session_id, 'next_action', next_action FROM ({_next_action(sql)})) v
+JOIN (SELECT session_id, max(ts_ms) AS ts_ms FROM ({sql}) GROUP BY session_id) USING (session_id)"""
+
+
+def _project_lines(sql: str, history: str, activity: str, git: str) -> str:
+    """CTEs up to ``pb(project, body)`` and ``pl``, the lines of the progress files."""
+
+    def section(title: str, column: str, mark: str) -> str:
+        return f"CASE WHEN len({column}) > 0 THEN ['## {title}'] || list_transform({column}, lambda x: '{mark}' || x) || [''] ELSE [] END"
+
+    log = f"""['<!-- session: ' || session_id || ' -->', '# Progress Log'] || coalesce(entries, []) || ['', '## What to do next'] || string_split({trim("next_action")}, chr(10))"""
+    return f"""{ledger(sql)}, {_DIGEST},
+pj AS (SELECT *, 'p' || (CAST(session_id AS BIGINT) % 10) AS project FROM dg),
+la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY timestamp_iso DESC, session_id DESC) AS nth FROM pj) WHERE nth = 1),
+hh AS ({history}),
+hb AS (SELECT project, section, list('- [' || {iso("first_seen_ms")} || '] ' || value ORDER BY first_seen_ms DESC, value) AS bullets FROM hh GROUP BY project, section),
+lg AS (SELECT 'p' || (CAST(session_id AS BIGINT) % 10) AS project, entry, min(ts_ms) AS ts_ms FROM en GROUP BY ALL),
+le AS (SELECT project, list(entry ORDER BY ts_ms, entry) AS entries FROM lg GROUP BY project),
+ac AS ({activity}), al AS (SELECT project, list(line ORDER BY rank) AS activity FROM ac GROUP BY project), gt AS ({git}),
+pa AS (
+  SELECT la.project, ['# Last updated ' || timestamp_iso || ' from ' || source_tool, '', '## Task'] || coalesce(tb.bullets, ['']) || ['']
+    || {section("Session activity", "coalesce(activity, [])", "")} || {section("Recent files", "recent_files", "- ")}
+    || {section("Failed approaches", "failed_approaches", "- ")} || {section("Open questions", "open_questions", "- ")}
+    || ['## Next action'] || coalesce(nb.bullets, ['']) || ['']
+    || CASE WHEN coalesce(git_context, '') NOT IN ('', '<no git context>') THEN ['## Git context', git_context, ''] ELSE [] END
+    || ['## Progress log'] || {log} || [''] AS a, {log} AS l
+  FROM la LEFT JOIN hb tb ON tb.project = la.project AND tb.section = 'task' LEFT JOIN hb nb ON nb.project = la.project AND nb.section = 'next_action'
+  LEFT JOIN le ON le.project = la.project LEFT JOIN al ON al.project = la.project LEFT JOIN gt ON gt.project = la.project),
+pt AS (SELECT project, array_to_string(CASE WHEN len(a) > 150 THEN a[1:149] || ['…(truncated)'] ELSE a END, chr(10)) AS t, array_to_string(l, chr(10)) || chr(10) AS log FROM pa),
+pb AS (SELECT project, CASE WHEN t LIKE '%' || chr(10) THEN t ELSE t || chr(10) END AS body, log FROM pt)"""
+
+
+_ALL_VALUES = f"""SELECT project, section, value, min(ts_ms) AS first_seen_ms FROM ({_values(AUGMENTED_SQL)}) WHERE value <> '' AND value NOT LIKE '<no %' GROUP BY ALL"""
+_CLAUDE_SQL = f"SELECT session_id, 'claude' AS tool, ts_ms, role, content, tool_calls_json, files_touched_json, parent_id FROM ({AUGMENTED_SQL}) a"
+_OLDER_SQL = f"SELECT * FROM ({_CLAUDE_SQL}) o WHERE ts_ms < (SELECT floor(avg(ts_ms)) FROM ({_CLAUDE_SQL}))"
+# What a batch brings later is not added again, whatever its time.
+_TWO_BATCHES = f"""SELECT project, section, value, arg_min(ts_ms, (batch, ts_ms)) AS first_seen_ms FROM (
+  SELECT *, 0 AS batch FROM ({_values(_OLDER_SQL)})
+  UNION ALL SELECT *, 1 FROM ({_values(_CLAUDE_SQL)}) WHERE ts_ms >= (SELECT floor(avg(ts_ms)) FROM ({_CLAUDE_SQL})))
+WHERE value <> '' AND value NOT LIKE '<no %' GROUP BY project, section, value"""
+_GIT = """SELECT project, CASE WHEN k % 4 = 0 THEN '<no git context>' ELSE 'HEAD: ' || ('c0ffee' || k)[1:8] || CASE WHEN k % 3 > 0 THEN '; diff: ' || k || ' files changed' ELSE '' END END AS git_context
+FROM (SELECT 'p' || (s_suppkey % 10) AS project, max(s_suppkey) AS k FROM supplier GROUP BY 1)"""
+
 # -- ledger reads ---------------------------------------------------------------------------------------------------------------
 ORACLES["query_session"] = f"WITH led AS ({PLAIN_SQL}) SELECT session_id, ts_ms, role, content FROM led WHERE session_id = '7' ORDER BY ts_ms"
 ORACLES["query_recent"] = f"WITH led AS ({PLAIN_SQL}) SELECT session_id, ts_ms, role FROM led WHERE tool = 'claude' ORDER BY ts_ms DESC LIMIT 10"
@@ -530,3 +576,11 @@ b AS (SELECT tool, min(lo) AS lowest, arg_max(name, lo) AS highest FROM r GROUP
 SELECT p_partkey, p.tool, CASE WHEN lowest IS NULL OR v < lowest THEN NULL ELSE coalesce(r.name, highest) END AS name,
        CASE WHEN lowest IS NULL OR v < lowest THEN 'older_than_known' WHEN r.name IS NOT NULL THEN 'exact' ELSE 'newer_than_known' END AS fallback
 FROM p LEFT JOIN b ON p.tool = b.tool LEFT JOIN r ON p.tool = r.tool AND v >= lo AND (hi IS NULL OR v < hi)"""
+
+# -- project documents, of parts named above --------------------------------------------------------------------------------------
+_RECENT = f"SELECT replace(project, 'proj', 'p') AS project, rank, line FROM ({ORACLES['recent_activity']})"
+ORACLES["project_document"] = f"WITH {_project_lines(AUGMENTED_SQL, _ALL_VALUES, _RECENT, _GIT)} SELECT project, body FROM pb"
+_NOTHING = "SELECT '' AS project, 1 AS rank, '' AS line WHERE false"
+_NO_GIT = "SELECT '' AS project, '' AS git_context WHERE false"
+ORACLES["project_document_second_batch"] = f"""WITH {_project_lines(_CLAUDE_SQL, _TWO_BATCHES, _NOTHING, _NO_GIT)}
+SELECT '/work/' || project AS project, 'digest.md' AS file, body FROM pb UNION ALL SELECT '/work/' || project, 'progress.md', log FROM pb"""

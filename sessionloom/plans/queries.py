@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sessionloom.functions import redact as rd
 from sessionloom.functions import text as tx
 from sessionloom.functions import variant as vr
-from sessionloom.operators import activity, digest, distill, hooks, incremental, kv, normalize, progress, reads, redaction, threads, versions, windows
+from sessionloom.operators import activity, digest, distill, hooks, incremental, kv, normalize, progress, project, reads, redaction, threads, versions, windows
 from sessionloom.plans import ingest, views
 from sessionloom.session import configure, shared_dir
 from sessionloom.sources import jsonl, tail
@@ -206,6 +206,50 @@ def activity_kept(spark, sf):
     return progress.last_non_empty(events, "event_type", "activity", F.col("event_id"))
 
 
+def _of_session() -> F.Column:
+    return F.concat(F.lit("p"), (F.col("session_id").cast("bigint") % 10).cast("string"))
+
+
+@query
+def project_document(spark, sf):
+    """History, activity, version-control context and log of ten projects around their newest digest."""
+    led = views.augmented_ledger(spark, sf).withColumn("project", _of_session())
+    digests = digest.session_digest(led).withColumn("project", _of_session())
+    times = led.groupBy("session_id").agg(F.max("ts_ms").alias("ts_ms"))
+    sections = F.array(*[F.struct(F.lit(c).alias("section"), F.col(c).alias("value")) for c in ("task", "next_action")])
+    history = progress.history(digests.join(times, "session_id").select("project", "ts_ms", F.inline(sections)))
+    entries = distill.progress_entries(led).select("project", "entry", F.col("ts_ms").alias("ord"))
+    log = progress.merge_progress(entries.limit(0), entries)
+    files = views.event_files(spark, sf).withColumn("project", F.replace("project", F.lit("proj"), F.lit("p")))
+    recent = activity.recent_activity(files, files.agg(F.max("mtime")).scalar())
+    suppliers = views.table(spark, sf, "supplier").groupBy(F.concat(F.lit("p"), (F.col("s_suppkey") % 10).cast("string")).alias("project"))
+    stat = F.when(F.col("k") % 3 > 0, F.concat(F.lit(" a.rs | 2 +-\n "), F.col("k").cast("string"), F.lit(" files changed\n"))).otherwise("")
+    head = F.when(F.col("k") % 4 > 0, F.concat(F.lit("c0ffee"), F.col("k").cast("string"))).otherwise("")
+    git = suppliers.agg(F.max("s_suppkey").alias("k")).select("project", activity.git_context(head, stat).alias("git_context"))
+    lines = project.document_lines(project.newest_digests(digests), history, log, recent, git)
+    return project.render_documents(lines)
+
+
+@query
+def project_document_second_batch(spark, sf):
+    """The older half of all turns is ingested, then the newer; the documents of the warehouse, written to files and read back."""
+    folder = _scratch(spark, "project_document_second_batch")
+    warehouse = ingest.open_warehouse(spark, f"{folder}/warehouse")
+    led = views.augmented_ledger(spark, sf).withColumns({
+        "tool": F.lit("claude"), "source_path": F.lit("conversations"), "end_offset": F.col("ts_ms"), "status": F.lit("ok"),
+        "project_dir": F.concat(F.lit("/work/"), _of_session()),
+    })
+    border = led.agg(F.floor(F.avg("ts_ms"))).scalar()
+    for batch, half in enumerate((F.col("ts_ms") < border, F.col("ts_ms") >= border)):
+        ingest.store_batch(warehouse, normalize.finish(led.where(half)), "claude", batch)
+        ingest.digest_batch(warehouse, "claude", batch)
+    ingest.publish(warehouse, f"{folder}/projects")
+    files = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").text(f"{folder}/projects", wholetext=True)
+    path = F.col("_metadata.file_path")
+    name = F.regexp_extract(path, "project=([^/]+)/", 1)
+    return files.select(F.url_decode(F.url_decode(name)).alias("project"), F.substring_index(path, "/", -1).alias("file"), F.col("value").alias("body"))
+
+
 # -- ledger reads ---------------------------------------------------------------------------------------------------------------
 @query
 def query_session(spark, sf):

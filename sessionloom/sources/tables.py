@@ -120,7 +120,7 @@ class Warehouse:
     _DIGEST = (
         "session_id string, source_tool string, timestamp_iso string, task string, next_action string, "
         "open_questions array<string>, recent_files array<string>, failed_approaches array<string>, "
-        "progress_entries array<string>, body string, tool string, batch_id bigint"
+        "progress_entries array<string>, body string, project string, tool string, batch_id bigint"
     )
 
     def digest_log(self) -> DataFrame:
@@ -169,3 +169,14 @@ class Warehouse:
 
     def append_history(self, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(self._path("history"))
+
+    # -- file activity -----------------------------------------------------------------------------------------------------
+    def activity(self) -> DataFrame:
+        """``(project, rank, line)`` of the last refresh that found any for the project."""
+        log = self._read("activity", "project string, rank int, line string, batch_id bigint")
+        newest = log.groupBy("project").agg(F.max("batch_id").alias("batch_id"))
+        return log.join(newest, ["project", "batch_id"], "left_semi").select("project", "rank", "line").distinct()
+
+    def append_activity(self, rows: DataFrame, batch_id: int) -> None:
+        kept = rows.select("project", "rank", "line", F.lit(batch_id).cast("bigint").alias("batch_id"))
+        kept.write.mode("append").parquet(self._path("activity"))
