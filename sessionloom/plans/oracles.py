@@ -222,6 +222,10 @@ SELECT * FROM hi WHERE first_seen_ms >= (SELECT b FROM bo)"""
 ORACLES["activity_kept"] = """
 SELECT event_type, arg_max('file' || event_id, event_id) FILTER (WHERE event_id % 3 = 0) AS activity FROM events GROUP BY event_type"""
 
+ORACLES["task_history_stream"] = ORACLES["task_history"]
+ORACLES["activity_kept_stream"] = ORACLES["activity_kept"]
+
+
 def _values(sql: str) -> str:
     """Task and next action of every session, dated by its newest turn."""
     return f"""SELECT 'p' || (CAST(v.session_id AS BIGINT) % 10) AS project, section, {first_line("value")} AS value, ts_ms

@@ -15,7 +15,7 @@ from sessionloom.operators import activity, digest, distill, hooks, incremental,
 from sessionloom.plans import ingest, views
 from sessionloom.session import configure, shared_dir
 from sessionloom.sources import jsonl, tail
-from sessionloom.streaming import live
+from sessionloom.streaming import accumulate, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -206,6 +206,36 @@ def activity_kept(spark, sf):
     return progress.last_non_empty(events, "event_type", "activity", F.col("event_id"))
 
 
+@query
+def task_history_stream(spark, sf):
+    """Three deliveries, each with all values so far, into keyed state; what the batches added together."""
+    folder, values = _scratch(spark, "task_history_stream"), _history_values(spark, sf)
+    values.write.parquet(f"{folder}/values")
+    values = spark.read.parquet(f"{folder}/values")
+    first, last = (values.agg(f("ts_ms")).scalar() for f in (F.min, F.max))
+    own = live.stateful_session(spark)
+    for third in range(3):
+        values.where(3 * (F.col("ts_ms") - first) <= (third + 1) * (last - first)).write.mode("append").parquet(f"{folder}/in")
+        found = accumulate.history_stream(own.readStream.schema(values.schema).parquet(f"{folder}/in"))
+        accumulate.start_accumulation(found, folder, available_now=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").drop("batch_id")
+
+
+@query
+def activity_kept_stream(spark, sf):
+    """The last non-empty value per key after three deliveries in no order of time."""
+    folder = _scratch(spark, "activity_kept_stream")
+    name = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("file"), F.col("event_id").cast("string"))).otherwise("")
+    events = views.table(spark, sf, "events").select("event_type", "event_id", name.alias("activity"))
+    own = live.stateful_session(spark)
+    for delivery in (2, 0, 1):
+        events.where(F.col("event_id") % 7 % 3 == delivery).write.mode("append").parquet(f"{folder}/in")
+        found = accumulate.last_value_stream(own.readStream.schema(events.schema).parquet(f"{folder}/in"), "event_type", "activity", "event_id")
+        accumulate.start_accumulation(found, folder, "update", available_now=True).awaitTermination()
+    rows = spark.read.parquet(f"{folder}/rows")
+    return rows.groupBy(F.col("key").alias("event_type")).agg(F.max_by("value", "ord").alias("activity"))
+
+
 def _of_session() -> F.Column:
     return F.concat(F.lit("p"), (F.col("session_id").cast("bigint") % 10).cast("string"))
 
