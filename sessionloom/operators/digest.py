@@ -33,6 +33,11 @@ def session_state(ledger: DataFrame, error_roles: tuple[str, ...] = ("tool_resul
     return ds.best(ds.candidates(ledger, ds.ALL_KINDS, error_roles), ds.ALL_KINDS).drop("rank")
 
 
+def merged_state(rows: DataFrame) -> DataFrame:
+    """One state per session out of several: the best of their candidates."""
+    return ds.best(rows, ds.ALL_KINDS).drop("rank").select(*rows.columns)
+
+
 def assemble(found: DataFrame) -> DataFrame:
     """Digest rows from the candidates, or the collected states, of sessions."""
     best = ds.rank(found, ds.ALL_KINDS)

@@ -33,6 +33,11 @@ def merge_progress(existing: DataFrame, new: DataFrame, allowed_lateness_s: int
     return fresh.select("project", "entry", "ord")
 
 
+def last_entries(log: DataFrame) -> DataFrame:
+    """The last entry of each project's log."""
+    return log.groupBy("project").agg(F.max_by(F.struct("entry", "ord"), "ord").alias("e")).select("project", "e.*")
+
+
 def history(values: DataFrame) -> DataFrame:
     """Distinct first lines per project and section with the time they first appeared.
 

@@ -125,7 +125,7 @@ def store_batch(
         normalized = incremental.not_yet_stored(normalized, stored.filter(F.col("batch_id") >= unfinished))
     warehouse.append_records(normalized, batch_id)
     batch = warehouse.records().filter((F.col("tool") == tool) & (F.col("batch_id") == batch_id))
-    warehouse.append_offsets(incremental.advance_offsets(batch), batch_id)
+    warehouse.append_offsets(incremental.advance_offsets(batch), tool, batch_id)
     warehouse.end_batch(tool, batch_id)
 
 
@@ -153,9 +153,9 @@ def refresh_digests(warehouse: Warehouse, tool: str, batch_id: int) -> None:
     never read again, only the states of its sessions.
     """
     turns = _batch_turns(warehouse, tool, batch_id)
-    warehouse.append_session_state(digest.session_state(turns))
+    warehouse.append_session_state(digest.session_state(turns), tool)
     touched = turns.select("session_id").distinct()
-    digests = digest.assemble(warehouse.session_state().join(touched, "session_id", "left_semi"))
+    digests = digest.assemble(warehouse.session_state(touched).join(touched, "session_id", "left_semi"))
     projects = _newest_projects(turns, incremental.current_offsets(warehouse.offset_log())).drop("ts_ms")
     warehouse.append_digests(digest.with_body(digests).join(projects, "session_id", "left"), tool, batch_id)
 
@@ -201,7 +201,7 @@ def extend_logs(warehouse: Warehouse, tool: str, batch_id: int) -> None:
     turns = with_projects(_batch_turns(warehouse, tool, batch_id), offsets)
     order = F.struct(F.lit(batch_id).cast("bigint").alias("batch_id"), "ts_ms", "source_path", "end_offset")
     entries = distill.progress_entries(turns).select("project", "entry", order.alias("ord"))
-    warehouse.append_progress(progress.merge_progress(warehouse.progress_log(), entries))
+    warehouse.append_progress(progress.merge_progress(warehouse.progress_ends(entries), entries), tool, batch_id)
 
     times = turns.groupBy("session_id").agg(F.max("ts_ms").alias("ts_ms"))
     digests = warehouse.digest_log().filter((F.col("tool") == tool) & (F.col("batch_id") == batch_id)).join(times, "session_id")
@@ -210,7 +210,7 @@ def extend_logs(warehouse: Warehouse, tool: str, batch_id: int) -> None:
         F.struct(F.lit("next_action").alias("section"), F.col("next_action").alias("value")),
     )
     values = digests.select("project", "ts_ms", F.inline(sections))
-    warehouse.append_history(progress.history_delta(warehouse.history(), values))
+    warehouse.append_history(progress.history_delta(warehouse.history(progress.history(values)), values), tool)
 
 
 def ingest_kv(warehouse: Warehouse, documents: DataFrame, batch_id: int) -> None:

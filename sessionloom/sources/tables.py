@@ -12,8 +12,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionloom.operators import digest, incremental, progress
 from sessionloom.operators.normalize import NORMALIZED
 from sessionloom.schemas import LEDGER, OFFSETS
+from sessionloom.sources.keyed import KeyedTable
 
 
 @dataclass(frozen=True)
@@ -82,14 +84,19 @@ class Warehouse:
         return rejected.select("tool", "source_path", "end_offset", "reason", "batch_id")
 
     # -- offsets -----------------------------------------------------------------------------------------------------------
-    def offset_log(self) -> DataFrame:
+    def _offsets(self) -> KeyedTable:
         ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in OFFSETS.fields)
-        return self._read("offsets", f"{ddl}, batch_id bigint")
+        fold = lambda log: incremental.current_offsets(log).withColumn("batch_id", F.lit(-1).cast("bigint"))
+        return KeyedTable(self.spark, self._path("offsets"), f"{ddl}, batch_id bigint", ("source_path",), fold, buckets=16)
+
+    def offset_log(self) -> DataFrame:
+        """What batches logged, older entries folded to one per source."""
+        return self._offsets().read()
 
-    def append_offsets(self, advanced: DataFrame, batch_id: int) -> None:
+    def append_offsets(self, advanced: DataFrame, tool: str, batch_id: int) -> None:
         """S10. Logged after the records of a batch, so a logged batch is a complete one."""
         rows = advanced.select(*OFFSETS.fieldNames(), F.lit(batch_id).cast("bigint").alias("batch_id"))
-        rows.write.mode("append").parquet(self._path("offsets"))
+        self._offsets().append(rows, tool)
 
     # -- key-value state ---------------------------------------------------------------------------------------------------
     def workspace_state(self) -> DataFrame:
@@ -110,11 +117,15 @@ class Warehouse:
         "pos struct<ord:struct<ts_ms:bigint,source_path:string,end_offset:bigint>,line:int,item:int>"
     )
 
-    def session_state(self) -> DataFrame:
-        return self._read("session_state", self._STATE)
+    def _session_state(self) -> KeyedTable:
+        return KeyedTable(self.spark, self._path("session_state"), self._STATE, ("session_id",), digest.merged_state)
+
+    def session_state(self, touched: DataFrame | None = None) -> DataFrame:
+        """States of all sessions, or those that share a bucket with ``touched(session_id)``."""
+        return self._session_state().read(touched)
 
-    def append_session_state(self, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(self._path("session_state"))
+    def append_session_state(self, rows: DataFrame, tool: str) -> None:
+        self._session_state().append(rows, tool)
 
     # -- digests -----------------------------------------------------------------------------------------------------------
     _DIGEST = (
@@ -157,18 +168,41 @@ class Warehouse:
         rows.write.mode("overwrite").json(folder)
 
     # -- progress and history ----------------------------------------------------------------------------------------------
-    def progress_log(self) -> DataFrame:
+    def _progress(self) -> DataFrame:
         order = "struct<batch_id:bigint,ts_ms:bigint,source_path:string,end_offset:bigint>"
-        return self._read("progress_log", f"project string, entry string, ord {order}")
-
-    def append_progress(self, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(self._path("progress_log"))
+        return self._read("progress_log", f"project string, entry string, ord {order}, tool string, batch_id bigint")
 
-    def history(self) -> DataFrame:
-        return self._read("history", "project string, section string, value string, first_seen_ms bigint")
+    def progress_log(self) -> DataFrame:
+        return self._progress().select("project", "entry", "ord")
 
-    def append_history(self, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(self._path("history"))
+    def _progress_ends(self) -> KeyedTable:
+        order = "struct<batch_id:bigint,ts_ms:bigint,source_path:string,end_offset:bigint>"
+        return KeyedTable(self.spark, self._path("progress_ends"), f"project string, entry string, ord {order}", ("project",), progress.last_entries)
+
+    def progress_ends(self, touched: DataFrame) -> DataFrame:
+        """The last entries of the logs of projects: all a batch has to know of what is logged."""
+        return self._progress_ends().read(touched)
+
+    def append_progress(self, rows: DataFrame, tool: str, batch_id: int) -> None:
+        """The log is only ever appended to; a batch that is repeated reads what it had written itself, and no other."""
+        mine = self._progress().where((F.col("tool") == tool) & (F.col("batch_id") == batch_id))
+        fresh = rows.join(mine.select("project", "entry"), ["project", "entry"], "left_anti").select("project", "entry", "ord")
+        placed = fresh.withColumns({"tool": F.lit(tool), "batch_id": F.lit(batch_id).cast("bigint")})
+        placed.write.mode("append").partitionBy("tool", "batch_id").parquet(self._path("progress_log"))
+        written = self._progress().where((F.col("tool") == tool) & (F.col("batch_id") == batch_id))
+        self._progress_ends().append(progress.last_entries(written.select("project", "entry", "ord")), tool)
+
+    def _history(self) -> KeyedTable:
+        schema = "project string, section string, value string, first_seen_ms bigint"
+        fold = lambda rows: rows.groupBy("project", "section", "value").agg(F.min("first_seen_ms").alias("first_seen_ms"))
+        return KeyedTable(self.spark, self._path("history"), schema, ("project", "section", "value"), fold)
+
+    def history(self, touched: DataFrame | None = None) -> DataFrame:
+        """All of the history, or what shares a bucket with values of ``touched``."""
+        return self._history().read(touched)
+
+    def append_history(self, rows: DataFrame, tool: str) -> None:
+        self._history().append(rows, tool)
 
     # -- file activity -----------------------------------------------------------------------------------------------------
     def activity(self) -> DataFrame:
