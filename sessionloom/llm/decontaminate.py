@@ -61,7 +61,8 @@ def numbered(ordered: Column) -> Column:
 def fingerprinted(df: DataFrame, name: str) -> DataFrame:
     """Add ``shingles``, the set form of ``hashes``, and ``print``. Written: what a join or a filter asks for is not made again."""
     ordered = df.withColumn("ordered", F.sort_array("hashes"))
-    return written(ordered.withColumns({"shingles": numbered(F.col("ordered")), "print": fingerprint(F.col("hashes"))}).drop("ordered"), name)
+    made = {"uid": F.monotonically_increasing_id(), "shingles": numbered(F.col("ordered")), "print": fingerprint(F.col("hashes"))}
+    return written(ordered.withColumns(made).drop("ordered"), name)
 
 
 def blocks() -> list[tuple[int, int]]:
@@ -120,11 +121,12 @@ def contamination(docs: DataFrame, items: DataFrame, key: Column, text: str = "t
     """``(key, item, similarity)`` of every text that holds an item, with the best window's similarity."""
     table_ = item_table(items, item_key, item_text)
     found = fingerprinted(windows(docs, table_, key, text), "windows")
-    left = found.withColumn("b", F.explode_outer(block_values(F.col("print"), False))).select("key", "n", "start", "shingles", "print", "b.block", "b.value")
-    right = table_.withColumn("b", F.explode_outer(block_values(F.col("print"), True))).select(
-        "item", "n", F.col("shingles").alias("theirs"), F.col("print").alias("other"), "b.block", "b.value"
-    )
-    near = left.join(right, ["n", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("other"))) <= RADIUS)
+    # Block rows carry numbers only, and join by a sort: there are some thousand for each item. Shingles come back for the pairs within the radius.
+    left = found.select("uid", "n", "print", F.inline(block_values(F.col("print"), False)))
+    right = table_.select(F.col("uid").alias("item_uid"), "n", F.col("print").alias("other"), F.inline(block_values(F.col("print"), True)))
+    met = left.join(right.hint("merge"), ["n", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("other"))) <= RADIUS)
+    theirs = table_.select(F.col("uid").alias("item_uid"), "item", F.col("shingles").alias("theirs"))
+    near = met.select("uid", "item_uid").distinct().join(found.select("uid", "key", "shingles"), "uid").join(theirs, "item_uid")
     both = F.size(F.array_intersect("shingles", "theirs"))
     scored = near.withColumn("similarity", both / (F.size("shingles") + F.size("theirs") - both))
     return scored.where(F.col("similarity") >= SIMILARITY).groupBy("key", "item").agg(F.max("similarity").alias("similarity"))
