@@ -222,6 +222,12 @@ SELECT * FROM hi WHERE first_seen_ms >= (SELECT b FROM bo)"""
 ORACLES["activity_kept"] = """
 SELECT event_type, arg_max('file' || event_id, event_id) FILTER (WHERE event_id % 3 = 0) AS activity FROM events GROUP BY event_type"""
 
+ORACLES["tool_metrics"] = f"""
+WITH d AS (SELECT *, CAST(make_timestamp(ts_ms * 1000) AS DATE) AS day FROM ({PLAIN_SQL}) v),
+w AS (SELECT tool, CAST(date_trunc('week', day) AS DATE) AS week, CAST(date_trunc('month', day) AS DATE) AS month, content, ts_ms FROM d)
+SELECT tool, CAST(week AS VARCHAR) AS week, CAST(month AS VARCHAR) AS month, CAST(grouping(tool, week, month) AS BIGINT) AS level, count(*) AS n_turns, CAST(sum(coalesce(length(content), 0)) AS BIGINT) AS n_chars,
+       min(ts_ms) AS first_ms, max(ts_ms) AS last_ms
+FROM w GROUP BY CUBE (tool, week, month)"""
 ORACLES["task_history_stream"] = ORACLES["task_history"]
 ORACLES["activity_kept_stream"] = ORACLES["activity_kept"]
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sessionloom.functions import redact as rd
 from sessionloom.functions import text as tx
 from sessionloom.functions import variant as vr
-from sessionloom.operators import activity, digest, distill, hooks, incremental, kv, normalize, progress, project, reads, redaction, threads, versions, windows
+from sessionloom.operators import activity, digest, distill, hooks, incremental, kv, metrics, normalize, progress, project, reads, redaction, threads, versions, windows
 from sessionloom.plans import ingest, views
 from sessionloom.session import configure, shared_dir
 from sessionloom.sources import jsonl, tail
@@ -236,6 +236,17 @@ def activity_kept_stream(spark, sf):
     return rows.groupBy(F.col("key").alias("event_type")).agg(F.max_by("value", "ord").alias("activity"))
 
 
+@query
+def tool_metrics(spark, sf):
+    """E5: three stored batches merged over tool, week and month; the exact columns (a test holds the estimates against exact counts)."""
+    folder, led = _scratch(spark, "tool_metrics"), views.plain_ledger(spark, sf)
+    for batch in range(3):
+        metrics.batch_metrics(led.where(F.col("ts_ms") / 1000 % 3 == batch)).write.parquet(f"{folder}/batch_id={batch}")
+    found = metrics.metrics(spark.read.parquet(folder))
+    dates = [F.col(c).cast("string").alias(c) for c in ("week", "month")]
+    return found.select("tool", *dates, "level", "n_turns", "n_chars", "first_ms", "last_ms")
+
+
 def _of_session() -> F.Column:
     return F.concat(F.lit("p"), (F.col("session_id").cast("bigint") % 10).cast("string"))
 
