@@ -7,13 +7,15 @@ its input once and a lost executor costs a retry of one job.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.operators import activity, digest, distill, incremental, kv, normalize, progress, project
 from sessionloom.operators.hooks import resolve_project
 from sessionloom.operators.sizes import broadcast_if_small
-from sessionloom.session import configure
+from sessionloom.session import configure, shared_dir
 from sessionloom.sources import documents, jsonl, tail
 from sessionloom.sources.tables import Warehouse
 
@@ -120,7 +122,7 @@ def store_batch(
     unfinished = warehouse.first_unfinished(tool)
     warehouse.begin_batch(tool, batch_id)
     if full_refresh:
-        normalized = incremental.not_yet_stored(normalized, stored)
+        normalized = _without_trimmed(incremental.not_yet_stored(normalized, stored), warehouse.trimmed())
     elif unfinished is not None:
         normalized = incremental.not_yet_stored(normalized, stored.filter(F.col("batch_id") >= unfinished))
     warehouse.append_records(normalized, batch_id)
@@ -272,5 +274,21 @@ def legacy_kv_turns(documents: DataFrame, watermarks: DataFrame | None = None) -
     return turns if watermarks is None else incremental.after_last_id(turns, watermarks)
 
 
+def _without_trimmed(rows: DataFrame, trimmed: DataFrame) -> DataFrame:
+    """Rows but for turns that retention has removed; a session that goes on later does so with its new turns."""
+    gone = rows.join(trimmed, "session_id", "left").where(F.col("newest_ms").isNull() | F.col("ts_ms").isNull() | (F.col("ts_ms") > F.col("newest_ms")))
+    return gone.select(*rows.columns)
+
+
+def trim(warehouse: Warehouse, before_ms: int) -> None:
+    """Remove the sessions whose newest turn is older than a time. A second trim finds none; a later read adds nothing that was removed."""
+    newest = warehouse.ledger().groupBy("session_id").agg(F.max("ts_ms").alias("newest_ms"))
+    path = f"{shared_dir(warehouse.spark)}/trim-{uuid.uuid4().hex}"
+    newest.where(F.col("newest_ms") < before_ms).write.parquet(path)
+    old = warehouse.spark.read.schema(newest.schema).parquet(path)
+    if not old.isEmpty():
+        warehouse.drop_sessions(old)
+
+
 def open_warehouse(spark: SparkSession, root: str) -> Warehouse:
     return Warehouse(configure(spark), root)

@@ -594,3 +594,6 @@ _NOTHING = "SELECT '' AS project, 1 AS rank, '' AS line WHERE false"
 _NO_GIT = "SELECT '' AS project, '' AS git_context WHERE false"
 ORACLES["project_document_second_batch"] = f"""WITH {_project_lines(_CLAUDE_SQL, _TWO_BATCHES, _NOTHING, _NO_GIT)}
 SELECT '/work/' || project AS project, 'digest.md' AS file, body FROM pb UNION ALL SELECT '/work/' || project, 'progress.md', log FROM pb"""
+ORACLES["retained_digests"] = _digest(
+    f"SELECT * FROM ({_CLAUDE_SQL}) r WHERE session_id IN (SELECT session_id FROM ({_CLAUDE_SQL}) GROUP BY session_id HAVING max(ts_ms) >= (SELECT floor(avg(ts_ms)) FROM ({_CLAUDE_SQL})))"
+)

@@ -271,6 +271,23 @@ def project_document(spark, sf):
     return project.render_documents(lines)
 
 
+@query
+def retained_digests(spark, sf):
+    """All turns ingested, the sessions older than the mean time trimmed twice, everything read again."""
+    warehouse = ingest.open_warehouse(spark, _scratch(spark, "retained_digests"))
+    led = views.augmented_ledger(spark, sf).withColumns({
+        "tool": F.lit("claude"), "source_path": F.lit("conversations"), "end_offset": F.col("ts_ms"), "status": F.lit("ok"), "project_dir": F.lit("/work/p"),
+    })
+    border = led.agg(F.floor(F.avg("ts_ms")).alias("b")).first().b
+    ingest.store_batch(warehouse, normalize.finish(led), "claude", 0)
+    ingest.digest_batch(warehouse, "claude", 0)
+    ingest.trim(warehouse, border)
+    ingest.trim(warehouse, border)
+    ingest.store_batch(warehouse, normalize.finish(led), "claude", 1, full_refresh=True)
+    ingest.digest_batch(warehouse, "claude", 1)
+    return _flat_digest(warehouse.digests())
+
+
 @query
 def project_document_second_batch(spark, sf):
     """The older half of all turns is ingested, then the newer; the documents of the warehouse, written to files and read back."""

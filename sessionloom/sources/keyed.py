@@ -92,3 +92,16 @@ class KeyedTable:
         self.fold(rows).write.mode("overwrite").parquet(target)
         for old in versions[:-1]:
             self._files().delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/writer={writer}/bucket={bucket}/v={old}"), True)
+
+    def rewrite(self, change: Callable[[DataFrame], DataFrame], touched: DataFrame) -> None:
+        """Replace the buckets that the keys of ``touched`` lie in by what ``change`` makes of their rows. No batch may run meanwhile."""
+        buckets = [r.b for r in touched.select(self._bucket().alias("b")).distinct().collect()]  # ``self.buckets`` at most
+        current = {k: v[-1] for k, v in self.versions().items() if k[1] in buckets}
+        if not current:
+            return
+        rows = self._current({k: [v] for k, v in current.items()}, None)
+        changed = change(rows).withColumn("v", F.col("v") + 1)
+        changed.repartition("writer", "bucket").write.mode("append").partitionBy("writer", "bucket", "v").parquet(self.path)
+        for (writer, bucket), version in current.items():  # the markers make the new versions count
+            folder = f"{self.path}/writer={writer}/bucket={bucket}/v={version + 1}"
+            self._files().create(self.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")).close()

@@ -6,6 +6,7 @@ partition, and the later steps read the written batch instead of parsing the inp
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -214,3 +215,40 @@ class Warehouse:
     def append_activity(self, rows: DataFrame, batch_id: int) -> None:
         kept = rows.select("project", "rank", "line", F.lit(batch_id).cast("bigint").alias("batch_id"))
         kept.write.mode("append").parquet(self._path("activity"))
+
+    # -- retention ---------------------------------------------------------------------------------------------------------
+    def _trimmed(self) -> KeyedTable:
+        fold = lambda rows: rows.groupBy("session_id").agg(F.max("newest_ms").alias("newest_ms"))
+        return KeyedTable(self.spark, self._path("trimmed"), "session_id string, newest_ms bigint", ("session_id",), fold)
+
+    def trimmed(self) -> DataFrame:
+        """``(session_id, newest_ms)`` of what was removed; a rescan does not bring it back."""
+        return self._trimmed().read()
+
+    def drop_sessions(self, old: DataFrame) -> None:
+        """Remove sessions ``old(session_id, newest_ms)``: what is derived from their turns first, the turns last, so that a trim that died can be repeated.
+
+        Only partitions and buckets that hold some of them are written anew. Offsets stay, and so do the logs and the history of projects.
+        """
+        self._trimmed().append(old.select("session_id", "newest_ms"), "retention")
+        without = lambda rows: rows.join(old.select("session_id"), "session_id", "left_anti").select(*rows.columns)
+        self._session_state().rewrite(without, old)
+        self._rewrite("session_digest", self._DIGEST, ["tool", "batch_id"], ["session_id"], old, without)
+        ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in NORMALIZED.fields)
+        self._rewrite("records", f"{ddl}, batch_id bigint", ["status", "tool", "batch_id"], ["session_id", "ts_ms"], old, without)
+
+    def _rewrite(self, name: str, schema: str, parts: list[str], order: list[str], old: DataFrame, without) -> None:
+        table = self._read(name, schema)
+        touched = [tuple(r) for r in table.join(old.select("session_id"), "session_id", "left_semi").select(*parts).distinct().collect()]  # a row per partition
+        if not touched:
+            return
+        mine = F.struct(*parts).isin([F.struct(*[F.lit(v).cast(table.schema[c].dataType).alias(c) for c, v in zip(parts, row)]) for row in touched])
+        staged = f"{self._path('_trim')}/{uuid.uuid4().hex}"
+        without(table.where(mine)).write.parquet(staged)
+        kept = self.spark.read.schema(table.schema).parquet(staged)
+        left = {tuple(r) for r in kept.select(*parts).distinct().collect()}
+        ordered = kept.repartition(*parts).sortWithinPartitions(*parts, *order)
+        ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(self._path(name))
+        for row in sorted(set(touched) - left):
+            where = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self._path(name), *(f"{c}={v}" for c, v in zip(parts, row))]))
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -208,3 +208,25 @@ def test_files_that_did_not_grow_are_not_opened(spark, tmp_path):
     assert len(grown) == 1 and grown[0].endswith("a.jsonl")
     ingest.ingest_path(wh, "claude", str(source), 2)
     assert wh.ledger().count() == before + 1
+
+
+def test_retention_removes_old_sessions_for_good(spark, tmp_path):
+    wh = ingest.open_warehouse(spark, str(tmp_path / "wh"))
+    old = [record(i, f"An old prompt number {i}", session="old") for i in range(3)]
+    new = [record(i, f"A newer prompt number {i}", session="new") for i in range(20, 23)]
+    write(str(tmp_path / "t" / "-work-demo" / "a.jsonl"), old)
+    ingest.ingest_path(wh, "claude", str(tmp_path / "t"), 0)
+    write(str(tmp_path / "t" / "-work-demo" / "b.jsonl"), new)
+    ingest.ingest_path(wh, "claude", str(tmp_path / "t"), 1)
+    border = wh.ledger().filter("session_id = 'new'").agg(F.min("ts_ms")).first()[0]
+    for _ in range(2):
+        ingest.trim(wh, border)
+        assert {r["session_id"] for r in wh.ledger().collect()} == {"new"} and wh.ledger().count() == 3
+        assert [r["session_id"] for r in wh.digests().collect()] == ["new"]
+        assert {r["session_id"] for r in wh.session_state().collect()} == {"new"}
+    ingest.ingest_path(wh, "claude", str(tmp_path / "t"), 2)
+    ingest.ingest_path(wh, "claude", str(tmp_path / "t"), 3, full_refresh=True)
+    assert wh.ledger().count() == 3
+    write(str(tmp_path / "t" / "-work-demo" / "a.jsonl"), [*old, record(40, "The old session goes on", session="old")])
+    ingest.ingest_path(wh, "claude", str(tmp_path / "t"), 4)
+    assert sorted(r["content"] for r in wh.ledger().filter("session_id = 'old'").collect()) == ["The old session goes on"]
