@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,9 +63,13 @@ def redact_run(df: DataFrame, order: str, column: str) -> DataFrame:
     """Redact a text column; the k-th distinct personal path over all rows, in the order of the unique column ``order``, becomes
     number k.
 
-    A path is counted once per row and deduplicated before it is ranked; what is joined back to a row is its list of numbers.
+    A path is counted once per row and deduplicated before it is ranked; what is joined back to a row is its list of numbers. The marked texts are stored,
+    as three jobs read them and the rules are the costly part.
     """
     marked = rd.number_paths(rd.redact_secrets(df, column), column, OPENING, CLOSING)
+    path = f"{shared_dir(df.sparkSession)}/redact-run-{uuid.uuid4().hex}"
+    marked.write.parquet(path)
+    marked = df.sparkSession.read.schema(marked.schema).parquet(path)
     uses = marked.select(order, F.posexplode(_identities("__paths")).alias("at", "path"))
     first_seen = uses.groupBy("path").agg(F.min(F.struct(order, "at")).alias("first"))
     numbers = global_rank(first_seen, "first", "number").select("path", "number")
