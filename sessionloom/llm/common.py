@@ -91,10 +91,10 @@ def slices(offsets: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = min(j, rows)
 
 
-def by_slice(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def by_slice(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(i, j, bytes, offsets)`` of each slice of a text column."""
     data, offsets = utf8(column)
-    for i, j in slices(offsets):
+    for i, j in slices(offsets, size):
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 

@@ -38,6 +38,7 @@ BANDS, ROWS = 12, 3
 DF_BUCKETS, DF_SLICES = 1 << 20, 128
 BLOCK, BLOCK_SHINGLES, PIVOTS = 256, 1 << 20, 16
 BROADCAST_KEYS = 1_000_000
+SLICE = 1 << 20  # bytes of text looked at at once
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +76,7 @@ def _slices(total: np.ndarray) -> Iterator[pa.RecordBatch]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(DF_BUCKETS, np.int64)
     for batch in batches:
-        for _, _, data, offsets in by_slice(batch.column(0)):
+        for _, _, data, offsets in by_slice(batch.column(0), SLICE):
             total += np.bincount(bucket(_distinct(*shingles(data, offsets))[0]), minlength=DF_BUCKETS)
     yield from _slices(total)
 
@@ -139,7 +140,7 @@ def signed(texts: DataFrame, idf: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in by_slice(batch.column(1)):
+            for i, j, data, offsets in by_slice(batch.column(1), SLICE):
                 hashes, first = shingles(data, offsets)
                 has = np.flatnonzero(np.diff(first))
                 if not len(has):
@@ -155,7 +156,7 @@ def signed(texts: DataFrame, idf: np.ndarray) -> DataFrame:
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace the text (last column) by its ordered shingles."""
     for batch in batches:
-        for i, j, data, offsets in by_slice(batch.column(batch.num_columns - 1)):
+        for i, j, data, offsets in by_slice(batch.column(batch.num_columns - 1), SLICE):
             hashes, first = shingles(data, offsets)
             raw = [hashes[a:b].tobytes() for a, b in zip(first, first[1:])]
             yield pa.RecordBatch.from_arrays([*(c[i:j] for c in batch.columns[:-1]), pa.array(raw, pa.binary())], names=["key", "grp", "payload"])
