@@ -115,11 +115,11 @@ def store_batch(
 ) -> None:
     """Records first, offsets after them.
 
-    Positions can only collide with batches that began and did not log their offsets (one that died, or this one on a retry),
-    so the anti join reads just their partitions, and there is none if all earlier batches ended well.
+    Positions can only collide with batches that began and did not log their offsets, or with this one on a retry, so the anti join reads just their
+    partitions, and there is none if all earlier batches ended well.
     """
     stored = warehouse.records().filter(F.col("tool") == tool)
-    unfinished = warehouse.first_unfinished(tool)
+    unfinished = warehouse.first_unfinished(tool, batch_id)
     warehouse.begin_batch(tool, batch_id)
     if full_refresh:
         normalized = _without_trimmed(incremental.not_yet_stored(normalized, stored), warehouse.trimmed())

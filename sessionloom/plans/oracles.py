@@ -351,6 +351,18 @@ WITH l AS (SELECT conv_id % 64 AS source, conv_id, turn, turn % 2 AS half,
 e AS (SELECT *, CAST(sum(n) OVER (PARTITION BY source ORDER BY half, conv_id, turn) AS BIGINT) AS end_offset FROM l)
 SELECT source, conv_id, turn, end_offset - n AS start_offset, end_offset, CAST(half + 1 AS INTEGER) AS piece FROM e"""
 
+ORACLES["partial_tail"] = """
+WITH l AS (SELECT conv_id % 64 AS source, conv_id, turn,
+                  strlen(conv_id || '|' || turn || '|' || role || '|' || replace(text, chr(10), ' ')) + 1 AS n FROM conversations WHERE turn % 2 = 0),
+e AS (SELECT *, CAST(sum(n) OVER (PARTITION BY source ORDER BY conv_id, turn) AS BIGINT) AS end_offset FROM l)
+SELECT source, conv_id, turn, end_offset - n AS start_offset, end_offset, reader FROM e, (VALUES ('scan'), ('tail')) r(reader)"""
+ORACLES["limited_reads"] = """
+SELECT conv_id % 64 % 4 AS source, count(*) AS n_lines, CAST(sum(strlen(conv_id || '|' || turn || '|' || role || '|' || text) + 1) AS BIGINT) AS n_bytes,
+       CAST(1 AS BIGINT) AS n_triggers, CAST(1 AS BIGINT) AS widest_trigger FROM conversations GROUP BY conv_id % 64 % 4"""
+ORACLES["dated_tree"] = f"""
+WITH l AS (SELECT strftime(make_timestamp(ts_ms * 1000), 'y=%Y/m=%m/d=%d/') AS day, strlen(session_id || '|' || role || '|' || content) + 1 AS n FROM ({PLAIN_SQL}))
+SELECT day, CAST(sum(n) AS BIGINT) AS size, count(*) AS n_records, CAST(sum(n) AS BIGINT) AS read_to FROM l GROUP BY day"""
+
 # -- normalisation --------------------------------------------------------------------------------------------------------------
 _SORTED = """CASE WHEN role = 'assistant' AND content LIKE '[{"type":"text"%' THEN
   '[{"text":"Planned step ' || turn || '. Is it done?","type":"text"},{"input":{"path":"src/f' || (conv % 9) || '.rs"},"name":"write_file","type":"tool_use"}]'
@@ -392,6 +404,14 @@ ORACLES["ledger_union"] = f"""WITH {_NUMBERED}, {_CLAUDE}, {_CODEX}, {_FLAT}, {_
   SELECT 'claude' AS tool, role, content, ts_ms FROM nc UNION ALL SELECT 'codex', role, content, ts_ms FROM nx
   UNION ALL SELECT 'codex', role, content, ts_ms FROM nh UNION ALL SELECT 'cursor', role, content, ts_ms FROM nf)
 SELECT tool, role, count(*) AS n_turns, CAST(sum(length(content)) AS BIGINT) AS n_chars, min(ts_ms) AS first_ms FROM u GROUP BY ALL"""
+ORACLES["history_ingest"] = f"""WITH {_NUMBERED}, {_CODEX}, {_PAST}
+SELECT 'rollouts' AS source_kind, session_id, ts_ms, role, content FROM nx UNION ALL SELECT 'history', session_id, ts_ms, role, content FROM nh"""
+ORACLES["signals_ingest"] = f"""WITH {_NUMBERED}, {_CLAUDE}, {_FLAT}
+SELECT 'claude' AS tool, (ts_ms // 1000) % 2 AS batch_id, session_id, ts_ms, role, content FROM nc
+UNION ALL SELECT 'cursor', 1, session_id, ts_ms, role, content FROM nf"""
+ORACLES["replayed_batch"] = f"""WITH {_NUMBERED}, {_CLAUDE},
+o AS (SELECT CAST(sum(e) AS BIGINT) AS read_to FROM (SELECT max(conv * 100 + turn + 1) AS e FROM l3 GROUP BY conv % 4))
+SELECT session_id, count(*) AS n_turns, CAST(sum(length(content)) AS BIGINT) AS n_chars, any_value(read_to) AS read_to FROM nc, o GROUP BY session_id"""
 ORACLES["history_dedupe"] = f"""WITH {_NUMBERED}, {_CODEX}, {_PAST}, u AS (
   SELECT session_id, role, content FROM nx UNION SELECT session_id, role, content FROM nh)
 SELECT role, count(*) AS n_turns, CAST(sum(length(content)) AS BIGINT) AS n_chars FROM u GROUP BY ALL"""
@@ -480,6 +500,15 @@ r AS (SELECT project, path, (epoch_us(as_of) - epoch_us(mtime)) // 1000000 AS ag
       FROM f, m WHERE mtime >= as_of - INTERVAL 6 HOUR AND path NOT LIKE 'target/%' AND path NOT LIKE 'a/b/c/d/e/f/g/%')
 SELECT project, CAST(rank AS INT) AS rank, '- ' || path || ' (' || CASE WHEN age < 60 THEN age || 's ago' WHEN age < 3600
        THEN (age // 60) || 'm ago' ELSE (age // 3600) || 'h ago' END || ')' AS line FROM r WHERE rank <= 15"""
+_AGED = f"""WITH {_TOUCHED}, l AS (SELECT max(mtime) AS last FROM f),
+b AS (SELECT *, last - INTERVAL 3 HOUR AS as_of, 0 AS batch FROM f, l WHERE mtime <= last - INTERVAL 3 HOUR
+      UNION ALL SELECT *, last, 1 FROM f, l WHERE project NOT IN ('proj0', 'proj3')),
+r AS (SELECT *, (epoch_us(as_of) - epoch_us(mtime)) // 1000000 AS age, row_number() OVER (PARTITION BY batch, project ORDER BY mtime DESC, path) AS rank
+      FROM b WHERE mtime >= as_of - INTERVAL 6 HOUR AND path NOT LIKE 'target/%' AND path NOT LIKE 'a/b/c/d/e/f/g/%'),
+k AS (SELECT *, max(batch) OVER (PARTITION BY project) AS newest FROM r)"""
+ORACLES["refreshed_activity"] = f"""{_AGED}
+SELECT project, CAST(rank AS INT) AS rank, '- ' || path || ' (' || CASE WHEN age < 60 THEN age || 's ago' WHEN age < 3600
+       THEN (age // 60) || 'm ago' ELSE (age // 3600) || 'h ago' END || ')' AS line FROM k WHERE batch = newest AND rank <= 15"""
 ORACLES["latest_source_per_project"] = f"""WITH {_TOUCHED},
 r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY mtime DESC, path DESC) AS n FROM f WHERE path LIKE '%.jsonl')
 SELECT project, path, mtime FROM r WHERE n = 1"""

@@ -15,7 +15,8 @@ from sessionloom.operators import activity, digest, distill, hooks, incremental,
 from sessionloom.plans import ingest, views
 from sessionloom.session import configure, shared_dir
 from sessionloom.sources import jsonl, tail
-from sessionloom.streaming import accumulate, live
+from sessionloom.streaming import accumulate, live, transcripts
+from sessionloom.streaming import signals as notices
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -516,6 +517,131 @@ def tail_stream(spark, sf):
     return _tail_rows(spark.read.parquet(f"{folder}/out"))
 
 
+@query
+def partial_tail(spark, sf):
+    """Every file ends inside a line, which neither reader gives out: the scan by Spark and the read from a byte on."""
+    at = tail.qualified(spark, _scratch(spark, "partial_tail"))
+    views.write_piece(views.growing_lines(spark, sf), at, 1)
+    readers = {"scan": jsonl.scan_path(spark, "claude", at, glob="*.txt"), "tail": tail.read_new(spark, "claude", at, None, "*.txt")}
+    scan, rest = (_tail_rows(raw.withColumn("piece", F.lit(1))).drop("piece").withColumn("reader", F.lit(name)) for name, raw in readers.items())
+    return scan.unionByName(rest)
+
+
+@query
+def limited_reads(spark, sf):
+    """A stream held to one byte a trigger, which takes a file each time: what every file gave and how many files the largest trigger took."""
+    folder, lines = _scratch(spark, "limited_reads"), views.growing_lines(spark, sf)
+    by_source = lines.select((F.col("source") % 4).alias("source"), "line").repartition("source").sortWithinPartitions("source")
+    by_source.write.option("lineSep", "\n").partitionBy("source").text(f"{folder}/in")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/trigger={batch_id}")
+
+    writer = transcripts.transcript_stream(spark, f"{folder}/in", "*.txt", max_bytes=1).writeStream.foreachBatch(keep)
+    writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    source = F.regexp_extract("source_path", "source=(\\d+)", 1).cast("bigint").alias("source")
+    found = spark.read.parquet(f"{folder}/out").select(source, "trigger", F.octet_length("line").alias("n"))
+    widest = found.groupBy("trigger").agg(F.count_distinct("source").alias("files")).agg(F.max("files").alias("widest_trigger"))
+    per_file = found.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("n") + 1).cast("bigint").alias("n_bytes"), F.count_distinct("trigger").alias("n_triggers")
+    )
+    return per_file.join(F.broadcast(widest))  # one row
+
+
+@query
+def dated_tree(spark, sf):
+    """A tree of sessions by year, month and day: the listing, and how far each file was read."""
+    folder = _scratch(spark, "dated_tree")
+    line = F.concat_ws("|", F.col("session_id"), "role", F.replace("content", F.lit("\n"), F.lit(" ")))
+    day = F.timestamp_millis("ts_ms")
+    dated = views.plain_ledger(spark, sf).select(
+        F.date_format(day, "yyyy").alias("y"), F.date_format(day, "MM").alias("m"), F.date_format(day, "dd").alias("d"), "ts_ms", line.alias("value")
+    )
+    ordered = dated.repartition("y", "m", "d").sortWithinPartitions("y", "m", "d", "ts_ms").drop("ts_ms")
+    ordered.write.option("lineSep", "\n").partitionBy("y", "m", "d").text(folder)
+    at = tail.qualified(spark, folder)
+    name = F.regexp_extract("source_path", "y=(\\d+)/m=(\\d+)/d=(\\d+)/", 0).alias("day")
+    listed = jsonl.list_sources(spark, at, "*.txt").select(name, "size")
+    read = tail.read_new(spark, "codex", at, None, "*.txt").groupBy(name).agg(F.count(F.lit(1)).alias("n_records"), F.max("end_offset").alias("read_to"))
+    return listed.join(read, "day", "left")
+
+
+@query
+def history_ingest(spark, sf):
+    """Rollouts and the prompt history of one tool as two sources of one warehouse, each with offsets of its own."""
+    folder = _scratch(spark, "history_ingest")
+    for name, raw in (("rollouts", views.event_records(spark, sf)), ("history", views.history_records(spark, sf))):
+        ordered = raw.repartition("source_path").sortWithinPartitions("source_path", "start_offset")
+        ordered.select(F.col("source_path").alias("file"), "line").write.option("lineSep", "\n").partitionBy("file").text(f"{folder}/{name}")
+    warehouse = ingest.open_warehouse(spark, f"{folder}/warehouse")
+    ingest.ingest_path(warehouse, "codex", f"{folder}/rollouts", 0, glob="*.txt")
+    ingest.ingest_path(warehouse, "codex", f"{folder}/history", 1, glob="*.txt", source_kind="codex_history")
+    return warehouse.ledger().select(
+        F.regexp_extract("source_path", "/(rollouts|history)/file=", 1).alias("source_kind"), "session_id", "ts_ms", "role", "content"
+    )
+
+
+@query
+def signals_ingest(spark, sf):
+    """Hook envelopes and watch events as two landed streams drive the ingest.
+
+    The first delivery names one tool; the second, after its transcripts grew, asks for a rescan, which reads every tool from the start and stores
+    nothing twice. ``batch_id`` tells which delivery brought a turn.
+    """
+    folder = _scratch(spark, "signals_ingest")
+    warehouse = ingest.open_warehouse(spark, f"{folder}/warehouse")
+    ours = views.json_records(spark, sf).withColumn("late", (F.col("start_offset") % 2 == 1).cast("int"))
+    views.flat_records(spark, sf).select("line").write.option("lineSep", "\n").text(f"{folder}/cursor")
+    posted = _envelopes(spark, sf).drop("event_id").withColumns({"extra": F.create_map().cast("map<string,string>"), "ts": F.lit("2024-01-01T00:00:00Z")})
+    e = views.table(spark, sf, "events")
+    seen = e.select(
+        F.lit("cursor").alias("tool"), F.when(F.col("event_id") % 50 == 0, "").otherwise(F.col("event_type")).alias("path"),
+        F.when(F.col("event_type") == "view", "access").otherwise("modify").alias("kind"), F.lit("2024-01-01T00:00:00Z").alias("ts"),
+        (F.col("event_id") % 50 == 0).alias("rescan"),
+    )
+    deliveries = (
+        (posted.where("tool in ('claude', 'vim')"), seen.where("kind = 'access' and not rescan")),
+        (posted, seen),
+    )
+    for late, (hook, watch) in enumerate(deliveries):
+        ours.where(F.col("late") == late).select("line").write.mode("append").option("lineSep", "\n").text(f"{folder}/claude")
+        hook.write.mode("append").json(f"{folder}/hooks")
+        watch.write.mode("append").json(f"{folder}/watched")
+        stream = notices.signals(
+            notices.hook_stream(spark, f"{folder}/hooks"),
+            spark.readStream.schema("tool string, path string, kind string, ts timestamp, rescan boolean").json(f"{folder}/watched"),
+        )
+        roots = {tool: f"{folder}/{tool}" for tool in ("claude", "cursor")}
+        transcripts.ingest_on_signals(warehouse, stream, roots, f"{folder}/state", glob="*.txt", available_now=True).awaitTermination()
+    return warehouse.records().where("status = 'ok'").select("tool", "batch_id", "session_id", "ts_ms", "role", "content")
+
+
+@query
+def replayed_batch(spark, sf):
+    """A batch that died between its records and its offsets, replayed under its id, and replayed once more when it had ended."""
+    warehouse = ingest.open_warehouse(spark, _scratch(spark, "replayed_batch"))
+    raw = views.json_records(spark, sf)
+    warehouse.begin_batch("claude", 0)
+    warehouse.append_records(normalize.normalize_claude(raw.where("end_offset % 3 = 0")), 0)
+    for _ in range(2):
+        ingest.store_batch(warehouse, normalize.normalize_claude(raw), "claude", 0)
+    turns = warehouse.ledger().groupBy("session_id").agg(F.count(F.lit(1)).alias("n_turns"), F.sum(F.length("content")).alias("n_chars"))
+    read = incremental.current_offsets(warehouse.offset_log()).agg(F.sum("byte_offset").alias("read_to"))
+    return turns.join(F.broadcast(read))  # one row
+
+
+@query
+def refreshed_activity(spark, sf):
+    """Batches without turns refresh the file activity; a project that has none now keeps its last."""
+    warehouse = ingest.open_warehouse(spark, _scratch(spark, "refreshed_activity"))
+    files = views.event_files(spark, sf)
+    last = files.agg(F.max("mtime")).scalar()
+    earlier = last - F.expr("interval 3 hours")
+    ingest.digest_batch(warehouse, "claude", 0, files.where(F.col("mtime") <= earlier), earlier)
+    ingest.digest_batch(warehouse, "claude", 1, files.where("project not in ('proj0', 'proj3')"), last)
+    return warehouse.activity()
+
+
 @query
 def ingest_digests(spark, sf):
     """End to end: records written as JSON lines, ingested into a new warehouse, the stored digests read back."""

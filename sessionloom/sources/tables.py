@@ -49,11 +49,12 @@ class Warehouse:
     def end_batch(self, tool: str, batch_id: int) -> None:
         self._mark(tool, batch_id, "done")
 
-    def first_unfinished(self, tool: str) -> int | None:
-        """Lowest id of the batches that began but whose offsets were never logged; one value."""
+    def first_unfinished(self, tool: str, batch_id: int | None = None) -> int | None:
+        """Lowest id of the batches that began but whose offsets were never logged, or of ``batch_id`` if it began before, ended or not: a stream may
+        repeat a batch whose end it did not get to note. One value."""
         steps = self._read("batches", self._BATCHES).filter(F.col("tool") == tool)
-        done = steps.filter("step = 'done'").select("batch_id")
-        return steps.join(done, "batch_id", "left_anti").agg(F.min("batch_id")).first()[0]
+        ended = steps.filter((F.col("step") == "done") & ~F.col("batch_id").eqNullSafe(F.lit(batch_id))).select("batch_id")
+        return steps.join(ended, "batch_id", "left_anti").agg(F.min("batch_id")).first()[0]
 
     # -- records -----------------------------------------------------------------------------------------------------------
     def records(self) -> DataFrame:

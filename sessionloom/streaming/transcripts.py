@@ -54,7 +54,7 @@ def start_tail_ingest(
 
 
 def ingest_on_signals(
-    warehouse: Warehouse, signals: DataFrame, roots: dict[str, str], checkpoint: str, *, available_now: bool = False
+    warehouse: Warehouse, signals: DataFrame, roots: dict[str, str], checkpoint: str, *, glob: str = "*.jsonl", available_now: bool = False
 ) -> StreamingQuery:
     """Entry of hook and watch notifications: a batch of signals reads what is new for the tools it names.
 
@@ -70,7 +70,7 @@ def ingest_on_signals(
         named = {r["tool"] for r in batch.filter(F.col("tool").isin(order)).select("tool").distinct().collect()}
         for tool in order:
             if rescan or tool in named:
-                ingest.ingest_path(scoped, tool, roots[tool], batch_id, full_refresh=rescan)
+                ingest.ingest_path(scoped, tool, roots[tool], batch_id, full_refresh=rescan, glob=glob)
 
     writer = signals.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")
