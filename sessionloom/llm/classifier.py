@@ -1,12 +1,15 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are labelled rows, everything else is unlabelled web text; the share of positives in it (the class prior) is estimated from
-all label rows that may be seen. A linear model over byte and word statistics minimises the non-negative unbiased risk
+Trusted positives are rows labelled 1, all documents are unlabelled web text; labels of 0 are not used. A linear model over byte and word statistics minimises the non-negative unbiased risk
 
     prior * R_positive(+)  +  max(0, R_unlabelled(-) - prior * R_positive(-)),
 
-and where the second part falls below zero, the step undoes the overfit instead. The fit uses at most ``POSITIVES`` and ``UNLABELLED`` rows
-(the smallest hashes of the id), of which only the features reach the driver; label counts and scores cover all rows and whole texts.
+and where the second part falls below zero, the step undoes the overfit instead. The prior, the share of positives in the web text, is estimated
+from the same two samples (``class_prior``): above a score of a model that tells them apart, the share of unlabelled rows is at least the prior times
+that of positives, so the least such ratio, where both shares are certain enough, is the estimate.
+
+The fit uses at most ``POSITIVES`` and ``UNLABELLED`` ids (the smallest hashes), one row each (of rows that share an id the one with the least features);
+only the features reach the driver. Scores cover all rows and whole texts.
 
 Labels, language, source and id are never features. A null id is not held out and not sampled. Null and empty texts have features of their own
 and a score. Without any positive label every score is 0.5. Repeated rows give repeated results, an empty table gives an empty one.
@@ -26,6 +29,7 @@ from sessionloom.llm.quality import base_counts
 POSITIVES, UNLABELLED = 4000, 8000
 STEPS, BATCH, RATE, DECAY = 3000, 512, 0.01, 1e-4
 SLACK = 0.0
+DOUBT = 0.1  # chance that the bounds of the prior's estimate allow for
 
 _UPPER = np.zeros(256, np.uint8)
 _UPPER[65:91] = 1
@@ -93,10 +97,25 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Linear:
     return model
 
 
-def class_prior(labels: DataFrame) -> float | None:
-    """Share of positives among the label rows that may be seen, kept off the ends; None without positives."""
-    row = labels.agg(F.count_if(F.col("quality") == 1).alias("p"), F.count("quality").alias("n")).first()
-    return float(np.clip(row.p / row.n, 0.05, 0.95)) if row.p else None
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among unlabelled rows, kept off the ends; 0.5 where a sample has less than two rows.
+
+    Each half of the samples is scored by a model of the other half. Of all scores the one counts whose ratio of shares above it has the least upper
+    bound: further up few rows are left, and the ratio is noise.
+    """
+    found = []
+    for k in (0, 1):
+        (p, q), (u, v) = (positive[k::2], positive[1 - k :: 2]), (unlabelled[k::2], unlabelled[1 - k :: 2])
+        if not (len(p) and len(q) and len(u) and len(v)):
+            return 0.5
+        model = fit(p, u, 0.5)
+        known, web = np.sort(model.score(q)), np.sort(model.score(v))
+        at = np.unique(known)
+        of_known, of_web = 1 - np.searchsorted(known, at) / len(known), 1 - np.searchsorted(web, at) / len(web)
+        bound = of_web + sum(np.sqrt(np.log(4 / DOUBT) / (2 * n)) for n in (len(known), len(web)))
+        best = np.argmin(bound / of_known)
+        found.append(of_web[best] / of_known[best])
+    return float(np.clip(np.mean(found), 0.05, 0.95))
 
 
 def feature_rows(docs: DataFrame) -> DataFrame:
@@ -110,20 +129,26 @@ def feature_rows(docs: DataFrame) -> DataFrame:
     return extend(docs, [T.StructField("text", T.ArrayType(T.FloatType()))], make)
 
 
+def sampled(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> DataFrame:
+    """``(doc_id, trusted, text)``, ``text`` being features: one row for each id of the two samples, however many rows have it."""
+    ids = lambda df, n: df.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    wanted = ids(labels.where("quality = 1"), positives).withColumn("trusted", F.lit(True)).unionByName(ids(docs, unlabelled).withColumn("trusted", F.lit(False)))
+    met = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("doc_id", "trusted", "text")  # broadcast: two bounded samples
+    return feature_rows(met).groupBy("doc_id", "trusted").agg(F.min("text").alias("text"))
+
+
 def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Linear | None:
     """Fit on ``docs(doc_id, text)`` and ``labels(doc_id, quality)`` that hold no row to be judged."""
-    prior = class_prior(labels)
-    if prior is None:
+    if labels.where("quality = 1").isEmpty():
         return None
-    ids = lambda df, n: df.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    wanted = ids(labels.where("quality = 1"), positives).withColumn("trusted", F.lit(True)).unionByName(ids(docs, unlabelled).withColumn("trusted", F.lit(False)))
-    rows = feature_rows(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("text", "trusted"))  # broadcast: two bounded samples
-    found = rows.toArrow()
+    found = sampled(docs, labels, positives, unlabelled).toArrow()
     trusted = found["trusted"].to_numpy()
     x = np.array(found["text"].to_pylist(), np.float32).reshape(len(trusted), FEATURES)
     x = x[order := np.lexsort([*x.T[:3], trusted])]
     trusted = trusted[order]
-    return fit(x[trusted], x[~trusted], prior) if trusted.any() and not trusted.all() else None
+    if not trusted.any() or trusted.all():
+        return None
+    return fit(x[trusted], x[~trusted], class_prior(x[trusted], x[~trusted]))
 
 
 def predict(docs: DataFrame, model: Linear | None, text: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 """Positive-unlabelled classifier: risk on a toy problem, held-out quality, odd rows."""
 
 import numpy as np
+import pytest
 from conftest_llm import SF
 
 from sessionloom.llm import classifier
@@ -15,6 +16,24 @@ def test_fit_separates_the_unlabelled():
     assert (model.score(good) >= 0.5).mean() > 0.95 and (model.score(bad) < 0.5).mean() > 0.95
 
 
+@pytest.mark.parametrize("prior", [0.15, 0.5, 0.85])
+@pytest.mark.parametrize("n", [200, 2000])
+def test_prior_is_that_of_the_unlabelled(prior, n):
+    """Whatever share of the positives is trusted: the estimate knows two samples only."""
+    rng = np.random.default_rng(3)
+    good = rng.random(2 * n) < prior
+    web = np.where(good[:, None], rng.normal(1.5, 1, (2 * n, 4)), rng.normal(-1.5, 1, (2 * n, 4)))
+    assert abs(classifier.class_prior(rng.normal(1.5, 1, (n, 4)), web) - prior) < 0.08
+
+
+def test_one_row_an_id_reaches_the_driver(spark):
+    df = spark.range(5000).selectExpr("id % 2 AS doc_id", "concat('text ', id) AS text")
+    labels = spark.createDataFrame([(1, 1)] * 50, "doc_id long, quality int")
+    rows = classifier.sampled(df, labels, 1, 2).collect()
+    assert sorted((r.doc_id, r.trusted) for r in rows) == [(0, False), (1, False), (1, True)]
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, classifier.sampled(df.orderBy("text"), labels, 1, 2).collect()))
+
+
 def test_held_out(spark):
     rows = classifier.op9_quality_classifier(spark, LARGER)
     truth = spark.read.parquet(f"{LARGER}/labels.parquet")
