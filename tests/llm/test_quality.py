@@ -68,3 +68,16 @@ def test_bands_reject_noise(spark):
     assert kept == {i for i, _, _ in good}
     assert quality.quality_filter(df).columns == df.columns
     assert quality.quality_filter(df.limit(0)).count() == 0
+
+
+def test_models_beyond_a_broadcast_are_whole(spark):
+    df = spark.createDataFrame([(i, t, "xx" if i % 29 == 0 else None if i % 7 == 0 else "en") for i, t in documents(spark) + [(10**6, None), (5, "again " * 20)]], "doc_id long, text string, lang string")
+
+    def found(most):
+        rows = quality.judged(quality.own_scores(df, most=most)(df)).collect()
+        return sorted(((r.doc_id, r.text or "", r.n_bytes, r.kept, r.base_failed) for r in rows)), sorted((r.doc_id, r.text or "", r.log_probability) for r in rows)
+
+    whole, cut = found(10**9), found(3000)
+    assert cut[0] == whole[0] and len(whole[0]) == df.count()
+    assert all(a[:2] == b[:2] and abs(a[2] - b[2]) <= 1e-3 + 1e-5 * abs(a[2]) for a, b in zip(whole[1], cut[1]))
+    assert sorted(r.doc_id for r in quality.quality_filter(df, most=3000).collect()) == sorted(d for d, *_, kept, _ in whole[0] if kept)
