@@ -40,6 +40,8 @@ _ODD = re.compile("[\x1c-\x1f]")
 _BLANKS = re.compile("[\t-\r \x85\xa0  -     　]+")
 # A word of Latin letters and the marks behind it: two pre-tokens whatever their case.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*%$&#]*)")
+# A mark between a letter and a blank: a part of its own, so that a word is known whatever follows it.
+_MARK = re.compile(r"(?<=[a-zß-öø-ÿ])[.,](?=[ \n])")
 
 
 class Encoder:
@@ -54,35 +56,43 @@ class Encoder:
         self.model = self.tokenizer.model
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.parts: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the parts before these; those still in use are taken over
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _word(self, low: str) -> bytes:
-        found = self.words.get(low)
-        if found is None:
-            if len(self.words) >= MOST_CACHED:
-                self.words.clear()
-            piece = self.bytes.pre_tokenize_str(low)[0][0]
-            found = self.words[low] = np.array([t.id for t in self.model.tokenize(piece)], self.kind).tobytes()
-        return found
-
     def _part(self, part: str) -> bytes:
         if not part:
             return b""
+        found = self.older.get(part)
+        if found is None:
+            if simple := _SIMPLE.fullmatch(part):
+                word, marks = simple.groups()
+                low = word.lower()
+                if low == part:
+                    piece = low if low.isascii() else self.bytes.pre_tokenize_str(low)[0][0]  # letters of ASCII stand for themselves
+                    found = np.array([t.id for t in self.model.tokenize(piece)], self.kind).tobytes()
+                else:
+                    found = (self.parts.get(low) or self._part(low)) + self._part(marks)
+            else:
+                found = self._whole(part)
         if len(self.parts) >= MOST_CACHED:
-            self.parts.clear()
-        if simple := _SIMPLE.fullmatch(part):
-            word, marks = simple.groups()
-            found = self._word(word.lower()) + (self._part(marks) if marks else b"")
-        else:
-            found = self._whole(part)
+            self.older, self.parts = self.parts, {}
         self.parts[part] = found
         return found
 
+    @staticmethod
+    def _plain(text: str) -> str:
+        """The same ids from fewer different parts. Beyond Latin-1 and beside special tokens, case folding is left to the tokenizer."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text if "<|" in text else _MARK.sub(r" \g<0>", text.lower())
+
     def __call__(self, text: str) -> bytes:
+        text = self._plain(text) if text else ""
         found = (_BLANKS.split(text) if _ODD.search(text) else text.split()) if text else []
         known = self.parts.get
         return b"".join([known(p) or self._part(p) for p in found])

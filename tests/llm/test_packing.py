@@ -29,6 +29,14 @@ def test_parts_give_the_ids_of_the_whole(spark):
             packing.MOST_CACHED = kept
 
 
+def test_marks_and_capitals_make_no_parts_of_their_own():
+    make, odd = packing.Encoder(PATH), ["a, b. c.\nd,\te,. f", "it's, x's. İ, ß. ÀÉ, µ. x.", "<|ENDOFTEXT|>, a <|endoftext|>. B", "A1, b2. 3, ), x\x85, y.\x1cz, ª, º.", "É, \xad. \xa0a, ", "DON'T, WE'LL. 'S, a'LL "]
+    assert [np.frombuffer(make(t), make.kind).tolist() for t in odd] == whole(odd)
+    make = packing.Encoder(PATH)
+    make("Word word, word. WORD, Word. word ")
+    assert set(make.parts) == {"word", ",", "."}
+
+
 def test_curve_steps_to_neighbours():
     grid = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     keys = packing.hilbert(grid, 3)
