@@ -25,10 +25,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import by_slice, digest, longs, mix, span_hashes, utf8, written
+from sessionloom.llm.common import by_slice, digest, longs, mix, span_hashes, written
 
-HOT = 8192
-CHUNK_BYTES = 12 << 20
+HOT = 1 << 17  # some 32 MB packed
+CHUNK_BYTES = 6 << 20
+HASHED_BYTES = 1 << 20  # packed bytes hashed at once: some forty bytes each
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -182,8 +183,8 @@ def _bucket_repeats(units: Units):
 
 def distinct_packs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One row per distinct super-window, which of them each row is, and how many rows are like it."""
-    data, offsets = utf8(table.column("payload").combine_chunks())
-    prints = span_hashes(data, offsets[:-1], offsets[1:])
+    payload = table.column("payload").combine_chunks()
+    prints = np.concatenate([np.zeros(0, np.uint64), *(span_hashes(data, offsets[:-1], offsets[1:]) for _, _, data, offsets in by_slice(payload, HASHED_BYTES))])
     hashes = table.column("hash").to_numpy().astype(np.uint64)
     both = mix(hashes) + prints
     _, first, which, n = np.unique(both, return_index=True, return_inverse=True, return_counts=True)

@@ -18,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm.common import longs, mix, runs_of_words, span_hashes, strings, table, utf8, words
-from sessionloom.llm.repeats import Units, distinct_packs, removed, runs, with_repeats
+from sessionloom.llm.common import longs, mix, runs_of_words, slices, span_hashes, strings, table, utf8, words
+from sessionloom.llm.repeats import HASHED_BYTES, Units, distinct_packs, removed, runs, with_repeats
 
 WINDOW, GRAM = 35, 5
 
@@ -70,7 +70,8 @@ def _bucket(packs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(several):  # buckets with different strings: count their windows
         data, offsets = utf8(packs.column("payload").combine_chunks().take(pa.array(first[several])))
         starts, ends, at = words(data, offsets)
-        ids = span_hashes(data, starts, ends)
+        parts = [(slice(at[i], at[j]), offsets[i], offsets[j]) for i, j in slices(offsets, HASHED_BYTES)]
+        ids = np.concatenate([span_hashes(data[a:b], starts[k] - a, ends[k] - a) for k, a, b in parts])
         counts = np.diff(at) - WINDOW + 1
         owner = np.repeat(np.arange(len(several)), counts)
         place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)

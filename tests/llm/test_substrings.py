@@ -3,8 +3,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import SF, documents
 
@@ -63,3 +66,18 @@ def test_equals_counting_all(spark, monkeypatch, hot):
 def test_query(spark):
     got = [tuple(r) for r in substrings.op4_substring_dedup(spark, SF).collect()]
     assert sorted(got, key=str) == brute(documents(spark))
+
+
+def test_buckets_are_hashed_in_little_memory():
+    rng = np.random.default_rng(5)
+    many = [b" ".join(b"%d" % x for x in rng.integers(0, 1000, 40)) for _ in range(50)]
+    payload = [many[k] for k in rng.integers(0, 50, 50_000)]  # some 8 MB
+    rows = len(payload)
+    packs = pa.table({"hash": np.full(rows, 7), "key": pa.array([b"k"] * rows, pa.binary()), "payload": pa.array(payload, pa.binary())})
+    repeats.distinct_packs(packs.slice(0, 10))  # makes the tables of powers
+    tracemalloc.start()
+    first, which, n = repeats.distinct_packs(packs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(first) == 50 and n.sum() == rows and all(payload[first[k]] == p for k, p in zip(which.tolist(), payload))
+    assert peak < 100 << 20
