@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sessionloom.operators import activity, digest, distill, incremental, kv, normalize, progress, project
 from sessionloom.operators.hooks import resolve_project
 from sessionloom.operators.sizes import broadcast_if_small
-from sessionloom.session import configure, shared_dir
+from sessionloom.session import configure, drop_folder, shared_dir
 from sessionloom.sources import documents, jsonl, tail
 from sessionloom.sources.tables import Warehouse
 
@@ -220,6 +220,7 @@ def ingest_kv(warehouse: Warehouse, documents: DataFrame, batch_id: int) -> None
     if "store" not in documents.columns:
         documents = documents.withColumn("store", F.lit(""))
     documents, oversized = kv.split_oversized(documents)
+    documents, staged = _stage_documents(warehouse, documents)
     seen = warehouse.workspace_state()
     prompts = kv.workspace_prompts(documents, seen).select(
         F.lit("cursor").alias("tool"),
@@ -245,9 +246,19 @@ def ingest_kv(warehouse: Warehouse, documents: DataFrame, batch_id: int) -> None
     warehouse.append_records(rows, batch_id)
     warehouse.append_workspace_state(state, batch_id)
     warehouse.end_batch("cursor", batch_id)
+    drop_folder(warehouse.spark, staged)
     digest_batch(warehouse, "cursor", batch_id)
 
 
+def _stage_documents(warehouse: Warehouse, documents: DataFrame) -> tuple[DataFrame, str]:
+    """The documents that are read, written once to a folder per key: the steps of a batch look at them up to ten times, each at one key, and what
+    made them may be costly. Also the folder, to be removed at the end of the batch."""
+    path = f"{shared_dir(warehouse.spark)}/kv-{uuid.uuid4().hex}"
+    kept = documents.where(F.col("key").isin(*kv.KEYS)).select(*[c for c in documents.columns if c != "key"], "key")
+    kept.write.partitionBy("key").parquet(path)
+    return warehouse.spark.read.schema(kept.schema).parquet(path), path
+
+
 def _legacy_rows(documents: DataFrame, stored: DataFrame) -> DataFrame:
     """Turns of stores without composer headers whose record ids are not stored yet for their store and key.
 
@@ -255,11 +266,13 @@ def _legacy_rows(documents: DataFrame, stored: DataFrame) -> DataFrame:
     tell what was read; a document is always given whole, and stored ids are looked at for the sources of this batch only. A message without an id of
     its own is known by its content.
     """
-    current = documents.filter(F.col("key") == kv.HEADERS_KEY).select("store").distinct()
+    # A row per store; without the broadcast the documents of a store would meet in one task.
+    current = broadcast_if_small(documents.filter(F.col("key") == kv.HEADERS_KEY).select("store").distinct())
     turns = kv.legacy_turns(documents.join(current, "store", "left_anti"))
     named = F.when(F.startswith("msg_id", F.lit(":")), F.concat("msg_id", F.lit("#"), F.md5("content"))).otherwise(F.col("msg_id"))
     rows = turns.withColumns({"source_path": F.concat_ws("/", "store", F.lit("legacy"), "source_key"), "msg_id": named})
-    sources = broadcast_if_small(rows.select("source_path").distinct())  # a row per store and key
+    # A row per store and key, known without parsing a document.
+    sources = broadcast_if_small(documents.select(F.concat_ws("/", "store", F.lit("legacy"), "key").alias("source_path")).distinct())
     known = stored.filter(F.contains("source_path", F.lit("/legacy/"))).join(sources, "source_path", "left_semi")
     fresh = rows.join(known.select("source_path", F.col("record_uuid").alias("msg_id")), ["source_path", "msg_id"], "left_anti")
     return fresh.select(

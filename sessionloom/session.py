@@ -36,3 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
     made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of a batch's own, by the file system that Spark resolves it to."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -154,3 +154,30 @@ def test_growing_composer_loses_no_message(spark, tmp_path):
         ingest.ingest_kv(wh, documents(counts), batch)
     said = sorted(r.content for r in wh.ledger().collect())
     assert said == sorted([f"b {i}" for i in range(13)] + [f"a {i}" for i in range(2)] + [f"no id {i}" for i in range(4)] + [f"re {i}" for i in range(4)])
+
+
+def test_documents_are_computed_once(spark, tmp_path):
+    """A batch makes its documents once, however many steps look at them, and leaves no copy of them; documents of a store lie in many tasks."""
+    import os
+
+    from sessionloom.session import shared_dir
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    said = '{"composers":[{"composerId":"c%d","sessionId":"s%d","messages":[{"role":"user","content":"hello %d"}]}]}'
+    rows = [(None, kv.COMPOSER_DATA_KEY, said % (i, i, i)) for i in range(40)] + [(None, "other.key", "{}"), (None, None, "{}")]
+    schema = "workspace_id string, key string, value string"
+    documents = spark.createDataFrame(rows, schema).mapInArrow(count, schema)
+    wh = ingest.open_warehouse(spark, str(tmp_path / "wh"))
+    ingest.ingest_kv(wh, documents, 0)
+    assert made.value == len(rows)
+    assert wh.ledger().count() == 40
+    ingest.ingest_kv(wh, documents, 1)
+    assert made.value == 2 * len(rows)
+    assert wh.ledger().count() == 40
+    assert not [f for f in os.listdir(shared_dir(spark).removeprefix("file://")) if f.startswith("kv-")]
