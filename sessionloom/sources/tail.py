@@ -29,7 +29,7 @@ from sessionloom.operators.sizes import broadcast_if_small
 from sessionloom.schemas import RAW
 
 SPLIT_BYTES = 64 << 20
-CHUNK = 4 << 20
+CHUNK = 1 << 20  # a task holds a few copies of it: as read, joined, cut into lines, as Arrow columns
 BATCH_LINES = 10_000
 SAFE = "/!$&'()*+,;=:@~"  # what a path of Spark's leaves as it is
 _ROWS = "source_path string, range_begin bigint, start_offset bigint, end_offset bigint, line binary"

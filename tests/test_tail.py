@@ -159,3 +159,23 @@ def test_stream_ingest_of_a_growing_rollout(spark, tmp_path):
         job.awaitTermination()
     ledger = warehouse.ledger().collect()
     assert sorted(r.content for r in ledger) == sorted(f"m{i}" for i in range(30)) and {r.session_id for r in ledger} == {"s"}
+
+
+def test_a_range_is_read_in_bounded_memory(tmp_path):
+    """What a task holds does not grow with its range: some copies of a chunk of a megabyte."""
+    import tracemalloc
+
+    path = tmp_path / "long.jsonl"
+    line = b'{"text":"' + b"x" * 600 + b'"}\n'
+    n = 40_000
+    path.write_bytes(line * n)
+    with tail._File(path.as_uri()) as file:
+        assert sum(b.num_rows for b in tail._lines(file, "long", 0, len(line), False)) == 1  # what is imported at first use
+        tracemalloc.start()
+        try:
+            read = sum(b.num_rows for b in tail._lines(file, "long", 0, n * len(line), True))
+            peak = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+    assert read == n
+    assert peak < 8 << 20
