@@ -203,7 +203,9 @@ def extend_logs(warehouse: Warehouse, tool: str, batch_id: int) -> None:
     turns = with_projects(_batch_turns(warehouse, tool, batch_id), offsets)
     order = F.struct(F.lit(batch_id).cast("bigint").alias("batch_id"), "ts_ms", "source_path", "end_offset")
     entries = distill.progress_entries(turns).select("project", "entry", order.alias("ord"))
-    warehouse.append_progress(progress.merge_progress(warehouse.progress_ends(entries), entries), tool, batch_id)
+    # The projects of all turns, found without looking at a text, are those of the entries and perhaps some more.
+    ends = warehouse.progress_ends(turns.select("project").distinct())
+    warehouse.append_progress(progress.merge_progress(ends, entries), tool, batch_id)
 
     times = turns.groupBy("session_id").agg(F.max("ts_ms").alias("ts_ms"))
     digests = warehouse.digest_log().filter((F.col("tool") == tool) & (F.col("batch_id") == batch_id)).join(times, "session_id")

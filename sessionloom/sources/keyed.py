@@ -73,16 +73,21 @@ class KeyedTable:
             pairs = [F.lit(x) for pair in sorted(newest.items()) for x in pair]
             version = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("bucket")), F.lit(0))
         placed = rows.withColumn("writer", F.lit(writer)).withColumn("bucket", self._bucket()).withColumn("v", version)
-        placed.repartition("bucket").write.mode("append").partitionBy("writer", "bucket", "v").parquet(self.path)
+        # A bucket is a file of one task; the number is given, or a small append would be coalesced to one task that writes all files in turn.
+        tasks = min(self.buckets, self.spark.sparkContext.defaultParallelism)
+        placed.repartition(tasks, "bucket").write.mode("append").partitionBy("writer", "bucket", "v").parquet(self.path)
         for bucket in self._crowded(writer):
             self._fold_bucket(writer, bucket)
 
     def _crowded(self, writer: str) -> list[int]:
-        found = self._current(self.versions(), None, writer)
+        newest = {b: v[-1] for (w, b), v in self.versions().items() if w == writer}
         counts: dict[int, int] = {}
-        for name in [] if found is None else found.inputFiles():  # most_files + 1 per bucket, about
-            bucket = int(name.split("/bucket=")[1].split("/")[0])
-            counts[bucket] = counts.get(bucket, 0) + 1
+        listed = self._files().globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/writer={writer}/bucket=*/v=*/*.parquet"))
+        for status in listed or []:  # most_files + 1 per bucket, about, and those of the version before
+            version = status.getPath().getParent()
+            bucket = int(version.getParent().getName().removeprefix("bucket="))
+            if version.getName() == f"v={newest.get(bucket)}":
+                counts[bucket] = counts.get(bucket, 0) + 1
         return sorted(b for b, n in counts.items() if n > self.most_files)
 
     def _fold_bucket(self, writer: str, bucket: int) -> None:

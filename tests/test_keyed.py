@@ -77,3 +77,11 @@ def test_many_batches_equal_one(spark, tmp_path, monkeypatch):
     assert rows(many.progress_log().select("project", "entry")) == rows(one.progress_log().select("project", "entry"))
     assert {r.value for r in one.history().collect()} <= {r.value for r in many.history().collect()}
     assert any(v[-1] for v in many._session_state().versions().values())
+
+
+def test_the_buckets_of_a_small_append_are_written_by_several_tasks(spark, tmp_path):
+    kept = table(spark, tmp_path / "t", buckets=16)
+    kept.append(spark.createDataFrame([(f"k{n}", n) for n in range(200)], SCHEMA), "w")
+    files = kept.read().inputFiles()
+    assert len(files) == len({f.split("/bucket=")[1].split("/")[0] for f in files}) == 16  # still a file a bucket
+    assert len({f.rsplit("/", 1)[1][:10] for f in files}) > 1
