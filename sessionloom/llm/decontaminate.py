@@ -5,14 +5,15 @@ its shingles, weighted by how often they occur, have a Jaccard similarity of ``S
 
 1. A similarity of 0.8 takes that share of the shingles of the item at the least. So a window is cut at every start, at the length of some item,
    where so many of its shingles occur in items of that length. This leaves out nothing that could pass. Places of shared shingles are gathered
-   by the digest of the text, and a second scan cuts the few windows, which leave it as arrays of shingle hashes.
+   by the digest of the text, and a second scan cuts the few windows, as slices of the shingle hashes of the text.
 2. Every window and item gets a 64-bit SimHash. Items are listed under all values of each of ``BLOCKS`` blocks that differ in at most
    ``RADIUS // BLOCKS`` bits: two fingerprints within ``RADIUS`` bits agree so in one block at least, hence the join on (length, block, value)
    finds all of them. At a similarity of 0.8 two fingerprints differ in 9.7 bits on average, with a deviation of 2.9.
 3. Pairs within the radius are verified exactly.
 
 The shingles of the items are broadcast only if the items hold at most ``BROADCAST_WORDS`` words in all, and the starts of windows if there are at
-most ``BROADCAST_STARTS``; else Spark shuffles. Nothing else of the documents is broadcast, and equal fingerprints meet items, never each other.
+most ``BROADCAST_STARTS``; else Spark shuffles. Texts are shuffled only if a bit of their digest is marked (``marked``): the marks are broadcast and of a
+bounded size. Nothing else of the documents is broadcast, and equal fingerprints meet items, never each other.
 
 Null and empty texts are clean; items of fewer than five words are never found. A null key is reported as null. Repeated documents or
 items give the same pairs once. Empty tables give no pairs. Other columns are ignored by the search and kept by the filter.
@@ -30,6 +31,7 @@ SIMILARITY = 0.8
 RADIUS, BLOCKS, BITS = 19, 5, 64
 BROADCAST_WORDS = 2_000_000
 BROADCAST_STARTS = 500_000
+MARK_BITS = 24  # at most 2^18 rows of 64 marks
 
 
 def words(text: str) -> Column:
@@ -106,15 +108,27 @@ def starts(docs: DataFrame, items: DataFrame, text: str) -> DataFrame:
     return every.groupBy("digest").agg(F.collect_list(F.struct("n", "start")).alias("cuts"))
 
 
+def marked(df: DataFrame, digests: DataFrame, by: str) -> DataFrame:
+    """Add ``marked``: true for each row whose digest ``by`` is one of some, and for few others."""
+    place = F.xxhash64(by).bitwiseAND(F.lit((1 << MARK_BITS) - 1))
+    word, bit = F.shiftrightunsigned(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+    marks = digests.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("marks"))
+    met = df.withColumns({"word": word, "bit": bit}).join(F.broadcast(marks), "word", "left")
+    return met.withColumn("marked", F.coalesce(F.bit_get("marks", F.col("bit")), F.lit(0)) == 1).drop("word", "bit", "marks")
+
+
 def windows(docs: DataFrame, items: DataFrame, key: Column, text: str) -> DataFrame:
     """``(key, n, start, hashes)``: windows of ``n`` words, fewer at an end of the text, that may reach the similarity with an item of that length."""
     wanted = written(starts(docs, items, text), "starts")
+    texts = docs.select(key.alias("key"), F.col(f"`{text}`").alias("text"), digest(text).alias("digest"))
     if wanted.agg(F.coalesce(F.sum(F.size("cuts")), F.lit(0)).alias("starts")).first().starts <= BROADCAST_STARTS:
         wanted = F.broadcast(wanted)
-    met = docs.select(key.alias("key"), F.col(f"`{text}`").alias("text"), digest(text).alias("digest")).join(wanted, "digest")
-    cut = met.select("key", words("text").alias("w"), "cuts").select("key", "w", F.inline("cuts"))  # behind the generator, words are not split again
-    inside = F.sequence(F.col("start"), F.least(F.col("start") + F.col("n"), F.size("w")) - SHINGLE)
-    return cut.select("key", "n", "start", F.transform(inside, lambda i: shingle(F.col("w"), i)).alias("hashes")).distinct()
+    else:
+        texts = marked(texts, wanted, "digest").where("marked")
+    met = texts.join(wanted, "digest").select("key", words("text").alias("w"), "cuts")
+    # A generator may hold all rows of a text at once, so none carries the text's words: each is a slice of hashes made before it.
+    cut = met.select("key", shingles(F.col("w")).alias("all"), "cuts").select("key", "all", F.inline("cuts"))
+    return cut.select("key", "n", "start", F.slice("all", F.col("start") + 1, F.col("n") - SHINGLE + 1).alias("hashes")).distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: Column, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -135,8 +149,10 @@ def contamination(docs: DataFrame, items: DataFrame, key: Column, text: str = "t
 def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The documents without any item, with their columns as they were."""
     held = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("__row"), digest(text).alias("__key"))
-    found = contamination(docs, items, digest(text), text).select(F.col("key").alias("__key")).distinct()
-    return held.join(found, "__key", "left_anti").select(*[F.col("__row")[c].alias(c) for c in docs.columns])
+    found = written(contamination(docs, items, digest(text), text).select(F.col("key").alias("__key")).distinct(), "found")
+    either = marked(held, found, "__key")
+    clean = either.where("not marked").unionByName(either.where("marked").join(found, "__key", "left_anti"))
+    return clean.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,3 +114,34 @@ def test_every_start_is_tried(spark, monkeypatch, broadcast):
     found = d.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), F.col("doc_id"))
     assert {(r.key, r.item): round(r.similarity, 9) for r in found.collect()} == {k: round(v, 9) for k, v in want.items()}
     assert len(want) > 40
+
+
+def test_text_full_of_passages(spark):
+    """A window of each of its 24,000 starts; with the words of the text beside each of them they took 14 GB of one task."""
+    item = ["longerword%02d" % k for k in range(30)]
+    docs = spark.createDataFrame([(1, " ".join(item * 800)), (2, "clean")], "doc_id long, text string")
+    found = d.contamination(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"), F.col("doc_id"))
+    assert [tuple(r) for r in found.collect()] == [(1, 7, 1.0)]
+
+
+def test_marks_miss_no_digest(spark):
+    rows = spark.range(20_000).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("digest"), (F.col("id") % 100 == 0).alias("wanted"))
+    got = d.marked(rows, rows.where("wanted").select("digest"), "digest").groupBy("wanted").agg(F.sum(F.col("marked").cast("int")).alias("n")).collect()
+    n = {r.wanted: r.n for r in got}
+    assert n[True] == 200 and n[False] <= 20
+    assert d.marked(rows, rows.limit(0).select("digest"), "digest").where("marked").count() == 0
+
+
+def test_clean_texts_are_not_shuffled(spark, planted, monkeypatch):
+    docs, items = planted
+    monkeypatch.setattr(d, "BROADCAST_STARTS", -1)
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for made, by, column in ((d.windows(df, d.item_table(bench), F.col("doc_id"), "text"), "digest", "text#"), (d.decontaminated(df, bench), "__key", "__row#")):
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            shuffled = [part for part in plan.split("Exchange hashpartitioning(%s#" % by)[1:] if column in part.split("Exchange ")[0]]
+            assert shuffled and all("bit_get(marks" in part.split("Exchange ")[0] for part in shuffled)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
